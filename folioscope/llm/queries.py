@@ -7,18 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscope.llm.media import op8_media_columns
+from folioscope.llm import urls
+from folioscope.llm.mixing import op9_pareto_mix
 from folioscope.llm.packing import op5_minimum_bin_slack
+from folioscope.llm.quality import op2_naive_bayes_support_vectors
+from folioscope.llm.sharding import op3_longest_processing_time
 from folioscope.llm.tokens import op10_record_files
+from folioscope.llm.topk import op6_tiled_top_k
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [
+        urls.op1_temporal_list_join,
+        op2_naive_bayes_support_vectors,
+        op3_longest_processing_time,
         op5_minimum_bin_slack,
+        op6_tiled_top_k,
         op8_media_columns,
+        op9_pareto_mix,
         op10_record_files,
     ]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {urls.op1_temporal_list_join.__name__: urls.ORACLE}
