@@ -141,3 +141,63 @@ def components(links: DataFrame) -> DataFrame:
         if not change:
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+#: Rows that a task gathers before it deals them out, and that one packed row holds at most.
+DEALT_ROWS = 1_000_000
+
+
+class Dealer:
+    """Packs arrays of equal length into binary rows (pid, n, one binary for each column), dealt by a hash.
+
+    Millions of small records move through the shuffle as some packed rows for each target, and numpy sorts them there.
+    """
+
+    def __init__(self, kinds: list[tuple[str, str]], targets: int) -> None:
+        self.kinds, self.targets, self.parts, self.held = kinds, targets, [], 0
+
+    @staticmethod
+    def schema(kinds: list[tuple[str, str]]) -> str:
+        return "pid int, n int, " + ", ".join(f"{k} binary" for k, _ in kinds)
+
+    def add(self, pid: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append((pid, *columns))
+        self.held += len(pid)
+        if self.held >= DEALT_ROWS:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        pid, *columns = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        self.parts, self.held = [], 0
+        order = np.argsort(pid, kind="stable")
+        ends = np.searchsorted(pid[order], np.arange(self.targets + 1))
+        full = np.flatnonzero(np.diff(ends))
+        out = [pa.array(full, pa.int32()), pa.array(np.diff(ends)[full], pa.int32())]
+        for (_, kind), c in zip(self.kinds, columns, strict=True):
+            c = c[order].astype(kind, copy=False)
+            out.append(pa.array([c[ends[i] : ends[i + 1]].tobytes() for i in full], pa.binary()))
+        yield pa.RecordBatch.from_arrays(out, ["pid", "n", *(k for k, _ in self.kinds)])
+
+
+def undealt(batches: Iterator[pa.RecordBatch], kinds: list[tuple[str, str]]) -> Iterator[list[np.ndarray]]:
+    """The columns of all records of one pid after the other; the packed rows must be sorted by pid."""
+    pid, parts = None, []
+    for batch in batches:
+        ids = batch.column("pid").to_pylist()
+        columns = [batch.column(k) for k, _ in kinds]
+        for i, p in enumerate(ids):
+            if p != pid and parts:
+                yield [np.concatenate(c) for c in zip(*parts, strict=True)]
+                parts = []
+            pid = p
+            parts.append([np.frombuffer(c[i].as_py(), kind) for c, (_, kind) in zip(columns, kinds, strict=True)])
+    if parts:
+        yield [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+
+def targets_of(spark: SparkSession) -> tuple[int, int]:
+    """(tasks, targets): targets are several times the tasks, so that a task sorts a small part of what it gets at once."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return n, 4 * n

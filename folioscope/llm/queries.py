@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folioscope.llm.media import op8_media_columns
 from folioscope.llm import urls
+from folioscope.llm.jaccard import op4_universe_partition_join
 from folioscope.llm.mixing import op9_pareto_mix
 from folioscope.llm.packing import op5_minimum_bin_slack
 from folioscope.llm.quality import op2_naive_bayes_support_vectors
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         urls.op1_temporal_list_join,
         op2_naive_bayes_support_vectors,
         op3_longest_processing_time,
+        op4_universe_partition_join,
         op5_minimum_bin_slack,
         op6_tiled_top_k,
         op8_media_columns,

@@ -16,6 +16,8 @@ K = 10
 SCALE = 1024
 #: Rows of a tile of candidates and of a block of queries.
 TILE, BLOCK = 4096, 512
+#: Stands for no score; its negative is a number, too.
+NONE = -(2**63) + 1
 SIDE = "dim int, n int, ids binary, data binary"
 
 
@@ -52,7 +54,7 @@ def products(queries: np.ndarray, tile: np.ndarray) -> np.ndarray:
     if most < 2**62:
         return queries.astype(np.int64) @ tile.astype(np.int64).T
     whole = np.vectorize(int, otypes=[object])
-    return np.clip((whole(queries) @ whole(tile).T), -(2**63), 2**63 - 1).astype(np.int64)
+    return np.clip((whole(queries) @ whole(tile).T), NONE + 1, 2**63 - 1).astype(np.int64)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +90,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
         key, queries, q_ids, scores, ids = None, None, None, None, None
 
         def done() -> pa.RecordBatch:
-            real = scores > np.iinfo(np.int64).min
+            real = scores > NONE
             owner = np.repeat(q_ids, real.sum(axis=1))
             return pa.RecordBatch.from_arrays([pa.array(owner), pa.array(ids[real]), pa.array(scores[real])], ["query_id", "vec_id", "score"])
 
@@ -103,7 +105,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
                     scores, ids = np.empty((len(q_ids), 0), np.int64), np.empty((len(q_ids), 0), np.int64)
                 own = np.frombuffer(row["ids"], np.int64)
                 new = products(queries, np.frombuffer(row["data"]).reshape(len(own), -1))
-                new[q_ids[:, None] == own[None, :]] = np.iinfo(np.int64).min
+                new[q_ids[:, None] == own[None, :]] = NONE
                 new, who = best(new, np.broadcast_to(own, new.shape), k)
                 scores, ids = best(np.hstack([scores, new]), np.hstack([ids, who]), k)
         if key is not None:
