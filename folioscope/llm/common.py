@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -153,12 +155,15 @@ class Dealer:
     Millions of small records move through the shuffle as some packed rows for each target, and numpy sorts them there.
     """
 
-    def __init__(self, kinds: list[tuple[str, str]], targets: int) -> None:
-        self.kinds, self.targets, self.parts, self.held = kinds, targets, [], 0
+    def __init__(self, kinds: list[tuple[str, str]], targets: int, spread: bool = False) -> None:
+        """spread: records of pid -1 need no company; each packed row of them goes to a negative target of its own choice."""
+        self.kinds, self.targets, self.parts, self.held, self.spread = kinds, targets, [], 0, spread
+        context = TaskContext.get()
+        self.lone = (context.partitionId() if context else 0) % targets
 
     @staticmethod
     def schema(kinds: list[tuple[str, str]]) -> str:
-        return "pid int, n int, " + ", ".join(f"{k} binary" for k, _ in kinds)
+        return "pid int, rows int, " + ", ".join(f"{k} binary" for k, _ in kinds)
 
     def add(self, pid: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.parts.append((pid, *columns))
@@ -171,30 +176,45 @@ class Dealer:
             return
         pid, *columns = (np.concatenate(c) for c in zip(*self.parts, strict=True))
         self.parts, self.held = [], 0
+        if self.spread:
+            pid = np.where(pid < 0, -1 - self.lone, pid)
         order = np.argsort(pid, kind="stable")
-        ends = np.searchsorted(pid[order], np.arange(self.targets + 1))
-        full = np.flatnonzero(np.diff(ends))
-        out = [pa.array(full, pa.int32()), pa.array(np.diff(ends)[full], pa.int32())]
+        pid = pid[order]
+        full = np.flatnonzero(np.concatenate([[True], pid[1:] != pid[:-1]]))
+        ends = np.append(full, len(pid))
+        out = [pa.array(pid[full], pa.int32()), pa.array(np.diff(ends), pa.int32())]
+        full = range(len(full))
         for (_, kind), c in zip(self.kinds, columns, strict=True):
             c = c[order].astype(kind, copy=False)
             out.append(pa.array([c[ends[i] : ends[i + 1]].tobytes() for i in full], pa.binary()))
-        yield pa.RecordBatch.from_arrays(out, ["pid", "n", *(k for k, _ in self.kinds)])
+        yield pa.RecordBatch.from_arrays(out, ["pid", "rows", *(k for k, _ in self.kinds)])
 
 
-def undealt(batches: Iterator[pa.RecordBatch], kinds: list[tuple[str, str]]) -> Iterator[list[np.ndarray]]:
-    """The columns of all records of one pid after the other; the packed rows must be sorted by pid."""
+def undealt(batches: Iterator[pa.RecordBatch], kinds: list[tuple[str, str]], with_pid: bool = False) -> Iterator:
+    """The columns of all records of one pid after the other (with_pid: pid, columns); the packed rows must be sorted by pid."""
+
+    def whole():
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        return (pid, columns) if with_pid else columns
+
     pid, parts = None, []
     for batch in batches:
         ids = batch.column("pid").to_pylist()
         columns = [batch.column(k) for k, _ in kinds]
         for i, p in enumerate(ids):
             if p != pid and parts:
-                yield [np.concatenate(c) for c in zip(*parts, strict=True)]
+                yield whole()
                 parts = []
             pid = p
             parts.append([np.frombuffer(c[i].as_py(), kind) for c, (_, kind) in zip(columns, kinds, strict=True)])
     if parts:
-        yield [np.concatenate(c) for c in zip(*parts, strict=True)]
+        yield whole()
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver forget shuffles that no plan needs any more, so that their files go before the next step's come."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def targets_of(spark: SparkSession) -> tuple[int, int]:

@@ -12,6 +12,7 @@ from folioscope.llm.jaccard import op4_universe_partition_join
 from folioscope.llm.mixing import op9_pareto_mix
 from folioscope.llm.packing import op5_minimum_bin_slack
 from folioscope.llm.quality import op2_naive_bayes_support_vectors
+from folioscope.llm.recompress import op7_recompression
 from folioscope.llm.sharding import op3_longest_processing_time
 from folioscope.llm.tokens import op10_record_files
 from folioscope.llm.topk import op6_tiled_top_k
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_universe_partition_join,
         op5_minimum_bin_slack,
         op6_tiled_top_k,
+        op7_recompression,
         op8_media_columns,
         op9_pareto_mix,
         op10_record_files,
