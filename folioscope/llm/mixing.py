@@ -26,6 +26,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def digest(doc_id: Column, source: Column, text: Column, seed: int = SEED) -> Column:
+    """What a document's random number comes from."""
+    return F.xxhash64(F.lit(seed), doc_id.cast("long"), source, text)
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """sources (_source, source_size; nulls last) with target: shares of the budget by weight, cut at `most` times the size, the excess reshared by weight until none is above."""
     places = ranked(sources.withColumn("_null", F.col("_source").isNull()), ["_all"], ["_null", "_source"], "_place")
@@ -50,8 +55,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     last one doesn't change the result. Targets come from aggregates over all rows; a source's rows are never gathered:
     they are summed in 4096 parts of their rank, and only the part where the target lies is ranked row by row.
     """
-    digest = F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.col(source_col), F.col(text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("_source"), n_words(F.col(text_col)).alias("size"), digest.alias("_digest"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("_source"), n_words(F.col(text_col)).alias("size"), digest(F.col(id_col), F.col(source_col), F.col(text_col), seed).alias("_digest"))
     rows = cut(rows.withColumn("_u", (F.shiftrightunsigned("_digest", 11) + 0.5) / F.lit(float(1 << 53))), "sizes")
     sums = cut(rows.groupBy("_source", F.floor(F.col("_u") * PARTS).alias("_part")).agg(F.sum("size").alias("_words")), "parts")
     sources = cut(sums.groupBy("_source").agg(F.sum("_words").alias("source_size")).withColumn("_all", F.lit(0)), "sources")

@@ -277,13 +277,13 @@ def covered(docs: DataFrame) -> DataFrame:
     return pieces.where("starts IS NOT NULL").select("doc", "starts").unionByName(late).groupBy("doc").agg(F.collect_list("starts").alias("starts"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(id, n_words, n_removed, kept): each row's words but those in windows that also start in a document with a smaller id; kept words are joined by one space.
 
     Null and empty texts have no words and keep an empty text; texts under 13 words lose nothing. Rows that repeat an id are one
     document in several pieces: they don't remove each other's words. Rows with a null id lose nothing and remove nothing.
     Copies of a text that many documents share are known by their digest: all but the smallest lose every window, so only
-    that one takes part in the search.
+    that one takes part in the search. With keep, those columns and the text come along.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -291,9 +291,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sizes = cut(rows.where("doc_id IS NOT NULL AND text IS NOT NULL").groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 50"), "copies")
     total = rows.count()
     heavy = F.broadcast(sizes.where(F.col("n") > HEAVY * total).select("digest", "first"))  # fewer than 1 / HEAVY rows
-    marked = rows.join(heavy, digest == F.col("digest"), "left").withColumn("copy", F.col("doc_id") > F.col("first")).select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"))
+    extra = [f"_keep{i}" for i in range(len(keep or []))]
+    all_rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(e) for c, e in zip(keep or [], extra, strict=True)])
+    marked = all_rows.join(heavy, digest == F.col("digest"), "left").withColumn("copy", F.col("doc_id") > F.col("first")).select("doc_id", "text", *extra, F.coalesce("copy", F.lit(False)).alias("copy"))
     places = covered(marked.where("NOT copy AND doc_id IS NOT NULL").select("doc_id", "text"))
-    joined = marked.join(places, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "copy", "starts")
+    joined = marked.join(places, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", *extra, "copy", "starts")
+    carried = extra if keep is None else ["text", *extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,9 +312,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 left = np.concatenate([[0], np.cumsum(keep)])[bounds]
                 texts = words.take(pa.array(codes[keep])).to_pylist()
                 kept = [" ".join(texts[a:b]) for a, b in zip(left, left[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(n - np.diff(left)), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(n - np.diff(left)), pa.array(kept, pa.string()), *(part.column(c) for c in carried)], ["doc_id", "n_words", "n_removed", "kept", *carried])
 
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string").withColumnRenamed("doc_id", id_col)
+    schema = "".join(f", {c} {joined.schema[c].dataType.simpleString()}" for c in carried)
+    out = joined.mapInArrow(run, f"doc_id long, n_words long, n_removed long, kept string{schema}")
+    return out.toDF(id_col, "n_words", "n_removed", "kept", *([] if keep is None else [text_col, *keep]))
 
 
 def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
