@@ -1 +1 @@
-"""operators."""
+"""The engine's operators over tables of chunks, terms, vectors and references."""

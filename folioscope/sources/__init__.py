@@ -1 +1 @@
-"""sources."""
+"""What the engine reads and writes: Markdown files, page texts, index folders."""
