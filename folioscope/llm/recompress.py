@@ -107,7 +107,9 @@ def filed(h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 ANCHORS = [("key", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("n", "<i4")]
-WINDOWS = [("key", "<u8"), ("more", "<u4"), ("doc", "<i8"), ("at", "<i4")]
+WINDOWS = [("key", "<u8"), ("more", "<u4"), ("owner", "<i8"), ("at", "<i4")]
+SPANS = [("owner", "<i8"), ("at", "<i4"), ("n", "<i4")]
+PLACES = [("owner", "<i8"), ("at", "<i4")]
 #: Documents, about, that show which symbols and windows are hot: those in more than a hundredth of them. The sample only
 #: decides on which way hot ones take; every row takes part either way.
 SAMPLE, HOT = 2000, 0.01
@@ -170,13 +172,23 @@ def among(x: np.ndarray, names: np.ndarray) -> np.ndarray:
     return names[at] == x
 
 
-def by_document(doc: np.ndarray, *columns: np.ndarray) -> tuple[pa.Array, list[bytes]]:
-    """Each document once, with its records as pairs (or numbers) of 32 bits."""
-    order = np.argsort(doc, kind="stable")
-    doc = doc[order]
-    rows = np.stack([c[order] for c in columns], axis=1).astype("<i4")
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    return pa.array(doc[first]), [rows[a:b].tobytes() for a, b in zip(first, [*first[1:], len(doc)], strict=True)]
+def by_document(packed: DataFrame, kinds: list[tuple[str, str]], tasks: int) -> DataFrame:
+    """(doc, places): each document once, with its records (but the owner) as 32-bit numbers side by side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, *columns in undealt(batches, kinds):
+            order = np.argsort(doc, kind="stable")
+            doc = doc[order]
+            rows = np.stack([c[order] for c in columns], axis=1).astype("<i4")
+            first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+            places = [rows[a:b].tobytes() for a, b in zip(first, [*first[1:], len(doc)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(places, pa.binary())], ["doc", "places"])
+
+    return packed.repartition(tasks, "pid").sortWithinPartitions("pid").mapInArrow(run, "doc long, places binary")
+
+
+def target(doc: np.ndarray, targets: int) -> np.ndarray:
+    return (mix(doc.astype(np.uint64)) % np.uint64(targets)).astype(np.int32)
 
 
 def deal_anchors(rows: DataFrame, hot: np.ndarray, targets: int) -> DataFrame:
@@ -197,10 +209,11 @@ def deal_anchors(rows: DataFrame, hot: np.ndarray, targets: int) -> DataFrame:
     return rows.mapInArrow(run, Dealer.schema(ANCHORS))
 
 
-def shared(packed: DataFrame, tasks: int) -> DataFrame:
-    """(doc, spans): the windows of each document that are filed under a symbol of several documents."""
+def shared(packed: DataFrame, tasks: int, targets: int) -> DataFrame:
+    """(doc, places): pairs of first window and number of the windows of each document that are filed under a symbol of several documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = Dealer(SPANS, targets)
         for pid, (key, doc, at, n) in undealt(batches, ANCHORS, with_pid=True):
             if pid >= 0:
                 order = np.argsort(key, kind="stable")
@@ -209,23 +222,23 @@ def shared(packed: DataFrame, tasks: int) -> DataFrame:
                 several = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
                 keep = np.repeat(several, np.diff(np.append(first, len(key))))
                 doc, at, n = doc[keep], at[keep], n[keep]
-            if len(doc):
-                docs, packed = by_document(doc, at, n)
-                yield pa.RecordBatch.from_arrays([docs, pa.array(packed, pa.binary())], ["doc", "spans"])
+            yield from dealer.add(target(doc, targets), doc, at, n)
+        yield from dealer.flush()
 
-    return packed.repartition(tasks, "pid").sortWithinPartitions("pid").mapInArrow(run, "doc long, spans binary")
+    found = packed.repartition(tasks, "pid").sortWithinPartitions("pid").mapInArrow(run, Dealer.schema(SPANS))
+    return by_document(found, SPANS, tasks)
 
 
 def deal_windows(rows: DataFrame, found: DataFrame, hot: np.ndarray, targets: int) -> DataFrame:
     """Packed windows of the spans found in each document; hot ones under negative targets, by the task that read them."""
     known = rows.sparkSession.sparkContext.broadcast(hot)
-    joined = rows.join(found.groupBy("doc").agg(F.collect_list("spans").alias("spans")), F.col("doc_id") == F.col("doc")).select("doc_id", "text", "spans")
+    joined = rows.join(found, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealer = Dealer(WINDOWS, targets, spread=True)
         for batch in batches:
             for part in slices(batch):
-                wanted = [np.frombuffer(b"".join(x), "<i4").reshape(-1, 2) for x in part.column("spans").to_pylist()]
+                wanted = [np.frombuffer(x, "<i4").reshape(-1, 2) for x in part.column("places").to_pylist()]
                 who, key, more, at = windows(part.column("text"), wanted)
                 doc = np.asarray(part.column("doc_id"))[who]
                 pid = (key % np.uint64(targets)).astype(np.int32)
@@ -236,45 +249,47 @@ def deal_windows(rows: DataFrame, found: DataFrame, hot: np.ndarray, targets: in
     return joined.mapInArrow(run, Dealer.schema(WINDOWS))
 
 
-def repeats(packed: DataFrame, tasks: int) -> DataFrame:
-    """(doc, starts, key, more, at): starts are windows that begin in a smaller document, too. Rows with key are the smallest of a hot window's documents in one target, still to be held against other targets' ones."""
+def repeats(packed: DataFrame, tasks: int, targets: int, last: bool = False) -> DataFrame:
+    """Packed records of two kinds: 0, a document's window that begins in a smaller document, too; 1, a hot window of the smallest document in one negative target, still to be held against the other targets' (last: none is left)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "starts", "key", "more", "at"]
+        found, rest = Dealer(PLACES, targets), Dealer(WINDOWS, targets)
+
+        def kind(k: int, made: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in made:
+                none = pa.nulls(batch.num_rows, pa.binary())
+                names = ["pid", "rows", *(n for n, _ in WINDOWS)]
+                columns = [batch.column(n) if n in batch.schema.names else none for n in names]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, k, np.int32)), *columns], ["kind", *names])
+
         for pid, (key, more, doc, at) in undealt(batches, WINDOWS, with_pid=True):
             order = np.lexsort((doc, more, key))
             key, more, doc, at = key[order], more[order], doc[order], at[order]
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (more[1:] != more[:-1])])
-            least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-            later = doc > least
-            if later.any():
-                docs, packed = by_document(doc[later], at[later])
-                none = pa.nulls(len(docs), pa.int64())
-                yield pa.RecordBatch.from_arrays([docs, pa.array(packed, pa.binary()), none, none, none], names)
-            if pid < 0:
+            later = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+            yield from kind(0, found.add(target(doc[later], targets), doc[later], at[later]))
+            if pid < 0 and not last:
                 own = ~later
-                columns = [key[own].view(np.int64), more[own].astype(np.int64), at[own].astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.nulls(int(own.sum()), pa.binary()), *map(pa.array, columns)], names)
+                yield from kind(1, rest.add((key[own] % np.uint64(targets)).astype(np.int32), key[own], more[own], doc[own], at[own]))
+        yield from kind(0, found.flush())
+        yield from kind(1, rest.flush())
 
-    return packed.repartition(tasks, "pid").sortWithinPartitions("pid").mapInArrow(run, "doc long, starts binary, key long, more long, at long")
+    return packed.repartition(tasks, "pid").sortWithinPartitions("pid").mapInArrow(run, f"kind int, {Dealer.schema(WINDOWS)}")
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """(doc, starts): for each document with repeated windows, packed 32-bit places of them in parts; docs: doc_id, text."""
+    """(doc, places): for each document with repeated windows, their 32-bit places; docs: doc_id, text."""
     spark = docs.sparkSession
     tasks, targets = targets_of(spark)
     total = docs.count()
     hot_keys, hot_windows = hot_names(docs, total)
-    found = cut(shared(deal_anchors(docs, hot_keys, targets), tasks), "shared")
+    found = cut(shared(deal_anchors(docs, hot_keys, targets), tasks, targets), "shared")
     release(spark)
-    pieces = cut(repeats(deal_windows(docs, found, hot_windows, targets), tasks), "repeats")
+    records = cut(repeats(deal_windows(docs, found, hot_windows, targets), tasks, targets), "repeats")
     release(spark)
-    own = pieces.where("key IS NOT NULL").select("doc", "key", "more", "at")
-    least = own.groupBy("key", "more").agg(F.min("doc").alias("least"))
-    # 32-bit little-endian places, as the tasks pack them
-    packed = F.unhex(F.concat(*[F.lpad(F.hex(F.shiftrightunsigned("at", 8 * k).bitwiseAND(255)), 2, "0") for k in range(4)]))
-    late = own.join(least, ["key", "more"]).where("doc > least").select("doc", packed.alias("starts"))
-    return pieces.where("starts IS NOT NULL").select("doc", "starts").unionByName(late).groupBy("doc").agg(F.collect_list("starts").alias("starts"))
+    late = repeats(records.where("kind = 1").drop("kind"), tasks, targets, last=True)
+    places = records.where("kind = 0").unionByName(late).select("pid", "rows", "owner", "at")
+    return by_document(places, PLACES, tasks)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -295,7 +310,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all_rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(e) for c, e in zip(keep or [], extra, strict=True)])
     marked = all_rows.join(heavy, digest == F.col("digest"), "left").withColumn("copy", F.col("doc_id") > F.col("first")).select("doc_id", "text", *extra, F.coalesce("copy", F.lit(False)).alias("copy"))
     places = covered(marked.where("NOT copy AND doc_id IS NOT NULL").select("doc_id", "text"))
-    joined = marked.join(places, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", *extra, "copy", "starts")
+    joined = marked.join(places, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", *extra, "copy", "places")
     carried = extra if keep is None else ["text", *extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,8 +319,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 bounds, codes, words = split_words(part.column("text"))
                 gone = np.zeros(len(codes) + WINDOW + 1, np.int64)
                 n = np.diff(bounds)
-                for i, (copy, starts) in enumerate(zip(part.column("copy").to_pylist(), part.column("starts").to_pylist(), strict=True)):
-                    at = np.arange(max(0, n[i] - WINDOW + 1)) if copy else np.frombuffer(b"".join(starts or ()), "<i4")
+                for i, (copy, starts) in enumerate(zip(part.column("copy").to_pylist(), part.column("places").to_pylist(), strict=True)):
+                    at = np.arange(max(0, n[i] - WINDOW + 1)) if copy else np.frombuffer(starts or b"", "<i4")
                     np.add.at(gone, at + bounds[i], 1)
                     np.add.at(gone, at + bounds[i] + WINDOW, -1)
                 keep = np.cumsum(gone)[: len(codes)] == 0
