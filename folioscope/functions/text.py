@@ -97,13 +97,21 @@ def feature_hash(feature: Column, dimensions: int = 1 << 20) -> Column:
 
 
 def focus(query: Column, text: Column, head: int = 900, window: int = 900, step: int = 250) -> Column:
-    """Long texts as their head and the first window of those that hold most of the query's words (folded, over two letters, found anywhere)."""
+    """Long texts as their head and the first window of those that hold most of the query's words (folded, over two letters, found anywhere).
+
+    The text is folded once: the folded text and the words go through the windows as the state of a fold, as an expression
+    that a lambda repeats is worked out again for every element.
+    """
     asked = F.filter(F.array_distinct(words(fold(query))), lambda t: F.length(t) > 2)
-    folded = fold(text)
     places = F.sequence(F.lit(head), F.greatest(F.length(text) - window, F.lit(head)), F.lit(step))
-    score = lambda i: F.size(F.filter(asked, lambda t: F.instr(F.substring(folded, i + 1, F.lit(window)), t) > 0))
-    best = F.array_max(F.transform(places, lambda i: F.struct(score(i).alias("s"), (-i).alias("i"))))
-    at = -best["i"]
+    start = F.struct(F.lit(-1).alias("s"), F.lit(head).alias("i"), fold(text).alias("t"), asked.alias("q"))
+
+    def better(best: Column, i: Column) -> Column:
+        here = F.struct(F.substring(best["t"], i + 1, F.lit(window)).alias("w"))
+        score = F.aggregate(best["q"], F.struct(F.lit(0).alias("n"), here["w"].alias("w")), lambda a, t: F.struct((a["n"] + F.when(F.instr(a["w"], t) > 0, 1).otherwise(0)).alias("n"), a["w"].alias("w")), lambda a: a["n"])
+        return F.transform(F.array(score), lambda s: F.struct(F.greatest(s, best["s"]).alias("s"), F.when(s > best["s"], i).otherwise(best["i"]).alias("i"), best["t"].alias("t"), best["q"].alias("q")))[0]
+
+    at = F.aggregate(places, start, better, lambda best: best["i"])
     return F.when(F.length(text) <= head + window, text).otherwise(F.concat(F.substring(text, 1, head), F.lit(" … "), F.substring(text, at + 1, F.lit(window))))
 
 

@@ -82,23 +82,28 @@ def bm25(lexicon: Lexicon, queries: DataFrame, k: int, allowed: DataFrame | None
     return top(scores(lexicon, queries, allowed), k)
 
 
-def snippet(text: Column, query_terms: Column, width: int = 16) -> Column:
-    """The first window of width tokens that holds most distinct query terms, the terms in « », an ellipsis where text is left out.
+def snippets(rows: DataFrame, width: int = 16) -> DataFrame:
+    """rows (with qid, rid, text, terms) with snippet instead of text and terms.
 
-    Tokens are the text's runs of letters and digits; between them stands what stood there.
+    A snippet is the first window of width tokens that holds most distinct query terms, the terms in « », an ellipsis where
+    text is left out. Tokens are the text's runs of letters and digits; between them stands what stood there. Only the few
+    rows of a result come here; their tokens are rows, windows are frames over them.
     """
-    found = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
-    gaps = F.split(text, r"[\p{L}\p{N}\p{Co}]+")
-    folded = F.transform(found, fold)
-    places = F.sequence(F.lit(0), F.greatest(F.size(found) - width, F.lit(0)))
-    score = lambda i: F.size(F.array_intersect(F.slice(folded, i + 1, F.lit(width)), query_terms))
-    best = F.array_max(F.transform(places, lambda i: F.struct(score(i).alias("s"), (-i).alias("i"))))
-    at = -best["i"]
-    marked = F.transform(found, lambda w, i: F.when(F.array_contains(query_terms, folded[i]), F.concat(F.lit("«"), w, F.lit("»"))).otherwise(w))
-    pieces = F.transform(F.slice(marked, at + 1, F.lit(width)), lambda w, j: F.when(j == 0, w).otherwise(F.concat(F.element_at(gaps, (at + j + 1).cast("int")), w)))
-    head = F.when(at > 0, F.lit(" … ")).otherwise(F.coalesce(gaps[0], F.lit("")))
-    tail = F.when(at + width < F.size(found), F.lit(" … ")).otherwise(F.element_at(gaps, -1))
-    return F.when(F.size(found) > 0, F.concat(head, F.array_join(pieces, ""), tail)).otherwise(text)
+    run = r"[\p{L}\p{N}\p{Co}]+"
+    split = rows.select("qid", "rid", "terms", F.regexp_extract_all("text", F.lit(run), F.lit(0)).alias("found"), F.split("text", run).alias("gaps"))
+    tokens_of = split.select("qid", "rid", "terms", "gaps", F.size("found").alias("n"), F.posexplode("found").alias("i", "w")).withColumn("f", fold(F.col("w")))
+    ahead = Window.partitionBy("qid", "rid").orderBy("i").rowsBetween(0, width - 1)
+    hit = F.when(F.array_contains("terms", F.col("f")), F.col("f"))
+    marked = tokens_of.withColumn("piece", F.when(hit.isNotNull(), F.concat(F.lit("«"), "w", F.lit("»"))).otherwise(F.col("w")))
+    seen = marked.withColumn("score", F.size(F.collect_set(hit).over(ahead))).where("i <= greatest(n - {0}, 0)".format(width))
+    best = seen.groupBy("qid", "rid").agg(F.max(F.struct("score", -F.col("i"))).alias("b")).select("qid", "rid", (-F.col("b")["col2"]).alias("at"))
+    inside = marked.join(best, ["qid", "rid"]).where((F.col("i") >= F.col("at")) & (F.col("i") < F.col("at") + width))
+    part = F.struct("i", F.when(F.col("i") == F.col("at"), F.col("piece")).otherwise(F.concat(F.get("gaps", F.col("i")), "piece")).alias("p"))
+    made = inside.groupBy("qid", "rid").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["p"]), "").alias("body"), F.first("at").alias("at"), F.first("n").alias("n"), F.first(F.get("gaps", F.lit(0))).alias("head"), F.first(F.element_at("gaps", -1)).alias("tail")
+    )
+    text = F.concat(F.when(F.col("at") > 0, F.lit(" … ")).otherwise(F.col("head")), "body", F.when(F.col("at") + width < F.col("n"), F.lit(" … ")).otherwise(F.col("tail")))
+    return rows.drop("text", "terms").join(made.select("qid", "rid", text.alias("snippet")), ["qid", "rid"], "left")
 
 
 def lexical(chunks: DataFrame, lexicon: Lexicon, queries: DataFrame, k: int = 5, slug: str | None = None) -> DataFrame:
@@ -107,4 +112,4 @@ def lexical(chunks: DataFrame, lexicon: Lexicon, queries: DataFrame, k: int = 5,
     best = bm25(lexicon, queries, k, allowed)
     terms = phrases(queries).groupBy("qid").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
     rows = best.join(chunks.select("rid", "citation", "structure", "doc_type", "text"), "rid").join(terms, "qid")
-    return rows.select("qid", "rank", "rid", "citation", "structure", "doc_type", snippet(F.col("text"), F.col("terms")).alias("snippet"), "score")
+    return snippets(rows).select("qid", "rank", "rid", "citation", "structure", "doc_type", "snippet", "score")

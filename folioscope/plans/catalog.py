@@ -286,7 +286,7 @@ def citation_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _core(rows: DataFrame) -> DataFrame:
     """Given hits: for two questions some articles in an order."""
-    return rows.where("rid <= 81 AND rid % 9 = 0").select(F.explode(F.array(F.lit(0), F.lit(1))).cast("long").alias("qid"), "rid", "slug", "article", "doc_type").withColumn("rank", F.when(F.col("qid") == 0, F.col("rid")).otherwise(-F.col("rid")))
+    return rows.where("rid <= 81 AND rid % 9 = 0").select(F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("qid"), "rid", "slug", "article", "doc_type").withColumn("rank", F.when(F.col("qid") == 0, F.col("rid")).otherwise(-F.col("rid")))
 
 
 @query

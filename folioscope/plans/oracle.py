@@ -52,7 +52,7 @@ def features(rows: str, key: str, text: str, name: str) -> str:
   SELECT {key}, 'c:' || substr('#' || w || '#', i, 4) FROM (SELECT {key}, w, unnest(range(1, len(w) - 0)) AS i FROM {name}_w WHERE len(w) >= 5)),
 {name}_n AS (SELECT {key}, feature, count(*) AS tf FROM {name}_f GROUP BY ALL),
 {name}_d AS (SELECT feature, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, len(feature) + 1), lambda i: CAST(ascii(substr(feature, i, 1)) AS UBIGINT))),
-    lambda a, x: xor((SELECT t FROM crc_table)[CAST(xor(a, x) & 255 AS BIGINT) + 1], a >> 8)), 4294967295::UBIGINT) % 1048576 AS INTEGER) AS dim FROM (SELECT DISTINCT feature FROM {name}_n)),
+    lambda a, x: xor(t[CAST(xor(a, x) & 255 AS BIGINT) + 1], a >> 8)), 4294967295::UBIGINT) % 1048576 AS INTEGER) AS dim FROM (SELECT DISTINCT feature FROM {name}_n), crc_table),
 {name} AS (SELECT {key}, feature, dim, tf FROM {name}_n JOIN {name}_d USING (feature))"""
 
 
@@ -164,6 +164,15 @@ hits AS (SELECT qid, rid, count(*) AS tf FROM pairs JOIN ph USING (a, b) GROUP B
 every AS (SELECT qid, rid, tf, count(*) OVER (PARTITION BY qid) AS df FROM hits UNION ALL SELECT 1, rid, tf, df FROM terms JOIN dfs USING (term) WHERE term = 'of'),
 sc AS (SELECT qid, rid, sum(CASE WHEN (n - df + 0.5) / (df + 0.5) <= 1 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM every JOIN lens USING (rid), tot GROUP BY ALL)
 SELECT qid, CAST(rank AS INTEGER) AS rank, rid, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, rid) AS rank FROM sc) WHERE rank <= 10""",
+    "lexical_snippet": f"""WITH {INDEX}, {bm25(QU, 5)},
+q AS (SELECT qid, list_distinct({toks("query")}) AS terms FROM qs),
+s AS (SELECT b.qid, b.rank, b.rid, c.citation, c.doc_type, q.terms, regexp_extract_all(c.text, '[\\p{{L}}\\p{{N}}]+') AS f, regexp_split_to_array(c.text, '[\\p{{L}}\\p{{N}}]+') AS g FROM bm b JOIN ch c USING (rid) JOIN q USING (qid)),
+w AS (SELECT *, unnest(range(0, greatest(len(f) - 16, 0) + 1)) AS i FROM s),
+p AS (SELECT *, len(list_intersect(list_distinct(list_transform(f[i + 1:i + 16], lambda x: lower(strip_accents(x)))), terms)) AS n FROM w),
+best AS (SELECT qid, rank, rid, citation, doc_type, any_value(terms) AS terms, any_value(f) AS f, any_value(g) AS g, arg_max(i, n * 1000000 - i) AS i FROM p GROUP BY ALL)
+SELECT qid, CAST(rank AS INTEGER) AS rank, rid, citation, doc_type, CASE WHEN i > 0 THEN ' … ' ELSE g[1] END ||
+ array_to_string(list_transform(range(i + 1, least(i + 16, len(f)) + 1), lambda k: CASE WHEN k = i + 1 THEN '' ELSE g[k] END || CASE WHEN list_contains(terms, lower(strip_accents(f[k]))) THEN '«' || f[k] || '»' ELSE f[k] END), '')
+ || CASE WHEN i + 16 < len(f) THEN ' … ' ELSE g[len(g)] END AS snippet FROM best""",
     "sparse_features": f"WITH RECURSIVE {INDEX}, {SPARSE} SELECT feature, dim, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df FROM cf GROUP BY feature, dim ORDER BY tf DESC, feature LIMIT 200",
     "sparse_idf": f"WITH RECURSIVE {INDEX}, {SPARSE} SELECT dim, round(round(v, 5), 4) AS v FROM idf",
     "sparse_cosine_topk": f"WITH RECURSIVE {INDEX}, {SPARSE}, qs AS (SELECT CAST(qid AS BIGINT) AS qid, query FROM ({QU})), {cosine(10)} SELECT qid, CAST(rank AS INTEGER) AS rank, rid, round(score, 3) AS score FROM cs",
