@@ -5,12 +5,13 @@ band all shingles are hashed to m segments. If 100 * |r & s| >= 80 * |r | s| and
 |r| / 4 shingles, so of any u + 1 credits, u = |r| // 4, one survives: a segment that is equal in both (one credit) or
 that differs by one shingle (two credits, found by the segment itself and its one-deletion neighbours).
 
-- Every set is indexed in its own band under all its segments, in bands of small sets also under their one-deletion
-  neighbours: small sets have few segments, and there one shingle more or less costs few signatures. Larger sets use
-  more segments and single credits.
-- Every set probes the bands that hold sets up to 5/4 of its size, with as few segments as give u + 1 credits: those of
-  the most shingles, as small segments are met by many unrelated sets. Some empty or small ones can be left out as m has
-  a quarter more segments than needed.
+- Sets under 2^7 shingles are filed under all their segments and the segments' one-deletion neighbours: they have few
+  segments, and there one shingle more or less costs few signatures. Larger sets use more segments and single credits.
+- A set is filed in the bands that hold sets up to 5/4 of its size. Signatures that only one set has are dropped; a larger
+  set whose other segments are too few for any partner (all filled ones less u) is dropped with all of them.
+- A set that is left probes with as few segments as are sure to contain one that a partner shares. Which ones follows from
+  their cost, the number of sets under them: the cheapest are taken, and segments of passages that many texts share are
+  left out unless they are all that a text has.
 - Sets under one signature become candidates of a pivot each round, and are verified by their whole sets. The distance
   is a metric: what differs from the pivot by more than a linked set's distance plus 1/5 can't be linked to that set, so
   a group of alike sets needs one comparison each and no group emits all its pairs.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import Dealer, components, cut, hash_words, mix, owners, slices, split_words, table, targets_of, undealt
+from folioscope.llm.common import Dealer, components, cut, hash_words, mix, owners, release, slices, split_words, table, targets_of, undealt
 
 WORDS = 5
 #: Links have 100 * intersection >= LINK * union. The bounds below hold for this value.
@@ -36,7 +37,11 @@ SMALL = 7
 SLACK = 1.3
 #: Groups of copies with more than this share of all documents are known to every task, so that only one copy is signed.
 HEAVY = 1e-4
-RECORD = [("sig", "<u8"), ("doc", "<i8"), ("size", "<i4")]
+#: `about` holds the mode (bit 31: small), the band (bits 26 to 30) and, of small sets, whether the signature probes, of
+#: larger ones how many of a set's segments in the band a partner shares at least.
+RECORD = [("sig", "<u8"), ("doc", "<i8"), ("size", "<i4"), ("about", "<u4")]
+FOUND = [*RECORD, ("cost", "<u4")]
+PROBES = [("sig", "<u8"), ("doc", "<i8"), ("size", "<i4")]
 SEGMENT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -82,41 +87,39 @@ def segments(band: int) -> int:
 
 
 def signatures(own: np.ndarray, names: np.ndarray, sizes: np.ndarray, band: int, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sig, owner, probe) of the sets `doc` (sorted owners) in a band: all index signatures of the sets that belong to it, all probes of those that reach it."""
+    """(sig, owner, about) of the sets `doc` (sorted owners) in a band."""
     m, small = segments(band), band < SMALL
     at = np.searchsorted(doc, own)
     mine = (at < len(doc)) & (doc[np.minimum(at, len(doc) - 1)] == own)
     at, x = at[mine], mix(names[mine] + np.uint64(band))
-    own_size = sizes[doc]
+    credits = sizes[doc] // 4 + 1
     with np.errstate(over="ignore"):
         cell = at * m + ((x >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
         x = mix(x ^ SEGMENT)
         sums = np.zeros(len(doc) * m, np.uint64)
         np.add.at(sums, cell, x)
         counts = np.bincount(cell, minlength=len(sums))
-        tag = mix((np.arange(m, dtype=np.uint64) + np.uint64(1)) * SEGMENT + np.uint64(band))
-        tags = np.tile(tag, len(doc))
-        # credits in the order of the segments' sizes, until u + 1 are reached
+        tags = np.tile(mix((np.arange(m, dtype=np.uint64) + np.uint64(1)) * SEGMENT + np.uint64(band)), len(doc))
+        where = np.uint32(band << 26)
+        if not small:
+            # filled segments suffice: 1.3 times the credits leave a filled one over but in one of 10^12 sets
+            cells = np.flatnonzero(counts)
+            need = np.maximum(1, np.bincount(cells // m, minlength=len(doc)) - credits + 1)
+            return mix(sums[cells] + tags[cells]), doc[cells // m], where | np.minimum(need, (1 << 26) - 1).astype(np.uint32)[cells // m]
+        # credits in the order of the segments' sizes, until there are enough; empty segments give one where others don't suffice
         grid = counts.reshape(len(doc), m)
-        credit = np.where(grid > 1, 2, grid) if small else (grid > 0).astype(np.int64)
+        credit = np.where(grid > 1, 2, grid)
         order = np.argsort(-grid, axis=1, kind="stable")
         worth = np.take_along_axis(credit, order, 1)
-        need = (own_size // 4 + 1)[:, None]
-        before = np.cumsum(worth, axis=1) - worth
         chosen = np.zeros_like(grid, dtype=bool)
-        np.put_along_axis(chosen, order, before < need, 1)
-        short = (credit.sum(axis=1) < need[:, 0])[:, None]
-        chosen &= (grid > 0) | short  # where the filled segments don't suffice, empty ones give a credit each
-        home = (own_size >> band == 1)[:, None]
-        shown = (chosen | (home & ((grid > 0) | small))).ravel()
-        cells = np.flatnonzero(shown)
-        out = [(mix(sums[cells] + tags[cells]), cells // m, chosen.ravel()[cells])]
-        if small:
-            asked = chosen.ravel()[cell]
-            some = (counts[cell] > 1) & (asked | home.ravel()[at])
-            out.append((mix(sums[cell[some]] - x[some] + tags[cell[some]]), at[some], asked[some]))
-    sig, who, probe = (np.concatenate(c) for c in zip(*out, strict=True))
-    return sig, doc[who], probe
+        np.put_along_axis(chosen, order, np.cumsum(worth, axis=1) - worth < credits[:, None], 1)
+        chosen &= (grid > 0) | (credit.sum(axis=1) < credits)[:, None]
+        chosen = chosen.ravel()
+        some = counts[cell] > 1
+        sig = np.concatenate([mix(sums + tags), mix(sums[cell[some]] - x[some] + tags[cell[some]])])
+        who = np.concatenate([np.arange(len(sums)) // m, at[some]])
+        probe = np.concatenate([chosen, chosen[cell[some]]])
+    return sig, doc[who], np.uint32(1 << 31) | where | probe.astype(np.uint32)
 
 
 def signed(own: np.ndarray, names: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -163,55 +166,90 @@ def deal_signatures(rows: DataFrame, heavy: dict[int, int], targets: int) -> Dat
                     copy = np.array([known.value.get(w, d) != d for w, d in zip(whole, ids.tolist(), strict=True)])
                     names, own = names[~copy[own]], own[~copy[own]]
                     sizes[copy] = 0
-                for sig, who, probe in signed(own, names, sizes):
-                    size = sizes[who] * 2 + probe
-                    yield from dealer.add((sig % np.uint64(targets)).astype(np.int32), sig, ids[who], np.minimum(size, 2**31 - 1))
+                for sig, who, about in signed(own, names, sizes):
+                    yield from dealer.add((sig % np.uint64(targets)).astype(np.int32), sig, ids[who], sizes[who], about)
         yield from dealer.flush()
 
     return rows.where("doc_id IS NOT NULL").mapInArrow(run, Dealer.schema(RECORD))
 
 
+def grouped(sig: np.ndarray, doc: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(records, group): one record of each set under each signature, of those with another set of 4/5 to 5/4 of its size beside it; records that are chains of such sizes share a group."""
+    order = np.lexsort((doc, size, sig))
+    s, d, n = sig[order], doc[order], size[order].astype(np.int64)
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
+    order, s, n = order[new], s[new], n[new]
+    chain = np.zeros(len(s), bool)
+    chain[1:] = (s[1:] == s[:-1]) & (n[:-1] * 5 >= n[1:] * 4)
+    group = np.cumsum(~chain) - 1
+    keep = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
+    return order[keep], group[keep]
+
+
+def matched(packed: DataFrame, tasks: int, targets: int) -> DataFrame:
+    """Packed records of signatures that several sets have, with their number as cost, dealt by document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = Dealer(FOUND, targets)
+        for sig, doc, size, about in undealt(batches, RECORD):
+            if (about >> np.uint32(31)).any():  # of a set's equal signatures, a probe counts
+                order = np.argsort(~about & np.uint32(1), kind="stable")
+                sig, doc, size, about = sig[order], doc[order], size[order], about[order]
+            rows, group = grouped(sig, doc, size)
+            if len(rows):
+                cost = np.bincount(group)[group]
+                yield from dealer.add((mix(doc[rows].astype(np.uint64)) % np.uint64(targets)).astype(np.int32), sig[rows], doc[rows], size[rows], about[rows], cost)
+        yield from dealer.flush()
+
+    return packed.repartition(tasks, "pid").sortWithinPartitions("pid").mapInArrow(run, Dealer.schema(FOUND))
+
+
+def probes(packed: DataFrame, tasks: int, targets: int) -> DataFrame:
+    """Packed records (size * 2 + 1 where it probes) of the sets that may have a partner, dealt by signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = Dealer(PROBES, targets)
+        for sig, doc, size, about, cost in undealt(batches, FOUND):
+            small = about >> np.uint32(31) > 0
+            band = about >> np.uint32(26)
+            order = np.lexsort((sig, cost, band, doc))
+            sig, doc, size, about, band, small = sig[order], doc[order], size[order], about[order], band[order], small[order]
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (band[1:] != band[:-1])
+            group = np.cumsum(new) - 1
+            count = np.bincount(group)[group]
+            place = np.arange(len(doc)) - np.flatnonzero(new)[group]
+            need = (about & np.uint32((1 << 26) - 1)).astype(np.int64)
+            keep = small | (count >= need)
+            probe = np.where(small, need, place <= count - need)
+            yield from dealer.add((sig[keep] % np.uint64(targets)).astype(np.int32), sig[keep], doc[keep], size[keep].astype(np.int64) * 2 + probe[keep])
+        yield from dealer.flush()
+
+    return packed.repartition(tasks, "pid").sortWithinPartitions("pid").mapInArrow(run, Dealer.schema(PROBES))
+
+
 def buckets(packed: DataFrame, tasks: int) -> DataFrame:
-    """(bucket, doc): the sets under each signature that at least one of them probes, if they are two or more. Buckets with the same sets are one."""
+    """(bucket, doc, size, probe): the sets under each signature that at least one of them probes. Buckets with the same sets are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sig, doc, size in undealt(batches, RECORD):
-            order = np.lexsort((doc, sig))
-            sig, doc, size = sig[order], doc[order], size[order]
-            first = np.ones(len(sig), bool)
-            first[1:] = sig[1:] != sig[:-1]
-            group = np.cumsum(first) - 1
-            probed = np.bincount(group, size & 1) > 0
-            new = first.copy()
-            new[1:] |= doc[1:] != doc[:-1]
-            # a set can partner one of 4/5 to 5/4 of its size: without a neighbour in size it leaves the bucket
-            keep = new & (probed & (np.bincount(group, new) > 1))[group]
-            group, doc, size = group[keep], doc[keep], size[keep] >> 1
-            if not len(doc):
-                continue
-            order = np.lexsort((size, group))
-            g, s = group[order], size[order]
-            near = (g[1:] == g[:-1]) & (s[:-1] * 5 >= s[1:] * 4)
-            run_of = np.cumsum(np.concatenate([[True], ~near]))
-            group, doc = run_of[np.argsort(order)], doc
-            many = np.bincount(group)
-            keep = many[group] > 1
-            group, doc = group[keep], doc[keep]
-            if not len(doc):
+        for sig, doc, size in undealt(batches, PROBES):
+            rows, group = grouped(sig, doc, size >> 1)
+            doc, probe, size = doc[rows], size[rows] & 1, size[rows] >> 1
+            keep = (np.bincount(group, probe) > 0)[group] if len(group) else np.zeros(0, bool)
+            if not keep.any():
                 continue
-            group = np.unique(group, return_inverse=True)[1]
+            group, doc, probe, size = np.unique(group[keep], return_inverse=True)[1], doc[keep], probe[keep], size[keep]
             with np.errstate(over="ignore"):
                 bucket = np.zeros(group.max() + 1, np.uint64)
-                np.add.at(bucket, group, mix(doc.astype(np.uint64) + SEGMENT))
+                np.add.at(bucket, group, mix(doc.astype(np.uint64) * np.uint64(2) + probe.astype(np.uint64) + SEGMENT))
                 bucket = mix(bucket)
-            _, one = np.unique(bucket, return_index=True)
-            chosen = np.zeros(len(bucket), bool)
-            chosen[one] = True
-            keep = chosen[group]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[group[keep]].view(np.int64)), pa.array(doc[keep])], ["bucket", "doc"])
+            one = np.zeros(len(bucket), bool)
+            one[np.unique(bucket, return_index=True)[1]] = True
+            keep = one[group]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[group[keep]].view(np.int64)), pa.array(doc[keep]), pa.array(size[keep].astype(np.int64)), pa.array(probe[keep].astype(np.int32))], ["bucket", "doc", "size", "probe"])
 
-    dealt = packed.repartition(tasks, "pid").sortWithinPartitions("pid")
-    return dealt.mapInArrow(run, "bucket long, doc long")
+    return packed.repartition(tasks, "pid").sortWithinPartitions("pid").mapInArrow(run, "bucket long, doc long, size long, probe int")
 
 
 def sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -251,27 +289,31 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def links_in(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): links that connect what the buckets' sets connect.
 
-    Each round takes pivots of each bucket (1, 2, 4, ...: the smallest id of each class of a hash), compares all its sets
-    with them and lets them go. A set goes, too, if it is linked to a pivot that leaves no unlinked set near enough.
+    Each round takes pivots of each bucket among the sets that probe it (1, 2, 4, ...: the smallest id of each class of a
+    hash), compares the sets of a fitting size with them and lets them go. A set goes, too, if it is linked to a pivot that
+    leaves no unlinked set near enough; a bucket goes when no probing set is left in it.
     """
     found, classes = None, 1
     while True:
         kind = F.pmod(F.xxhash64("doc"), F.lit(classes))
-        pivots = members.groupBy("bucket", kind.alias("k")).agg(F.min("doc").alias("a")).select("bucket", "a")
-        paired = cut(members.join(pivots, "bucket").select("bucket", "a", F.col("doc").alias("b")), "paired")
+        pivots = members.where("probe = 1").groupBy("bucket", kind.alias("k")).agg(F.min(F.struct("doc", "size")).alias("a")).select("bucket", F.col("a.doc").alias("a"), F.col("a.size").alias("n"))
+        paired = cut(members.join(pivots, "bucket").where("a <> doc").select("bucket", "a", F.col("doc").alias("b"), (F.least("n", "size") / F.greatest("n", "size")).alias("most")), "paired")
         apart = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        known = cut(verified(paired.where("a <> b").select(apart.alias("p")).distinct().select("p.*"), sets), "verified")
+        fits = F.col("most") >= LINK / 100 - 1e-9
+        known = cut(verified(paired.where(fits).select(apart.alias("p")).distinct().select("p.*"), sets), "verified")
         linked = 100 * F.col("both") >= LINK * F.col("either")
         new = known.where(linked).select("a", "b")
         found = new if found is None else found.unionByName(new)
         far = known.select(F.struct("a", "b").alias("p"), (1 - F.col("both") / F.col("either")).alias("d"), linked.alias("linked"))
-        seen = paired.where("a <> b").withColumn("p", apart).join(far, "p").select("bucket", "a", "b", "d", "linked")
+        seen = paired.where(fits).withColumn("p", apart).join(far, "p").select("bucket", "a", "b", "d", "linked")
+        # sets of unfitting sizes are as far as their sizes at least
+        seen = seen.unionByName(paired.where(~fits).select("bucket", "a", "b", (1 - F.col("most")).alias("d"), F.lit(False).alias("linked")))
         nearest = seen.where(~F.col("linked")).groupBy("bucket", "a").agg(F.min("d").alias("nearest"))
         done = seen.where("linked").join(nearest, ["bucket", "a"], "left").where(F.col("nearest").isNull() | (F.col("nearest") - F.col("d") > 0.2 + 1e-9))
         gone = done.select("bucket", F.col("b").alias("doc")).unionByName(pivots.select("bucket", F.col("a").alias("doc"))).distinct()
         rest = members.join(gone, ["bucket", "doc"], "left_anti")
-        left = rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-        members, classes = cut(rest.join(left, "bucket"), "members"), classes * 2
+        left = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.max("probe").alias("p")).where("n > 1 AND p = 1").select("bucket")
+        members, classes = cut(rest.join(left, "bucket").select("bucket", "doc", "size", "probe"), "members"), classes * 2
         if not members.limit(1).count():
             return found
 
@@ -292,14 +334,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     total = described.count()
     # fewer than 1 / HEAVY sets can have more than that share of the documents
     heavy = {r.name: r.first for r in copies.where(F.col("n") > max(50, HEAVY * total)).select("name", F.col("first").alias("first")).collect()}
-    packed = deal_signatures(rows, heavy, targets)
-    members = cut(buckets(packed, tasks), "buckets")
+    shown = cut(matched(deal_signatures(rows, heavy, targets), tasks, targets), "matched")
+    release(spark)
+    members = cut(buckets(probes(shown, tasks, targets), tasks), "buckets")
     firsts = described.join(copies, ["name", "n_shingles"]).select(F.col("doc_id").alias("doc"), "first")
     firsts = cut(firsts.distinct(), "firsts")
-    members = members.join(firsts, "doc").select("bucket", F.col("first").alias("doc")).distinct()
+    members = members.join(firsts, "doc").groupBy("bucket", F.col("first").alias("doc")).agg(F.max("size").alias("size"), F.max("probe").alias("probe"))
     left = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = cut(members.join(left, "bucket"), "members")
     sets = cut(sets_of(rows, members), "sets")
+    release(spark)
     links = links_in(members, sets).unionByName(firsts.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")))
     roots = components(links)
     out = described.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
