@@ -259,6 +259,8 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 
 #: Records that are framed, or read, at once.
 GROUP = 2000
+#: Stands in files for a null id, which comes before all others.
+NO_ID = -(2**63)
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("length", "<i8"), ("n_ids", "<i8")])
 FILE_SCHEMA = "file long, path string, n_docs long, n_ids long, n_bytes long"
 
@@ -268,7 +270,7 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
     Documents are dealt by ranges of their ids, so that files follow each other, and sorted in each task, which writes
     under a name of its own attempt and renames when done: a lost or repeated task leaves no half file under a final name.
-    Null texts are empty (the end id alone); documents with the same id stand next to each other, by text.
+    Null texts are empty (the end id alone); null ids come first and stay null; documents with the same id stand next to each other, by text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,6 +295,7 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             if out is None:
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(f"{own}.rec")
+            doc = NO_ID if doc is None else doc
             group.append((doc, len(ids), payload(doc, ids)))
             if len(group) >= GROUP:
                 flush()
@@ -336,7 +339,7 @@ def read_records(files: DataFrame) -> DataFrame:
                         if [d for d, _ in items] != some["doc_id"].tolist() or [len(x) for _, x in items] != some["n_ids"].tolist():
                             raise ValueError(f"{name}: the index doesn't fit the records")
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(some["doc_id"]), pa.array(starts[a : a + len(some)]), pa.array(some["n_ids"]), pa.array([x.tobytes() for _, x in items], pa.binary())],
+                            [pa.array(some["doc_id"], mask=some["doc_id"] == NO_ID), pa.array(starts[a : a + len(some)]), pa.array(some["n_ids"]), pa.array([x.tobytes() for _, x in items], pa.binary())],
                             ["doc_id", "start", "n_tokens", "ids"],
                         )
 
