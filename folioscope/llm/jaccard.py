@@ -290,20 +290,24 @@ def links_in(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): links that connect what the buckets' sets connect.
 
     Each round takes pivots of each bucket among the sets that probe it (1, 2, 4, ...: the smallest id of each class of a
-    hash), compares the sets of a fitting size with them and lets them go. A set goes, too, if it is linked to a pivot that
-    leaves no unlinked set near enough; a bucket goes when no probing set is left in it.
+    hash), compares with them the sets of a fitting size that aren't connected to them yet, and lets them go. A set goes,
+    too, if it is linked to a pivot that leaves no set apart from both that is near enough; a bucket goes when all its sets
+    are connected or no probing set is left in it.
     """
-    found, classes = None, 1
+    roots, classes = None, 1
+    members = members.withColumn("root", F.col("doc"))
     while True:
         kind = F.pmod(F.xxhash64("doc"), F.lit(classes))
-        pivots = members.where("probe = 1").groupBy("bucket", kind.alias("k")).agg(F.min(F.struct("doc", "size")).alias("a")).select("bucket", F.col("a.doc").alias("a"), F.col("a.size").alias("n"))
-        paired = cut(members.join(pivots, "bucket").where("a <> doc").select("bucket", "a", F.col("doc").alias("b"), (F.least("n", "size") / F.greatest("n", "size")).alias("most")), "paired")
+        pivots = members.where("probe = 1").groupBy("bucket", kind.alias("k")).agg(F.min(F.struct("doc", "size", "root")).alias("a"))
+        pivots = pivots.select("bucket", F.col("a.doc").alias("a"), F.col("a.size").alias("n"), F.col("a.root").alias("a_root"))
+        paired = members.join(pivots, "bucket").where("a_root <> root").select("bucket", "a", F.col("doc").alias("b"), (F.least("n", "size") / F.greatest("n", "size")).alias("most"))
+        paired = cut(paired, "paired")
         apart = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         fits = F.col("most") >= LINK / 100 - 1e-9
         known = cut(verified(paired.where(fits).select(apart.alias("p")).distinct().select("p.*"), sets), "verified")
         linked = 100 * F.col("both") >= LINK * F.col("either")
         new = known.where(linked).select("a", "b")
-        found = new if found is None else found.unionByName(new)
+        roots = components(new if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
         far = known.select(F.struct("a", "b").alias("p"), (1 - F.col("both") / F.col("either")).alias("d"), linked.alias("linked"))
         seen = paired.where(fits).withColumn("p", apart).join(far, "p").select("bucket", "a", "b", "d", "linked")
         # sets of unfitting sizes are as far as their sizes at least
@@ -311,11 +315,12 @@ def links_in(members: DataFrame, sets: DataFrame) -> DataFrame:
         nearest = seen.where(~F.col("linked")).groupBy("bucket", "a").agg(F.min("d").alias("nearest"))
         done = seen.where("linked").join(nearest, ["bucket", "a"], "left").where(F.col("nearest").isNull() | (F.col("nearest") - F.col("d") > 0.2 + 1e-9))
         gone = done.select("bucket", F.col("b").alias("doc")).unionByName(pivots.select("bucket", F.col("a").alias("doc"))).distinct()
-        rest = members.join(gone, ["bucket", "doc"], "left_anti")
-        left = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.max("probe").alias("p")).where("n > 1 AND p = 1").select("bucket")
-        members, classes = cut(rest.join(left, "bucket").select("bucket", "doc", "size", "probe"), "members"), classes * 2
+        rest = members.drop("root").join(gone, ["bucket", "doc"], "left_anti").join(roots.withColumnRenamed("node", "doc"), "doc", "left")
+        rest = rest.withColumn("root", F.coalesce("root", "doc"))
+        left = rest.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("probe").alias("p")).where("x <> y AND p = 1").select("bucket")
+        members, classes = cut(rest.join(left, "bucket").select("bucket", "doc", "size", "probe", "root"), "members"), classes * 2
         if not members.limit(1).count():
-            return found
+            return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
