@@ -12,6 +12,7 @@ that differs by one shingle (two credits, found by the segment itself and its on
 - A set that is left probes with as few segments as are sure to contain one that a partner shares. Which ones follows from
   their cost, the number of sets under them: the cheapest are taken, and segments of passages that many texts share are
   left out unless they are all that a text has.
+- Sets under one signature are parted by sketches of a thousand bits that differ at most as much as the sets do.
 - Sets under one signature become candidates of a pivot each round, and are verified by their whole sets. The distance
   is a metric: what differs from the pivot by more than a linked set's distance plus 1/5 can't be linked to that set, so
   a group of alike sets needs one comparison each and no group emits all its pairs.
@@ -37,6 +38,8 @@ SMALL = 7
 SLACK = 1.3
 #: Groups of copies with more than this share of all documents are known to every task, so that only one copy is signed.
 HEAVY = 1e-4
+#: Bits of a set's sketch, and sets of a bucket that are parted by their sketches.
+SKETCH, SIFTED = 1024, 4096
 #: `about` holds the mode (bit 31: small), the band (bits 26 to 30) and, of small sets, whether the signature probes, of
 #: larger ones how many of a set's segments in the band a partner shares at least.
 RECORD = [("sig", "<u8"), ("doc", "<i8"), ("size", "<i4"), ("about", "<u4")]
@@ -137,17 +140,24 @@ def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def odd_sketches(own: np.ndarray, names: np.ndarray, n: int) -> np.ndarray:
+    """For each text SKETCH bits: whether an odd number of its shingles fall on each. Two sets' sketches differ in no more bits than the sets differ in shingles."""
+    bit = (mix(names ^ np.uint64(0x8EBC6AF09C88C6E3)) % np.uint64(SKETCH)).astype(np.int64)
+    odd = np.bincount(own * SKETCH + bit, minlength=n * SKETCH).reshape(n, SKETCH) & 1
+    return np.packbits(odd.astype(bool), axis=1)
+
+
 def describe(rows: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, name) of each row."""
+    """(doc_id, n_shingles, name, sketch) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 own, names = shingles(part.column("text"))
                 n = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.bincount(own, minlength=n)), pa.array(set_names(own, names, n).view(np.int64))], ["doc_id", "n_shingles", "name"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.bincount(own, minlength=n)), pa.array(set_names(own, names, n).view(np.int64)), pa.array([x.tobytes() for x in odd_sketches(own, names, n)], pa.binary())], ["doc_id", "n_shingles", "name", "sketch"])
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, name long")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, name long, sketch binary")
 
 
 def deal_signatures(rows: DataFrame, heavy: dict[int, int], targets: int) -> DataFrame:
@@ -252,6 +262,70 @@ def buckets(packed: DataFrame, tasks: int) -> DataFrame:
     return packed.repartition(tasks, "pid").sortWithinPartitions("pid").mapInArrow(run, "bucket long, doc long, size long, probe int")
 
 
+def sifted(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The buckets' sets, parted where no sketch and size allow a link.
+
+    Buckets pass one by one, sorted by Spark. One of more than SIFTED sets stays as it is: parting only saves comparisons.
+    """
+
+    def parted(doc: np.ndarray, size: np.ndarray, probe: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+        """A part number for each set; sets of one part are connected by pairs that may be links, one of them probing."""
+        part, asks = np.arange(len(doc)), np.flatnonzero(probe)
+        words = sketch.view(np.uint64)
+        may = []
+        for i in asks:
+            n = size[i] + size
+            near = (np.minimum(size[i], size) * 5 >= np.maximum(size[i], size) * 4) & (np.bitwise_count(words ^ words[i]).sum(axis=1) * 9 <= n)
+            near[i] = False
+            may.append(np.flatnonzero(near))
+        changed = True
+        while changed:
+            changed = False
+            for i, others in zip(asks, may, strict=True):
+                if len(others):
+                    least = min(part[i], part[others].min())
+                    if part[i] != least or (part[others] != least).any():
+                        part[i], part[others], changed = least, least, True
+        return part
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["bucket", "doc", "size", "probe"]
+        held: list[list] = []
+
+        def done() -> pa.RecordBatch:
+            bucket, doc, size, probe = (np.array(c, dtype=np.int64) for c in list(zip(*held, strict=True))[:4])
+            part = parted(doc, size, probe, np.frombuffer(b"".join(r[4] for r in held), np.uint8).reshape(len(doc), -1))
+            keep = np.bincount(part, minlength=len(doc))[part] > 1
+            with np.errstate(over="ignore"):
+                # parts of the same sets in several buckets are one
+                sums = np.zeros(len(doc), np.uint64)
+                np.add.at(sums, part, mix(doc.astype(np.uint64) * np.uint64(2) + probe.astype(np.uint64) + SEGMENT))
+                bucket = mix(sums)[part].view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (bucket, doc, size, probe.astype(np.int32))], names)
+
+        def whole() -> pa.RecordBatch:
+            bucket, doc, size, probe, _ = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(doc, pa.int64()), pa.array(size, pa.int64()), pa.array(probe, pa.int32())], names)
+
+        wide = None  # the bucket that has turned out too large and passes through
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in [*names, "sketch"]), strict=True):
+                if held and held[0][0] != row[0]:
+                    yield whole() if held[0][0] == wide else done()
+                    held.clear()
+                held.append(row)
+                if len(held) > SIFTED:
+                    wide = row[0]
+                    yield whole()
+                    held.clear()
+        if held:
+            yield whole() if held[0][0] == wide else done()
+
+    joined = members.join(sketches, "doc").select("bucket", "doc", "size", "probe", "sketch")
+    parts = joined.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket long, doc long, size long, probe int")
+    return parts.distinct()
+
+
 def sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc, items): the sorted shingle names of the wanted documents."""
 
@@ -346,7 +420,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     firsts = cut(firsts.distinct(), "firsts")
     members = members.join(firsts, "doc").groupBy("bucket", F.col("first").alias("doc")).agg(F.max("size").alias("size"), F.max("probe").alias("probe"))
     left = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = cut(members.join(left, "bucket"), "members")
+    members = cut(members.join(left, "bucket").select("bucket", "doc", "size", "probe"), "members")
+    sketches = described.where("n_shingles > 0").select(F.col("doc_id").alias("doc"), "sketch").dropDuplicates(["doc"])
+    members = cut(sifted(members, sketches), "sifted")
     sets = cut(sets_of(rows, members), "sets")
     release(spark)
     links = links_in(members, sets).unionByName(firsts.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")))
