@@ -71,9 +71,9 @@ def article_blocks(raw: Column) -> Column:
 def outline(raw: Column) -> Column:
     """A study guide: every line that isn't blank or a page number, the first that names it as title."""
     lines = F.filter(F.transform(F.split(deligature(raw), LINE_END), strip), lambda s: (s != "") & ~s.rlike(r"(?U)^\d{1,4}\s+de\s+\d{1,4}$"))
-    titles = F.transform(lines, lambda s: F.lower(s).contains("temario"))
-    first = F.array_position(titles, True)
-    return F.array_join(F.transform(lines, lambda s, i: F.when(i + 1 == first, F.concat(F.lit("# "), s)).otherwise(s)), "\n\n")
+    first = F.array_position(F.transform(lines, lambda s: F.lower(s).contains("temario")), True).cast("int")
+    titled = F.concat(F.slice(lines, 1, first - 1), F.array(F.concat(F.lit("# "), F.get(lines, first - 1))), F.slice(lines, first + 1, F.size(lines)))
+    return F.array_join(F.when(first > 0, titled).otherwise(lines), "\n\n")
 
 
 def convert(pages: DataFrame, converted: Column) -> DataFrame:
