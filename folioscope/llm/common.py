@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -213,8 +214,10 @@ def undealt(batches: Iterator[pa.RecordBatch], kinds: list[tuple[str, str]], wit
 
 def release(spark: SparkSession) -> None:
     """Let the driver forget shuffles that no plan needs any more, so that their files go before the next step's come."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python lets go reaches the JVM a little later
+        gc.collect()
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
 
 
 def targets_of(spark: SparkSession) -> tuple[int, int]:
