@@ -363,7 +363,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def links_in(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): links that connect what the buckets' sets connect.
 
-    Each round takes pivots of each bucket among the sets that probe it (1, 2, 4, ...: the smallest id of each class of a
+    Each round takes pivots of each bucket among the sets that probe it (1, 4, 16, ...: the smallest id of each class of a
     hash), compares with them the sets of a fitting size that aren't connected to them yet, and lets them go. A set goes,
     too, if it is linked to a pivot that leaves no set apart from both that is near enough; a bucket goes when all its sets
     are connected or no probing set is left in it.
@@ -381,7 +381,8 @@ def links_in(members: DataFrame, sets: DataFrame) -> DataFrame:
         known = cut(verified(paired.where(fits).select(apart.alias("p")).distinct().select("p.*"), sets), "verified")
         linked = 100 * F.col("both") >= LINK * F.col("either")
         new = known.where(linked).select("a", "b")
-        roots = components(new if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
+        if roots is None or new.limit(1).count():
+            roots = components(new if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
         far = known.select(F.struct("a", "b").alias("p"), (1 - F.col("both") / F.col("either")).alias("d"), linked.alias("linked"))
         seen = paired.where(fits).withColumn("p", apart).join(far, "p").select("bucket", "a", "b", "d", "linked")
         # sets of unfitting sizes are as far as their sizes at least
@@ -392,7 +393,7 @@ def links_in(members: DataFrame, sets: DataFrame) -> DataFrame:
         rest = members.drop("root").join(gone, ["bucket", "doc"], "left_anti").join(roots.withColumnRenamed("node", "doc"), "doc", "left")
         rest = rest.withColumn("root", F.coalesce("root", "doc"))
         left = rest.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("probe").alias("p")).where("x <> y AND p = 1").select("bucket")
-        members, classes = cut(rest.join(left, "bucket").select("bucket", "doc", "size", "probe", "root"), "members"), classes * 2
+        members, classes = cut(rest.join(left, "bucket").select("bucket", "doc", "size", "probe", "root"), "members"), classes * 4
         if not members.limit(1).count():
             return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
