@@ -39,15 +39,17 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = 1000) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int | None = None, block: int = 1000) -> DataFrame:
     """(qid, rid, score, rank) of the k rows of (rid, embedding) with the largest products with each query (qid, embedding).
 
-    The queries are a stated set, counted first: up to most_queries are broadcast to the scan of the vectors. For more,
-    pass them in blocks; results don't depend on the blocks, as each query is ranked for itself.
+    The queries are counted first: up to block of them are broadcast to the scan of the vectors, more are dealt into blocks
+    of that size, each of which meets each part of the vectors in a task of its own. Results don't depend on the blocks, as
+    each query is ranked for itself. With most_queries, a larger set is an error.
     """
-    n = queries.limit(most_queries + 1).count()
-    if n > most_queries:
-        raise ValueError(f"more than {most_queries} queries: pass them in blocks")
+    n = queries.count()
+    if most_queries is not None and n > most_queries:
+        raise ValueError(f"more than {most_queries} queries")
     asked = queries.select("qid", F.col("embedding").alias("q"))
-    pairs = vectors.crossJoin(F.broadcast(asked))
+    asked = F.broadcast(asked) if n <= block else asked.repartition(-(-n // block)).hint("shuffle_replicate_nl")
+    pairs = vectors.crossJoin(asked)
     return top(pairs.select("qid", "rid", dot(F.col("q"), F.col("embedding")).alias("score")), k)

@@ -1,0 +1,39 @@
+"""Queries that take whole tables where the catalog's, whose SQL is fixed, take a part; each with SQL of its own."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscope.operators import dense
+from folioscope.plans.catalog import Query
+
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def queries() -> dict[str, Query]:
+    return QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return SQL
+
+
+@query
+def dense_whole_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all vectors for every vector whose id is divisible by 50."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("rid"), dense.unit(F.col("embedding")).alias("embedding"))
+    asked = vectors.where("rid % 50 = 0").withColumnRenamed("rid", "qid")
+    return dense.nearest(vectors, asked, 10).select("qid", "rank", "rid", F.round("score", 4).alias("score"))
+
+
+SQL["dense_whole_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS qid, v.vec_id AS rid, list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) AS score FROM v, v q WHERE q.vec_id % 50 = 0)
+SELECT qid, CAST(rank AS INTEGER) AS rank, rid, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, rid) AS rank FROM s) WHERE rank <= 10"""
