@@ -316,7 +316,7 @@ def consult_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, asked = chunks(spark, sf_dir), questions(spark, sf_dir)
     index = lexical.index(rows)
     law = rows.withColumn("doc_type", F.when(F.col("doc_type") == "fr", "ley").otherwise(F.col("doc_type")))
-    core = fusion.hybrid(law, lexical.bm25(index, asked, 20), lexical.bm25(index, asked, 20), with_repealed=True)
+    core = fusion.hybrid(law, lexical.bm25(index, asked, fusion.POOL), sparse.cosine(sparse.index(rows), asked, fusion.POOL), with_repealed=True).persist()  # a few rows for each question, read several times below
     refs = graph.edges(law)
     made = advisory.bundle(asked, core, advisory.expand(core, law, refs), advisory.topics(rows, index, asked, kind="en"))
     size = lambda part: F.size(F.from_json(F.get_json_object("bundle", f"$.{part}"), "array<string>")).cast("long")

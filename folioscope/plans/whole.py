@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.operators import dense
-from folioscope.plans.catalog import Query
+from folioscope.operators import dense, fusion
+from folioscope.plans import adapters, oracle
+from folioscope.plans.adapters import view
+from folioscope.plans.catalog import Query, ranked_lists
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -37,3 +39,14 @@ SQL["dense_whole_topk"] = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS e FROM embeddings),
 s AS (SELECT q.vec_id AS qid, v.vec_id AS rid, list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) AS score FROM v, v q WHERE q.vec_id % 50 = 0)
 SELECT qid, CAST(rank AS INTEGER) AS rank, rid, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, rid) AS rank FROM s) WHERE rank <= 10"""
+
+
+@query
+def hybrid_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All benchmark passages as queries in one plan, by the lexical and the semantic list."""
+    rows, words, vectors = ranked_lists(spark, sf_dir, view(spark, sf_dir, adapters.PASSAGES), fusion.POOL)
+    return fusion.hybrid(rows, words, vectors, types=None, with_repealed=True).select("qid", "rank", "rid", "score")
+
+
+SQL["hybrid_whole"] = f"""WITH RECURSIVE {oracle.INDEX}, {oracle.SPARSE}, {oracle.bm25(oracle.PA, 200)}, {oracle.cosine(200)}, {oracle.hybrid("true")}
+SELECT qid, CAST(rank AS INTEGER) AS rank, rid, round(rrf, 4) AS score FROM cutoff"""

@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__
 from folioscope.operators import dense
-from folioscope.plans import whole
+from folioscope.plans import catalog, oracle, whole
 
 TABLES = "orders documents embeddings benchmark labels".split()
 
@@ -40,3 +40,15 @@ def test_dense_blocks(spark):
     assert one == several and len(one) == 21
     many = spark.range(1001).selectExpr("id AS qid", "array(1.0f, 0.0f, 0.0f, 0.0f) AS embedding")
     assert dense.nearest(vectors, many, 2).count() == 2002
+
+
+def test_hybrid_has_hits_beyond_the_lexical_list(spark, tables):
+    part = catalog.hybrid_batch(spark, tables).select("qid", "rid")
+    assert whole.hybrid_whole(spark, tables).join(part, ["qid", "rid"], "left_anti").count() > 0
+
+
+def test_bundles_take_both_lists(spark, tables, db):
+    """Before, the semantic list was the lexical one once more, and both had 20 rows."""
+    sql = f"WITH RECURSIVE {oracle.INDEX}, {oracle.SPARSE}, {oracle.bm25(oracle.QU, 200)}, {oracle.cosine(200)}, {oracle.hybrid('c.doc_type = $$fr$$')} SELECT qid, count(*) FROM cutoff GROUP BY qid"
+    found = {r.qid: r.n_core for r in catalog.consult_bundle(spark, tables).collect() if r.n_core}
+    assert found == dict(db.sql(sql).fetchall()) and found
