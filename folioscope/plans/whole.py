@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.functions import text as T
 from folioscope.operators import dense, fusion
 from folioscope.plans import adapters, oracle
 from folioscope.plans.adapters import view
-from folioscope.plans.catalog import Query, ranked_lists
+from folioscope.plans.catalog import Query, questions, ranked_lists
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -50,3 +51,24 @@ def hybrid_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["hybrid_whole"] = f"""WITH RECURSIVE {oracle.INDEX}, {oracle.SPARSE}, {oracle.bm25(oracle.PA, 200)}, {oracle.cosine(200)}, {oracle.hybrid("true")}
 SELECT qid, CAST(rank AS INTEGER) AS rank, rid, round(rrf, 4) AS score FROM cutoff"""
+
+
+def words_held(hits: DataFrame) -> DataFrame:
+    """A stand-in scorer: how many of the query's words the whole text holds."""
+    terms = lambda c: F.array_distinct(T.tokens(F.col(c)))
+    return hits.withColumn("score", F.size(F.array_intersect(terms("query"), terms("text"))).cast("double"))
+
+
+@query
+def rerank_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The margin cut over both lists, scored by whole texts."""
+    asked = questions(spark, sf_dir)
+    rows, words, vectors = ranked_lists(spark, sf_dir, asked, fusion.POOL)
+    out = fusion.hybrid(rows, words, vectors, types=None, with_repealed=True, margin=0.5, reranker=words_held, queries=asked)
+    return out.select("qid", "rank", "rid", "score")
+
+
+SQL["rerank_whole"] = f"""WITH RECURSIVE {oracle.INDEX}, {oracle.SPARSE}, {oracle.bm25(oracle.QU, 200)}, {oracle.cosine(200)}, {oracle.hybrid("true")},
+scored AS (SELECT p.qid, p.rid, CAST(len(list_intersect(list_distinct({oracle.toks("q.query")}), list_distinct({oracle.toks("c.text")}))) AS DOUBLE) AS s FROM pool p JOIN ch c USING (rid) JOIN qs q USING (qid)),
+best AS (SELECT *, max(s) OVER (PARTITION BY qid) AS top FROM scored)
+SELECT qid, CAST(rank AS INTEGER) AS rank, rid, s AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, rid) AS rank FROM best WHERE s >= top - 0.5) WHERE rank <= 25"""

@@ -52,3 +52,14 @@ def test_bundles_take_both_lists(spark, tables, db):
     sql = f"WITH RECURSIVE {oracle.INDEX}, {oracle.SPARSE}, {oracle.bm25(oracle.QU, 200)}, {oracle.cosine(200)}, {oracle.hybrid('c.doc_type = $$fr$$')} SELECT qid, count(*) FROM cutoff GROUP BY qid"
     found = {r.qid: r.n_core for r in catalog.consult_bundle(spark, tables).collect() if r.n_core}
     assert found == dict(db.sql(sql).fetchall()) and found
+
+
+def test_rerank_reads_whole_texts(spark):
+    """A match after character 900 counts as one before it."""
+    hits = spark.createDataFrame([(0, 1, "casa dueño", "x " * 600 + "Casa del dueño"), (0, 2, "casa dueño", "casa")], "qid long, rid long, query string, text string")
+    assert {r.rid: r.score for r in whole.words_held(hits).collect()} == {1: 2.0, 2: 1.0}
+
+
+def test_rerank_finds_late_matches(spark, tables):
+    part = catalog.rerank_cut(spark, tables).select("qid", "rid")
+    assert whole.rerank_whole(spark, tables).join(part, ["qid", "rid"], "left_anti").count() > 0
