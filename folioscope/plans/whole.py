@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.functions import rules
 from folioscope.functions import text as T
-from folioscope.operators import dense, fusion
+from folioscope.operators import advisory, dense, fusion, graph, lexical
 from folioscope.plans import adapters, oracle
 from folioscope.plans.adapters import view
 from folioscope.plans.catalog import Query, questions, ranked_lists
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+#: (qid, query): questions to the statutes.
+STATUTE_QUERIES = "SELECT * FROM (VALUES (0, 'derogadas otras normas'), (1, 'la parte puede pedir 15 y 25'), (2, 'ley orgánica'), (3, 'artículo 777'), (4, 'zzzz')) AS t(qid, query)"
 
 
 def query(f: Query) -> Query:
@@ -72,3 +75,23 @@ SQL["rerank_whole"] = f"""WITH RECURSIVE {oracle.INDEX}, {oracle.SPARSE}, {oracl
 scored AS (SELECT p.qid, p.rid, CAST(len(list_intersect(list_distinct({oracle.toks("q.query")}), list_distinct({oracle.toks("c.text")}))) AS DOUBLE) AS s FROM pool p JOIN ch c USING (rid) JOIN qs q USING (qid)),
 best AS (SELECT *, max(s) OVER (PARTITION BY qid) AS top FROM scored)
 SELECT qid, CAST(rank AS INTEGER) AS rank, rid, s AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, rid) AS rank FROM best WHERE s >= top - 0.5) WHERE rank <= 25"""
+
+
+def found_core(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Core hits (qid, rank, rid, slug, article, doc_type): the best of all rows for each question."""
+    return lexical.bm25(lexical.index(rows), asked, fusion.CAP).join(rows.select("rid", "slug", "article", "doc_type"), "rid")
+
+
+@query
+def consult_related_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the graph ties to hits that a search over all statutes finds."""
+    rows = view(spark, sf_dir, adapters.STATUTES).withColumn("vigente", rules.in_force(F.col("text")).cast("int"))
+    asked = view(spark, sf_dir, STATUTE_QUERIES).withColumn("qid", F.col("qid").cast("long"))
+    core = found_core(rows, asked).persist()  # a few rows for each question, read several times
+    out = advisory.expand(core, rows, graph.edges(rows))
+    return out.select("qid", "place", "slug", "article", "relation", "citation", "vigente", "excerpt")
+
+
+SQL["consult_related_whole"] = f"""WITH {oracle.INDEX.replace(oracle.CH, oracle.ST)}, {oracle.bm25(STATUTE_QUERIES, 25)}, {oracle.REFS},
+core AS (SELECT qid, rank, st.slug, st.article FROM bm JOIN st USING (rid)),
+seeds AS{oracle.SQL["consult_related"].split("seeds AS", 1)[1]}"""

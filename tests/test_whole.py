@@ -5,7 +5,8 @@ import pytest
 
 import __spark_entry__
 from folioscope.operators import dense
-from folioscope.plans import catalog, oracle, whole
+from folioscope.plans import adapters, catalog, oracle, whole
+from folioscope.plans.adapters import view
 
 TABLES = "orders documents embeddings benchmark labels".split()
 
@@ -63,3 +64,13 @@ def test_rerank_reads_whole_texts(spark):
 def test_rerank_finds_late_matches(spark, tables):
     part = catalog.rerank_cut(spark, tables).select("qid", "rid")
     assert whole.rerank_whole(spark, tables).join(part, ["qid", "rid"], "left_anti").count() > 0
+
+
+def test_related_follow_hits_of_any_id(spark, tables):
+    """Before, the core was nine articles with ids up to 81, the same for every question."""
+    rows = view(spark, tables, adapters.STATUTES)
+    asked = spark.createDataFrame([(0, "derogadas otras normas"), (1, "ley orgánica")], "qid long, query string")
+    core = {}
+    for r in whole.found_core(rows, asked).collect():
+        core.setdefault(r.qid, set()).add(r.rid)
+    assert core[0] != core[1] and max(core[0]) > 81 and all(len(c) == 25 for c in core.values())
