@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import rules
@@ -95,3 +95,38 @@ def consult_related_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["consult_related_whole"] = f"""WITH {oracle.INDEX.replace(oracle.CH, oracle.ST)}, {oracle.bm25(STATUTE_QUERIES, 25)}, {oracle.REFS},
 core AS (SELECT qid, rank, st.slug, st.article FROM bm JOIN st USING (rid)),
 seeds AS{oracle.SQL["consult_related"].split("seeds AS", 1)[1]}"""
+
+
+def _related(spark: SparkSession, sf_dir: str, relation: str) -> DataFrame:
+    rows = view(spark, sf_dir, adapters.STATUTES)
+    return graph.related(rows, graph.edges(rows), rows, relation == "neighbors").where(F.col("relation") == relation)
+
+
+def _placed(found: DataFrame) -> DataFrame:
+    order = Window.partitionBy("slug", "article").orderBy(T.article_key(F.col("other")))
+    return found.select("slug", "article", "other", F.row_number().over(order).alias("place"))
+
+
+@query
+def related_cites_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every article cites."""
+    return _placed(_related(spark, sf_dir, "cites"))
+
+
+@query
+def related_cited_by_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What cites every article."""
+    return _placed(_related(spark, sf_dir, "cited_by"))
+
+
+@query
+def related_neighbors_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every article, how many neighbours it has, and the first of them."""
+    found = _related(spark, sf_dir, "neighbors").groupBy("slug", "article")
+    return found.agg(F.count("*").alias("n"), F.min_by("other", T.article_key(F.col("other"))).alias("first"))
+
+
+SQL["related_cites_whole"] = oracle.related("SELECT slug, src AS article, dst AS other FROM edges")
+SQL["related_cited_by_whole"] = oracle.related("SELECT slug, dst AS article, src AS other FROM edges")
+SQL["related_neighbors_whole"] = f"""WITH {oracle.REFS}
+SELECT a.slug, a.article, count(*) AS n, arg_min(b.article, CAST(b.article AS BIGINT)) AS first FROM st a JOIN st b ON a.section = b.section AND a.article <> b.article GROUP BY a.slug, a.article"""

@@ -74,3 +74,11 @@ def test_related_follow_hits_of_any_id(spark, tables):
     for r in whole.found_core(rows, asked).collect():
         core.setdefault(r.qid, set()).add(r.rid)
     assert core[0] != core[1] and max(core[0]) > 81 and all(len(c) == 25 for c in core.values())
+
+
+def test_related_of_every_article(spark, tables):
+    """Before, five articles were asked."""
+    edges = {tuple(r) for r in catalog.ref_edges(spark, tables).select("slug", "src", "dst").collect()}
+    cites = {(r.slug, r.article, r.other) for r in whole.related_cites_whole(spark, tables).collect()}
+    cited = {(r.slug, r.other, r.article) for r in whole.related_cited_by_whole(spark, tables).collect()}
+    assert cites == cited == edges and len({c[1] for c in cites}) > 5
