@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import rules
 from folioscope.functions import text as T
-from folioscope.operators import advisory, dense, fusion, graph, lexical
+from folioscope.operators import advisory, dense, fusion, graph, lexical, sparse
 from folioscope.plans import adapters, oracle
 from folioscope.plans.adapters import view
-from folioscope.plans.catalog import Query, questions, ranked_lists
+from folioscope.plans.catalog import Query, chunks, questions, ranked_lists
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -130,3 +130,21 @@ SQL["related_cites_whole"] = oracle.related("SELECT slug, src AS article, dst AS
 SQL["related_cited_by_whole"] = oracle.related("SELECT slug, dst AS article, src AS other FROM edges")
 SQL["related_neighbors_whole"] = f"""WITH {oracle.REFS}
 SELECT a.slug, a.article, count(*) AS n, arg_min(b.article, CAST(b.article AS BIGINT)) AS first FROM st a JOIN st b ON a.section = b.section AND a.article <> b.article GROUP BY a.slug, a.article"""
+
+
+@query
+def fold_tokens_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All terms and how many documents have them."""
+    return lexical.index(chunks(spark, sf_dir)).frequencies
+
+
+@query
+def sparse_features_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features with their dimension and how often they occur."""
+    rows = chunks(spark, sf_dir)
+    counts = sparse.counted(rows, "rid", sparse.document_text(rows))
+    return counts.groupBy("feature", "dim").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+
+
+SQL["fold_tokens_whole"] = f"WITH {oracle.INDEX} SELECT term, df FROM dfs"
+SQL["sparse_features_whole"] = f"WITH RECURSIVE {oracle.INDEX}, {oracle.SPARSE} SELECT feature, dim, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df FROM cf GROUP BY feature, dim"

@@ -82,3 +82,9 @@ def test_related_of_every_article(spark, tables):
     cites = {(r.slug, r.article, r.other) for r in whole.related_cites_whole(spark, tables).collect()}
     cited = {(r.slug, r.other, r.article) for r in whole.related_cited_by_whole(spark, tables).collect()}
     assert cites == cited == edges and len({c[1] for c in cites}) > 5
+
+
+def test_rare_terms_and_features(spark, tables):
+    """Before, the first 100 terms and 200 features were returned, so none that a single document has."""
+    for made in (whole.fold_tokens_whole(spark, tables), whole.sparse_features_whole(spark, tables)):
+        assert made.count() > 200 and made.where("df = 1").count() > 0
