@@ -7,8 +7,9 @@ else 32-bit). Beside each file lies an index: for each record the document id, i
 
 from __future__ import annotations
 
+import json
+import re
 import struct
-import zlib
 from collections.abc import Iterator
 from functools import cache
 from urllib.parse import urlparse
@@ -26,7 +27,7 @@ from folioscope.llm.common import cut, new_path, slices, table
 #: The id that ends each document.
 END_ID = 2
 #: Distinct words whose ids a worker keeps; beyond, it starts anew. A bound on memory only.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 500_000
 #: Distinct words that one call encodes.
 CALL_WORDS = 2000
 #: Split apart by Python and Arrow, but no white space to the tokenizer.
@@ -37,6 +38,12 @@ MARK = "\x01"
 BEYOND_LATIN = "[^\\x00-\\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
 #: A comma or full stop between a letter and white space is a piece of its own to tokenizers that part letters and signs.
 TAIL = "([a-z\u00df-\u00f6\u00f8-\u00ff])([.,])(\\s|$)"
+#: How a tokenizer file declares that it drops white space, lowers cases and parts letters, digits and signs.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PARTING = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: That parting for words in lower case within BEYOND_LATIN's limits.
+LATIN_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
+LATIN_WORD = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -60,48 +67,109 @@ def tokenizer(path: str):
     return t
 
 
+def parts_words(spec: dict) -> bool:
+    """Whether a tokenizer file declares that white space parts tokens and is dropped, and that words fall into the pieces of PARTING."""
+    steps, model = (spec.get("pre_tokenizer") or {}).get("pretokenizers", []), spec.get("model") or {}
+    split, level = steps if len(steps) == 2 else ({}, {})
+    return (
+        spec.get("normalizer") == NORMALIZER
+        and (split.get("type"), split.get("pattern"), split.get("behavior"), split.get("invert")) == ("Split", {"Regex": PARTING}, "Removed", True)
+        and (level.get("type"), level.get("add_prefix_space"), level.get("use_regex")) == ("ByteLevel", False, False)
+        and model.get("type") == "BPE"
+        and bool(model.get("end_of_word_suffix"))
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        and all(t["special"] for t in spec.get("added_tokens", []))
+    )
+
+
+def stretches(pool: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' stretches of the pool one after the other, and their lengths; row i ends at ends[i + 1]."""
+    starts, lengths = ends[rows], ends[rows + 1] - ends[rows]
+    at = np.concatenate([[0], np.cumsum(lengths)])
+    return pool[np.repeat(starts - at[:-1], lengths) + np.arange(at[-1])], lengths
+
+
+@cache
+def merger(path: str):
+    """The file's merges alone, for pieces that white space parts and that are normal already."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"] = None
+    spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, spec["pre_tokenizer"]["pretokenizers"][1]]}
+    t = Tokenizer.from_str(json.dumps(spec))
+    t.encode_special_tokens = True
+    return t
+
+
 class Encoder:
     """Ids of whole texts by a tokenizer that never joins what white space parts.
 
-    For such a tokenizer (white space is dropped, tokens lie within words), a text's ids are its words' ids in order:
-    each distinct word of a step is encoded once by the library, and steps share what they know. Any other tokenizer,
-    and a text with a separator that only some libraries take for white space, is encoded as it is.
+    Where the tokenizer's file declares so (parts_words), a text's ids are its words' ids in order: each distinct word of
+    a step is encoded once, and steps share what they know. A word of ASCII and Latin-1 letters is cut into its pieces
+    here, and the library only merges them; other words go through the whole library. Any other tokenizer, and a text
+    with a separator that only some libraries take for white space, is encoded as it is.
     """
 
     def __init__(self, path: str) -> None:
         self.t = tokenizer(path)
-        probe = "Ab, cd.é\n\t1　'S x y\u0085z"
-        whole = self.ids([probe])[0]
-        self.by_word = whole == [i for w in self.ids(probe.split()) for i in w] and whole == self.ids([f" {probe} "])[0]
-        self.mark = self.ids([MARK])[0][-1]
-        signs = "Ab, ÀÉ. cd,\n(x). y"
-        self.plain = self.ids([signs]) == self.ids(["ab , àé .  cd ,\n(x). y"])
-        self.by_word &= len(self.ids([MARK])[0]) == 1 and self.ids([f"x {MARK} {MARK} y"])[0].count(self.mark) == 2
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.by_word = parts_words(spec) and len(self.ids([MARK])[0]) == 1
+        if self.by_word:
+            self.mark = self.ids([MARK])[0][0]
+            suffix = spec["model"]["end_of_word_suffix"]
+            self.is_end = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+            self.is_end[[i for word, i in spec["model"]["vocab"].items() if word.endswith(suffix)]] = True
+            self.merge = merger(path)
         self.known: dict[str, int] = {}
         self.forget()
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def forget(self) -> None:
+    def forget(self, words: list[str] | None = None) -> None:
+        """Forget all words but those given."""
+        words = [w for w in words or [] if w in self.known]
+        pool, ends = (self.pool, self.ends) if words else (np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        ids, lengths = stretches(pool, ends, np.array([self.known[w] for w in words], dtype=np.int64))
         self.known.clear()
-        self.pool, self.ends, self.used = np.zeros(1 << 20, np.uint32), np.zeros(1, np.int64), 0
+        self.known.update(zip(words, range(len(words)), strict=True))
+        self.pool, self.ends, self.used = np.concatenate([ids, np.zeros(1 << 20, np.uint32)]), np.concatenate([[0], np.cumsum(lengths)]), len(ids)
 
     def learn(self, words: list[str]) -> None:
-        """Encode words in calls of many, parted by spaces; each token's word is found by its place."""
-        for at in range(0, len(words), CALL_WORDS):
-            some = words[at : at + CALL_WORDS]
-            new, counts = self.call(some)
-            if self.used + len(new) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(new)), np.uint32)])
-            self.pool[self.used : self.used + len(new)] = new
-            first = len(self.ends) - 1
-            self.ends = np.concatenate([self.ends, self.used + np.cumsum(counts)])
-            self.used += len(new)
-            self.known.update(zip(some, range(first, first + len(some)), strict=True))
+        """Encode words in calls of many, and keep where each one's ids stand."""
+        texts = pa.array(words, pa.string())
+        letters, odd = np.asarray(pc.match_substring_regex(texts, LATIN_WORD)), np.asarray(pc.match_substring_regex(texts, f"{BEYOND_LATIN}|[A-Z\u00c0-\u00d6\u00d8-\u00de{MARK}]"))
+        found, counts = [], [np.diff(self.ends)]
+        for kind, call in ((letters, self.merged), (~letters & ~odd, self.pieced), (odd, self.call)):
+            some_of = texts.filter(pa.array(kind)).to_pylist()
+            for at in range(0, len(some_of), CALL_WORDS):
+                made = call(some_of[at : at + CALL_WORDS])
+                found.append(made[0])
+                counts.append(made[1])
+            self.known.update(zip(some_of, range(len(self.known), len(self.known) + len(some_of)), strict=True))
+        for ids in found:
+            if self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+        self.ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+
+    def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that are one piece each, and how many each has: a piece's last token bears the suffix."""
+        ids = np.asarray(self.merge.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        return ids, np.diff(np.flatnonzero(self.is_end[ids]), prepend=-1)
+
+    def pieced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        pieces = [LATIN_PIECE.findall(w) for w in words]
+        ids, counts = self.merged([p for w in pieces for p in w])
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum([len(w) for w in pieces])])]
+        return ids, np.diff(ends)
 
     def call(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words and how many each has. A mark, which no other word's ids contain, stands after each word."""
+        """Ids of the words and how many each has, by the whole library. A mark, which no other word's ids contain, stands after each word."""
         if any(MARK in w for w in words):
             own = self.ids(words)
             return np.fromiter((i for w in own for i in w), dtype=np.uint32), np.array([len(w) for w in own], dtype=np.int64)
@@ -112,28 +180,26 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, bounds by text); null is empty."""
         texts = pc.fill_null(texts, "")
-        odd = np.ones(len(texts), bool) if not self.by_word else np.asarray(pc.match_substring_regex(texts, SEPARATORS))
-        if odd.any():
-            plain = pc.if_else(pa.array(odd), "", texts)
-        else:
-            plain = texts
-        if self.plain:
-            safe = pc.invert(pc.match_substring_regex(plain, BEYOND_LATIN))
-            plain = pc.if_else(safe, pc.replace_substring_regex(pc.utf8_lower(plain), TAIL, r"\1 \2\3"), plain)
+        if not self.by_word:
+            own = self.ids(texts.to_pylist())
+            return np.fromiter((i for x in own for i in x), dtype=np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
+        odd = np.asarray(pc.match_substring_regex(texts, SEPARATORS))
+        plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+        beyond = pc.match_substring_regex(plain, BEYOND_LATIN)
+        lowered = pc.replace_substring_regex(pc.utf8_lower(plain), TAIL, r"\1 \2\3")
+        plain = pc.if_else(beyond, plain, lowered) if pc.any(beyond).as_py() else lowered
         lists = pc.utf8_split_whitespace(plain)
         bounds = np.asarray(lists.offsets, dtype=np.int64)
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.forget()
-            new = words
+        known = self.known
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > KEPT_WORDS:
+            self.forget(words)
         self.learn(new)
-        rows = np.fromiter((self.known[w] for w in words), dtype=np.int64, count=len(words))[np.asarray(coded.indices)]
-        starts, lengths = self.ends[rows], np.diff(self.ends)[rows]
-        at = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.pool[np.repeat(starts - at[:-1], lengths) + np.arange(at[-1])]
-        bounds = at[bounds - bounds[0]]
+        rows = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))[np.asarray(coded.indices)]
+        ids, lengths = stretches(self.pool, self.ends, rows)
+        bounds = np.concatenate([[0], np.cumsum(lengths)])[bounds - bounds[0]]
         if odd.any():
             own = {int(i): self.ids([texts[int(i)].as_py()])[0] for i in np.flatnonzero(odd)}
             parts = [np.asarray(own[i], np.uint32) if i in own else ids[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
