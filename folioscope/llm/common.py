@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -17,18 +16,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text that one vectorised step holds at once, in bytes; a longer single text is one step of its own.
-STEP_BYTES = 4 << 20
-
-
+STEP_BYTES = 2 << 20
+#: While a table is written: its shuffle files go at the end, and Python workers get few rows at a time.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); where it is unset, as in tests, a temporary one."""
+    """The folder all executors share (spark.checkpoint.dir). Where it is unset, a temporary one, for a local master only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = _own.setdefault(spark.sparkContext.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='folioscope-')}"
-        _own[spark.sparkContext.applicationId] = path
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if context.applicationId not in _own:
+            _own[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='folioscope-')}"
+        path = _own[context.applicationId]
     return path.rstrip("/")
 
 
@@ -37,11 +40,27 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: later stages don't depend on what made it."""
+    """Write df as a table in the shared folder and read it again: later stages don't depend on what made it, and its shuffles are over."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote and that no later stage reads."""
+    for x in tables:
+        path = x.sparkSession._jvm.org.apache.hadoop.fs.Path(x.written_to)
+        path.getFileSystem(x.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,8 +100,13 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
 
 def hash_words(words: pa.Array, seed: int = 0) -> np.ndarray:
     """A 64-bit name for each word, the same everywhere."""
-    f = xxhash.xxh3_64_intdigest
-    return np.fromiter((f(w, seed) for w in words.to_pylist()), dtype=np.uint64, count=len(words))
+    return hash_twice(words, seed)[:, 0]
+
+
+def hash_twice(words: pa.Array, seed: int = 0) -> np.ndarray:
+    """Two independent 64-bit names for each word, side by side."""
+    f = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([f(w, seed) for w in words.to_pylist()]), dtype="<u8").reshape(-1, 2)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -123,14 +147,18 @@ def ranked(df: DataFrame, group: list[str], order: list[str], name: str) -> Data
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each node of the links (a, b) can reach.
+    """(node, root): the smallest node that each node of the links (a, b) can reach, of nodes that aren't that themselves.
 
     Alternating large-star and small-star rounds over a written table; no node's neighbours are ever gathered:
     each round only takes minima (combined before the shuffle) and joins, and the number of rounds grows with the
-    logarithm of the longest shortest path.
+    logarithm of the longest shortest path. It ends when every node points to one root that points nowhere.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     while True:
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("to")), F.struct(F.col("v").alias("x"), F.lit(None).cast("long").alias("to")))).alias("e")).select("e.*")
+        unlike = ends.groupBy("x").agg(F.min("to").alias("low"), F.max("to").alias("high"), F.max(F.col("to").isNull()).alias("below"))
+        if not unlike.where("low <> high OR (low IS NOT NULL AND below)").limit(1).count():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: what is above u gets u's smallest neighbour
@@ -139,15 +167,12 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         new = cut(small, "links")
-        change = new.join(edges, ["u", "v"], "left_anti").limit(1).count() or edges.join(new, ["u", "v"], "left_anti").limit(1).count()
+        drop(edges)
         edges = new
-        if not change:
-            break
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 #: Rows that a task gathers before it deals them out, and that one packed row holds at most.
-DEALT_ROWS = 1_000_000
+DEALT_ROWS = 250_000
 
 
 class Dealer:
@@ -212,14 +237,6 @@ def undealt(batches: Iterator[pa.RecordBatch], kinds: list[tuple[str, str]], wit
         yield whole()
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver forget shuffles that no plan needs any more, so that their files go before the next step's come."""
-    for _ in range(2):  # what Python lets go reaches the JVM a little later
-        gc.collect()
-        time.sleep(0.3)
-        spark.sparkContext._jvm.System.gc()
-
-
 def targets_of(spark: SparkSession) -> tuple[int, int]:
     """(tasks, targets): targets are several times the tasks, so that a task sorts a small part of what it gets at once."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import Dealer, cut, hash_words, mix, owners, release, slices, split_words, table, targets_of, undealt
+from folioscope.llm.common import Dealer, cut, hash_words, mix, owners, slices, split_words, table, targets_of, undealt
 
 WINDOW = 13
 ROUNDS = 3
@@ -284,9 +284,7 @@ def covered(docs: DataFrame) -> DataFrame:
     total = docs.count()
     hot_keys, hot_windows = hot_names(docs, total)
     found = cut(shared(deal_anchors(docs, hot_keys, targets), tasks, targets), "shared")
-    release(spark)
     records = cut(repeats(deal_windows(docs, found, hot_windows, targets), tasks, targets), "repeats")
-    release(spark)
     late = repeats(records.where("kind = 1").drop("kind"), tasks, targets, last=True)
     places = records.where("kind = 0").unionByName(late).select("pid", "rows", "owner", "at")
     return by_document(places, PLACES, tasks)

@@ -45,6 +45,32 @@ def test_heavy_copies_and_repeats(spark, rows, word):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute(many, word)
 
 
+def test_cells_blocks_and_lone_sets(docs, rows, word, monkeypatch):
+    """Buckets in many cells, clusters in many blocks, and larger sets whose signatures promise nothing: the same result."""
+    for name, value in (("CELL", 3), ("FEW", 2), ("BLOCK", 3000), ("TOP", 1), ("MEET", 2), ("PLACES", 64)):
+        monkeypatch.setattr(jaccard, name, value)
+    assert result(jaccard.join(docs, slack=0.4)) == brute(rows, word)
+
+
+def test_chains_over_blocks(spark, word, monkeypatch):
+    """A cluster of sets that only a chain connects, and some that nothing does, over many blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4000)
+    monkeypatch.setattr(jaccard, "MEET", 4)
+    words = [f"c{i}" for i in range(400)]
+    rows = [(1000 - i, " ".join(words[i * 3 : i * 3 + 100])) for i in range(100)] + [(2000 + i, " ".join([*words[:80], *(f"x{i}-{k}" for k in range(25))])) for i in range(15)]
+    expected = brute(rows, word)
+    assert len({c for _, c in expected.values()}) == 16
+    assert result(jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"))) == expected
+
+
+def test_query_equals_brute_force(spark, tables, word):
+    """The registered query over its whole table."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    out = jaccard.op4_universe_partition_join(spark, tables)
+    assert out.columns == ["doc_id", "n_shingles", "component_id"]
+    assert result(out) == brute([(r.doc_id, r.text) for r in docs.collect()], word)
+
+
 def test_empty_and_null_ids(spark, empty):
     assert jaccard.join(empty).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, None)], "doc_id long, text string")
@@ -52,7 +78,7 @@ def test_empty_and_null_ids(spark, empty):
 
 
 def test_signatures_hold_their_promise():
-    """Two sets that differ by as much as a link allows share a signature that one of them probes, or enough segments."""
+    """Two sets that differ by as much as a link allows share a signature that one of them probes, or enough segments, or one is told to share none."""
     rng = np.random.default_rng(1)
     for n in (5, 9, 20, 63, 100, 130, 255, 300, 700):
         for _ in range(20):
@@ -62,7 +88,9 @@ def test_signatures_hold_their_promise():
             if 100 * (n - out) < 80 * len(np.union1d(a, b)):
                 continue
             names, own = np.concatenate([np.sort(a), np.sort(b)]), np.repeat([0, 1], [len(a), len(b)])
-            found = [np.concatenate(c) for c in zip(*jaccard.signed(own, names, np.array([len(a), len(b)])), strict=True)]
+            *found, lone = [np.concatenate(c) for c in zip(*jaccard.signed(own, names, np.array([len(a), len(b)])), strict=True)]
+            if len(lone):
+                continue
             mine = [{s: x for s, w, x in zip(*map(np.ndarray.tolist, found), strict=True) if w == k} for k in (0, 1)]
             both = mine[0].keys() & mine[1].keys()
             small = [s for s in both if mine[0][s] >> 31]
