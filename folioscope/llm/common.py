@@ -67,6 +67,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def utf8_size(text: Column) -> Column:
     """Bytes of the text in UTF-8; 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
@@ -83,8 +88,8 @@ def slices(batch: pa.RecordBatch, column: str = "text", step: int = STEP_BYTES)
             at = end
 
 
-def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Words (runs without the six ASCII white spaces) of the texts: bounds by text, a code for each word, and the distinct words. lower: A-Z only."""
+def word_lists(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
+    """Words (runs without the six ASCII white spaces) of the texts: bounds by text, and the words one after the other. lower: A-Z only."""
     texts = pc.fill_null(texts, "")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat = lists.flatten()
@@ -92,21 +97,21 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     bounds = bounds - bounds[0]
     full = pc.greater(pc.binary_length(flat), 0)
     if not pc.all(full).as_py() and len(flat):
-        kept = np.concatenate([[0], np.cumsum(np.asarray(full))])
-        bounds, flat = kept[bounds], flat.filter(full)
+        bounds, flat = np.concatenate([[0], np.cumsum(np.asarray(full))])[bounds], flat.filter(full)
+    return bounds, flat
+
+
+def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words as word_lists has them: bounds by text, a code for each word, and the distinct words."""
+    bounds, flat = word_lists(texts, lower)
     coded = flat.dictionary_encode()
     return bounds, np.asarray(coded.indices, dtype=np.int64), coded.dictionary
 
 
 def hash_words(words: pa.Array, seed: int = 0) -> np.ndarray:
     """A 64-bit name for each word, the same everywhere."""
-    return hash_twice(words, seed)[:, 0]
-
-
-def hash_twice(words: pa.Array, seed: int = 0) -> np.ndarray:
-    """Two independent 64-bit names for each word, side by side."""
-    f = xxhash.xxh3_128_digest
-    return np.frombuffer(b"".join([f(w, seed) for w in words.to_pylist()]), dtype="<u8").reshape(-1, 2)
+    f = xxhash.xxh3_64_intdigest
+    return np.fromiter((f(w, seed) for w in words.to_pylist()), dtype=np.uint64, count=len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -119,6 +124,69 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
+#: The bases of two fingerprints of sequences, odd.
+BASES = (0x9E6C63D0876A9A47, 0xD1342543DE82EF95)
+LENGTHS = np.uint64(0xC2B2AE3D27D4EB4F)
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** (n - 1) among 64-bit numbers; kept for the next call unless they are many."""
+    known = _powers.get(base)
+    if known is not None and len(known) >= n:
+        return known[:n]
+    size = max(n, STEP_BYTES + (1 << 16))
+    made = np.full(size, base, np.uint64)
+    made[0] = 1
+    with np.errstate(over="ignore"):
+        made = np.cumprod(made)
+    if size <= 2 * STEP_BYTES:
+        _powers[base] = made
+    return made[:n]
+
+
+class Sequences:
+    """Fingerprints of stretches of a line of numbers, each from two sums. Equal stretches have equal ones wherever they stand."""
+
+    def __init__(self, h: np.ndarray, base: int = BASES[0]) -> None:
+        with np.errstate(over="ignore"):
+            self.down = powers(pow(base, -1, 1 << 64), len(h) + 1)
+            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(base, len(h) + 1)[:-1])])
+
+    def names(self, at: np.ndarray, width: np.ndarray | int) -> np.ndarray:
+        """A name for the width numbers from each of the places on."""
+        with np.errstate(over="ignore"):
+            return mix((self.sums[at + width] - self.sums[at]) * self.down[at] + np.asarray(width, dtype=np.uint64) * LENGTHS)
+
+
+WHITE = np.zeros(256, bool)
+WHITE[[9, 10, 11, 12, 13, 32]] = True
+#: A random number for each byte, for two fingerprints, and the same with A-Z as a-z.
+BYTES = mix(np.arange(1, 513, dtype=np.uint64) * LENGTHS).reshape(2, 256)
+LOWERED = BYTES.copy()
+LOWERED[:, 65:91] = BYTES[:, 97:123]
+
+
+def word_names(texts: pa.Array, lower: bool = False, two: bool = False) -> tuple[np.ndarray, ...]:
+    """Bounds by text, and a 64-bit name for each word (a run without the six ASCII white spaces) of the texts, worked out from all their bytes at once; two: second names, independent of the first. lower: A-Z as a-z. Null texts have no words."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = texts.buffers()[2] if len(texts) else None
+    data = np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]] if raw is not None and ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    word = np.zeros(len(data) + 2, np.int8)
+    word[1:-1] = ~WHITE[data]
+    step = np.diff(word)
+    first, last = step[:-1] > 0, step[1:] < 0
+    edges = ends[(ends > 0) & (ends < len(data))]  # where one text follows another, no word goes on
+    first[edges] = word[1:-1][edges] > 0
+    last[edges - 1] = word[1:-1][edges - 1] > 0
+    start = np.flatnonzero(first)
+    width = np.flatnonzero(last) + 1 - start
+    table = LOWERED if lower else BYTES
+    return np.searchsorted(start, ends), *(Sequences(table[k][data], BASES[k]).names(start, width) for k in range(2 if two else 1))
+
+
 def owners(bounds: np.ndarray) -> np.ndarray:
     """The index of the text that each word belongs to."""
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import Dealer, components, cut, drop, hash_words, mix, owners, slices, split_words, table, targets_of, undealt
+from folioscope.llm.common import Dealer, components, cut, drop, mix, owners, slices, table, targets_of, undealt, word_names
 
 WORDS = 5
 #: Links have 100 * intersection >= LINK * union. The bounds below hold for this value.
@@ -69,8 +69,8 @@ SEGMENT = np.uint64(0xA0761D6478BD642F)
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(owner, name) of each distinct shingle of each text, texts in order. With fewer than five words the whole sequence is one; without words there is none."""
-    bounds, codes, words = split_words(texts, lower=True)
-    h, own, n = hash_words(words)[codes], owners(bounds), np.diff(bounds)
+    bounds, h = word_names(texts, lower=True)
+    own, n = owners(bounds), np.diff(bounds)
     with np.errstate(over="ignore"):
         if len(h) >= WORDS:
             made = np.zeros(len(h) - WORDS + 1, np.uint64)

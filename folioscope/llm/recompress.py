@@ -1,14 +1,17 @@
 """Substring deduplication by recompression.
 
-Rounds of recompression give equal passages equal names without comparing them: runs of one symbol become a symbol, then
-each symbol is thrown to the left or right by its name, and a left symbol followed by a right one becomes a pair. Names
-are fingerprints of what they stand for, so every task names equal things equally and a round needs no shuffle. Of each
-symbol the words that decide it are known (its own and those of the neighbours that were looked at): wherever these
-words stand, the symbol stands.
-
-A window of 13 words is filed under one symbol that is decided within it: windows with equal words pick the same symbol,
-wherever they stand. Symbols that occur in one document only rule out their windows; the windows of shared ones are then
-compared by their own words.
+Rounds of recompression give equal passages equal names: runs of one symbol become a symbol, then each symbol is thrown to
+the left or right by its name, and a left symbol followed by a right one becomes a pair. A name is a fingerprint of what it
+stands for, so it is global at once: all tasks name equal things equally, and equal substrings get the same symbols inside.
+
+- Symbols of the higher rounds stand for LONG words or more. Dealt by name, one that several documents share reveals a long
+  repeat: the words under it are equal (a second fingerprint of other word names must agree), so all windows under it are
+  settled in every document but the smallest, however long the passage is.
+- What such symbols leave, the edges of repeats and short ones, is found through symbols of the first rounds. Of each it is
+  known which words decide it (its own and those of the neighbours that were looked at): wherever these words stand, the
+  symbol stands. A window of 13 words is filed under one symbol that is decided within it, so windows with equal words are
+  under the same symbol; symbols that occur in one document rule out their windows, and those under shared ones are compared
+  by two independent fingerprints of their words, 96 bits together.
 """
 
 from __future__ import annotations
@@ -17,61 +20,76 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from folioscope.llm.common import Dealer, cut, hash_words, mix, owners, slices, split_words, table, targets_of, undealt
+from folioscope.llm.common import BASES, Dealer, Sequences, cut, drop, mix, owners, quoted, slices, table, targets_of, undealt, word_lists, word_names
 
 WINDOW = 13
-ROUNDS = 3
+#: Rounds whose symbols' deciding words are known, and all rounds.
+ROUNDS, MOST_ROUNDS = 3, 20
 #: Symbols decided by so many words are anchors; a window without one is its own.
 ANCHOR = (6, 10)
+#: Words under a symbol that settles windows, at least.
+LONG = 24
 K1, K2, K3 = (np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
 
 
-def recompress(h: np.ndarray, own: np.ndarray, rounds: int = ROUNDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """After each round (name, lo, hi) of its symbols; words lo to hi (exclusive) decide the symbol. Beyond a text's ends, lo and hi lie far outside."""
+def joined_runs(name: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, first, count): each run of equal symbols of one text as a symbol."""
+    first = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (own[1:] != own[:-1])]))
+    count = np.diff(np.append(first, len(name)))
+    with np.errstate(over="ignore"):
+        return np.where(count > 1, mix(name[first] * K1 + count.astype(np.uint64)), name[first]), first, count
+
+
+def joined_pairs(name: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(name, heads, coin, near) of round k: heads are left symbols before a right one and bear the pair's name, coin says left, near that a symbol of the text follows."""
+    with np.errstate(over="ignore"):
+        coin = mix(name + K2 * np.uint64(k + 1)) >> np.uint64(63) > 0
+        near = np.append(own[1:] == own[:-1], False)
+        heads = np.append(coin[:-1] & ~coin[1:], False) & near
+        nxt = np.minimum(np.arange(len(name)) + 1, len(name) - 1)
+        return np.where(heads, mix(mix(name * K1) + name[nxt] * K3), name), heads, coin, near
+
+
+def recompress(h: np.ndarray, own: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """After each round (round, name, lo, hi, start, new) of its symbols.
+
+    Words lo to hi (exclusive) decide the symbol; beyond a text's ends, lo and hi lie far outside, and after ROUNDS rounds
+    they aren't followed any more. The symbol stands for the words from start to the next one's start; new: it was made in
+    this round.
+    """
     n = len(h)
     far = 1 << 40
-    name, lo, hi = h, np.arange(n), np.arange(1, n + 1)
-    with np.errstate(over="ignore"):
-        for k in range(rounds):
-            if not len(name):
-                return
-            # runs: a symbol's end is known once its neighbours are
-            same = (name[1:] == name[:-1]) & (own[1:] == own[:-1])
-            first = np.concatenate([[True], ~same])
-            at = np.flatnonzero(first)
-            count = np.diff(np.append(at, len(name)))
+    name, start = h, np.arange(n)
+    lo, hi = np.arange(n), np.arange(1, n + 1)
+    for k in range(MOST_ROUNDS):
+        if not len(name):
+            return
+        runs, at, count = joined_runs(name, own)
+        if k < ROUNDS:
+            # a symbol's end is known once its neighbours are
             last = at + count - 1
             left = np.where((at > 0) & (own[at] == own[at - 1]), lo[at - 1], lo[at] - far)
             after = np.minimum(last + 1, len(name) - 1)
             right = np.where((last + 1 < len(name)) & (own[after] == own[at]), hi[after], hi[last] + far)
-            name = np.where(count > 1, mix(name[at] * K1 + count.astype(np.uint64)), name[at])
-            own, lo, hi = own[at], left, right
-            # pairs: a left symbol and a right one that follows it
-            coin = mix(name + K2 * np.uint64(k + 1)) >> np.uint64(63) > 0  # true: left
-            near = np.append(own[1:] == own[:-1], False)
+            lo, hi = left, right
+        name, own, start = runs, own[at], start[at]
+        paired, heads, coin, near = joined_pairs(name, own, k)
+        tails = np.concatenate([[False], heads[:-1]])
+        if k < ROUNDS:
             before = np.concatenate([[False], near[:-1]])
-            heads = np.append(coin[:-1] & ~coin[1:], False) & near
-            tails = np.concatenate([[False], heads[:-1]])
             nxt, prv = np.minimum(np.arange(len(name)) + 1, len(name) - 1), np.maximum(np.arange(len(name)) - 1, 0)
-            new_name = np.where(heads, mix(mix(name * K1) + name[nxt] * K3), name)
             # an unpaired left symbol has looked at the next one, an unpaired right symbol at the one before
             new_hi = np.where(heads, hi[nxt], np.where(coin, np.where(near, hi[nxt], hi + far), hi))
             new_lo = np.where(heads | coin, lo, np.where(before, lo[prv], lo - far))
-            keep = ~tails
-            name, own, lo, hi = new_name[keep], own[keep], new_lo[keep], new_hi[keep]
-            yield name, lo, hi
-
-
-def spans(h: np.ndarray, at: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
-    """A name for the width words from each of the places on."""
-    out = np.full(len(at), seed, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(width):
-            out = mix(out * K1 + h[at + k] + K3)
-    return out
+            lo, hi = new_lo[~tails], new_hi[~tails]
+        new = (heads | (count > 1))[~tails]
+        name, own, start = paired[~tails], own[~tails], start[~tails]
+        yield k, name, lo, hi, start, new
 
 
 def slide(x: np.ndarray, width: int) -> np.ndarray:
@@ -84,83 +102,101 @@ def slide(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def filed(h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, key) of each window that lies in one text: the key is the name of the symbol it is filed under."""
+def filed(h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, key) of each window that lies in one text, key naming the symbol it is filed under, and (name, start, words) of the long symbols."""
     n = len(h) - WINDOW + 1
+    none = np.zeros(0, np.int64)
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return none, none.astype(np.uint64), none.astype(np.uint64), none, none
     inside = np.flatnonzero(own[:n] == own[WINDOW - 1 :])
-    best = np.zeros(n, np.uint64)
-    for name, lo, hi in recompress(h, own):
+    best, long, line_names = np.zeros(n, np.uint64), [], Sequences(h)
+    for k, name, lo, hi, start, new in recompress(h, own):
+        words = np.diff(np.append(start, len(h)))
+        some = np.flatnonzero(new & (words >= LONG))
+        long.append((name[some], start[some], words[some]))
+        if k >= ROUNDS:
+            continue
         for d in range(ANCHOR[0], ANCHOR[1] + 1):
             some = (hi - lo == d) & (lo >= 0)
             if some.any():
                 line = np.zeros(len(h), np.uint64)
                 a = lo[some]
-                # the words that decide a symbol name it better than the symbol alone
-                np.maximum.at(line, a, mix(spans(h, a, d) + np.uint64(d)))
+                # a symbol with the words that decide it
+                np.maximum.at(line, a, mix(line_names.names(a, d) ^ name[some]))
                 best = np.maximum(best, slide(line, WINDOW - d + 1)[:n])
     best = best[inside]
     lone = np.flatnonzero(best == 0)
-    best[lone] = spans(h, inside[lone], WINDOW)
-    return inside, best
+    best[lone] = line_names.names(inside[lone], WINDOW)
+    return inside, best, *(np.concatenate(x) for x in zip(*long, strict=True))
 
 
-ANCHORS = [("key", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("n", "<i4")]
+SYMBOLS = [("key", "<u8"), ("more", "<u4"), ("doc", "<i8"), ("at", "<i4"), ("n", "<i4")]
 WINDOWS = [("key", "<u8"), ("more", "<u4"), ("owner", "<i8"), ("at", "<i4")]
 SPANS = [("owner", "<i8"), ("at", "<i4"), ("n", "<i4")]
-PLACES = [("owner", "<i8"), ("at", "<i4")]
-#: Documents, about, that show which symbols and windows are hot: those in more than a hundredth of them. The sample only
-#: decides on which way hot ones take; every row takes part either way.
-SAMPLE, HOT = 2000, 0.01
+#: Documents, about, that show which symbols and windows are hot: those that so many of them have. The sample only decides
+#: on which way hot ones take; every row takes part either way.
+SAMPLE, HOT = 8000, 20
 #: Groups of copies with more than this share of all documents are known to every task.
 HEAVY = 1e-4
 
 
-def anchors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, key, first window, windows) of each stretch of windows that are filed under one symbol; windows are counted within their text."""
-    bounds, codes, words = split_words(texts)
-    h, own = hash_words(words)[codes], owners(bounds)
-    at, key = filed(h, own)
+def upper(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(32)).astype(np.uint32)
+
+
+def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, key, second key, first window, windows) of each stretch of windows that are filed under one symbol, and, with negative numbers of windows, of each long symbol. Windows are counted within their text."""
+    bounds, h, second = word_names(texts, two=True)
+    own = owners(bounds)
+    at, key, long, start, n = filed(h, own)
     if not len(at):
-        return at, key, at, at
+        return at, key, upper(key), at, at
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
-    return own[at[first]], key[first], at[first] - bounds[own[at[first]]], np.diff(np.append(first, len(key)))
+    more = upper(Sequences(second, BASES[1]).names(start, n))
+    at, counts = np.concatenate([at[first], start]), np.concatenate([np.diff(np.append(first, len(key))), WINDOW - 1 - n])
+    who = own[at]
+    return who, np.concatenate([key[first], long]), np.concatenate([np.zeros(len(first), np.uint32), more]), at - bounds[who], counts
 
 
 def windows(texts: pa.Array, wanted: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, name, second name, place) of each text's windows: of all, or of wanted ones by text (pairs of first window and number)."""
-    bounds, codes, words = split_words(texts)
-    h, n = hash_words(words)[codes], np.diff(bounds)
+    """(owner, name, second name, place) of each text's windows: of all, or of wanted ones by text (pairs of first window and number, less those of pairs with a negative number)."""
+    bounds, h, second = word_names(texts, two=True)
+    n = np.diff(bounds)
     if wanted is None:
         wanted = [np.array([[0, max(0, x - WINDOW + 1)]]) for x in n]
-    who = np.repeat(np.arange(len(wanted)), [len(w) for w in wanted])
     pairs = np.concatenate([*wanted, np.zeros((0, 2), np.int64)]).astype(np.int64)
-    ends = np.cumsum(pairs[:, 1])
-    at = np.repeat(pairs[:, 0] - ends + pairs[:, 1], pairs[:, 1]) + np.arange(ends[-1] if len(ends) else 0)
-    who = np.repeat(who, pairs[:, 1])
-    places = at + bounds[who]
-    return who, spans(h, places, WINDOW), (spans(h, places, WINDOW, 11) >> np.uint64(32)).astype(np.uint32), at
+    first = pairs[:, 0] + np.repeat(bounds[:-1], [len(w) for w in wanted])
+    depth = np.zeros((2, len(h) + 1), np.int64)
+    for row, some in enumerate((pairs[:, 1] > 0, pairs[:, 1] < 0)):
+        np.add.at(depth[row], first[some], 1)
+        np.add.at(depth[row], first[some] + np.abs(pairs[some, 1]), -1)
+    depth = np.cumsum(depth, axis=1)[:, :-1]
+    places = np.flatnonzero((depth[0] > 0) & (depth[1] == 0))
+    who = np.searchsorted(bounds, places, side="right") - 1
+    return who, Sequences(h).names(places, WINDOW), upper(Sequences(second, BASES[1]).names(places, WINDOW)), places - bounds[who]
 
 
 def hot_names(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted names of the symbols and of the windows that are in more than a hundredth of a sample of documents."""
+    """Sorted names of the symbols and of the windows that HOT documents of a sample have."""
     every = max(1, total // SAMPLE)
     some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                own, key, _, _ = anchors(part.column("text"))
+                own, key, _, _, _ = symbols(part.column("text"))
                 who, name, _, _ = windows(part.column("text"))
                 for kind, o, k in ((0, own, key), (1, who, name)):
-                    one = np.unique(np.stack([o.astype(np.uint64), k]), axis=1)[1] if len(k) else k
+                    order = np.lexsort((k, o))
+                    o, k = o[order], k[order]
+                    one = k[np.concatenate([[True], (o[1:] != o[:-1]) | (k[1:] != k[:-1])])] if len(k) else k
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(one), kind, np.int32)), pa.array(one.view(np.int64))], ["kind", "name"])
 
     named = some.mapInArrow(run, "kind int, name long").groupBy("kind", "name").count()
-    found = named.where(F.col("count") > max(20, HOT * min(total, SAMPLE))).select("kind", "name").collect()
+    # of a bounded number of documents, bounded many names can be in HOT of them
+    found = named.where(F.col("count") > HOT).select("kind", "name").collect()
     return tuple(np.sort(np.array([r.name for r in found if r.kind == k], dtype=np.int64).view(np.uint64)) for k in (0, 1))
 
 
@@ -191,46 +227,54 @@ def target(doc: np.ndarray, targets: int) -> np.ndarray:
     return (mix(doc.astype(np.uint64)) % np.uint64(targets)).astype(np.int32)
 
 
-def deal_anchors(rows: DataFrame, hot: np.ndarray, targets: int) -> DataFrame:
+def deal_symbols(rows: DataFrame, hot: np.ndarray, targets: int) -> DataFrame:
     """Packed symbols of all documents. Hot ones are known to be shared; they go to negative targets of any kind."""
     known = rows.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer = Dealer(ANCHORS, targets, spread=True)
+        dealer = Dealer(SYMBOLS, targets, spread=True)
         for batch in batches:
             for part in slices(batch):
-                own, key, at, n = anchors(part.column("text"))
+                own, key, more, at, n = symbols(part.column("text"))
                 doc = np.asarray(part.column("doc_id"))[own]
                 pid = (key % np.uint64(targets)).astype(np.int32)
                 pid[among(key, known.value)] = -1
-                yield from dealer.add(pid, key, doc, at, n)
+                yield from dealer.add(pid, key, more, doc, at, n)
         yield from dealer.flush()
 
-    return rows.mapInArrow(run, Dealer.schema(ANCHORS))
+    return rows.mapInArrow(run, Dealer.schema(SYMBOLS))
 
 
 def shared(packed: DataFrame, tasks: int, targets: int) -> DataFrame:
-    """(doc, places): pairs of first window and number of the windows of each document that are filed under a symbol of several documents."""
+    """Packed pairs of first window and number, dealt by document: of the windows filed under a symbol that several documents have, and with negative numbers (kind 1) of those settled by a long symbol that a smaller document has. Hot long symbols settle nothing, their windows are compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer = Dealer(SPANS, targets)
-        for pid, (key, doc, at, n) in undealt(batches, ANCHORS, with_pid=True):
-            if pid >= 0:
-                order = np.argsort(key, kind="stable")
-                key, doc, at, n = key[order], doc[order], at[order], n[order]
-                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                several = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
-                keep = np.repeat(several, np.diff(np.append(first, len(key))))
-                doc, at, n = doc[keep], at[keep], n[keep]
-            yield from dealer.add(target(doc, targets), doc, at, n)
-        yield from dealer.flush()
+        dealers = Dealer(SPANS, targets), Dealer(SPANS, targets)
 
-    found = packed.repartition(tasks, "pid").sortWithinPartitions("pid").mapInArrow(run, Dealer.schema(SPANS))
-    return by_document(found, SPANS, tasks)
+        def kind(k: int, made: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in made:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, k, np.int32)), *batch.columns], ["kind", *batch.schema.names])
+
+        for pid, (key, more, doc, at, n) in undealt(batches, SYMBOLS, with_pid=True):
+            if pid < 0:
+                keep, settled = n > 0, np.zeros(len(n), bool)
+            else:
+                order = np.lexsort((more, key))
+                key, more, doc, at, n = key[order], more[order], doc[order], at[order], n[order]
+                first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (more[1:] != more[:-1])]))
+                count = np.diff(np.append(first, len(key)))
+                least, most = np.repeat(np.minimum.reduceat(doc, first), count), np.repeat(np.maximum.reduceat(doc, first), count)
+                keep, settled = (n > 0) & (least < most), (n < 0) & (doc > least)
+            for k, some in enumerate((keep, settled)):
+                yield from kind(k, dealers[k].add(target(doc[some], targets), doc[some], at[some], n[some]))
+        for k in (0, 1):
+            yield from kind(k, dealers[k].flush())
+
+    return packed.repartition(tasks, "pid").sortWithinPartitions("pid").mapInArrow(run, f"kind int, {Dealer.schema(SPANS)}")
 
 
 def deal_windows(rows: DataFrame, found: DataFrame, hot: np.ndarray, targets: int) -> DataFrame:
-    """Packed windows of the spans found in each document; hot ones under negative targets, by the task that read them."""
+    """Packed windows of the spans found in each document, but settled ones; hot ones under negative targets, by the task that read them."""
     known = rows.sparkSession.sparkContext.broadcast(hot)
     joined = rows.join(found, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "places")
 
@@ -253,12 +297,12 @@ def repeats(packed: DataFrame, tasks: int, targets: int, last: bool = False) ->
     """Packed records of two kinds: 0, a document's window that begins in a smaller document, too; 1, a hot window of the smallest document in one negative target, still to be held against the other targets' (last: none is left)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, rest = Dealer(PLACES, targets), Dealer(WINDOWS, targets)
+        found, rest = Dealer(SPANS, targets), Dealer(WINDOWS, targets)
 
         def kind(k: int, made: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in made:
                 none = pa.nulls(batch.num_rows, pa.binary())
-                names = ["pid", "rows", *(n for n, _ in WINDOWS)]
+                names = ["pid", "rows", *(n for n, _ in WINDOWS), "n"]
                 columns = [batch.column(n) if n in batch.schema.names else none for n in names]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, k, np.int32)), *columns], ["kind", *names])
 
@@ -267,27 +311,30 @@ def repeats(packed: DataFrame, tasks: int, targets: int, last: bool = False) ->
             key, more, doc, at = key[order], more[order], doc[order], at[order]
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (more[1:] != more[:-1])])
             later = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-            yield from kind(0, found.add(target(doc[later], targets), doc[later], at[later]))
+            yield from kind(0, found.add(target(doc[later], targets), doc[later], at[later], np.full(later.sum(), -1)))
             if pid < 0 and not last:
                 own = ~later
                 yield from kind(1, rest.add((key[own] % np.uint64(targets)).astype(np.int32), key[own], more[own], doc[own], at[own]))
         yield from kind(0, found.flush())
         yield from kind(1, rest.flush())
 
-    return packed.repartition(tasks, "pid").sortWithinPartitions("pid").mapInArrow(run, f"kind int, {Dealer.schema(WINDOWS)}")
+    return packed.repartition(tasks, "pid").sortWithinPartitions("pid").mapInArrow(run, f"kind int, {Dealer.schema(WINDOWS)}, n binary")
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """(doc, places): for each document with repeated windows, their 32-bit places; docs: doc_id, text."""
+    """(doc, places): for each document with repeated windows, pairs of the first window and the number of windows, negative; docs: doc_id, text."""
     spark = docs.sparkSession
     tasks, targets = targets_of(spark)
     total = docs.count()
-    hot_keys, hot_windows = hot_names(docs, total)
-    found = cut(shared(deal_anchors(docs, hot_keys, targets), tasks, targets), "shared")
+    hot_symbols, hot_windows = hot_names(docs, total)
+    spans = cut(shared(deal_symbols(docs, hot_symbols, targets), tasks, targets), "shared")
+    found = by_document(spans.drop("kind"), SPANS, tasks)
     records = cut(repeats(deal_windows(docs, found, hot_windows, targets), tasks, targets), "repeats")
-    late = repeats(records.where("kind = 1").drop("kind"), tasks, targets, last=True)
-    places = records.where("kind = 0").unionByName(late).select("pid", "rows", "owner", "at")
-    return by_document(places, PLACES, tasks)
+    late = repeats(records.where("kind = 1").drop("kind", "n"), tasks, targets, last=True)
+    places = records.where("kind = 0").unionByName(late).select("pid", "rows", "owner", "at", "n")
+    out = cut(by_document(places.unionByName(spans.where("kind = 1").drop("kind")), SPANS, tasks), "places")
+    drop(spans, records)
+    return out
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -296,40 +343,39 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null and empty texts have no words and keep an empty text; texts under 13 words lose nothing. Rows that repeat an id are one
     document in several pieces: they don't remove each other's words. Rows with a null id lose nothing and remove nothing.
     Copies of a text that many documents share are known by their digest: all but the smallest lose every window, so only
-    that one takes part in the search. With keep, those columns and the text come along.
+    that one takes part in the search. Texts of any length are taken whole. With keep, those columns and the text come
+    along as a struct `row`, whatever their names are.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     digest = F.md5("text")
+    row = [F.struct(F.col(text_col), *[quoted(c) for c in keep]).alias("row")] if keep is not None else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *row)
     sizes = cut(rows.where("doc_id IS NOT NULL AND text IS NOT NULL").groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 50"), "copies")
     total = rows.count()
     heavy = F.broadcast(sizes.where(F.col("n") > HEAVY * total).select("digest", "first"))  # fewer than 1 / HEAVY rows
-    extra = [f"_keep{i}" for i in range(len(keep or []))]
-    all_rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(e) for c, e in zip(keep or [], extra, strict=True)])
-    marked = all_rows.join(heavy, digest == F.col("digest"), "left").withColumn("copy", F.col("doc_id") > F.col("first")).select("doc_id", "text", *extra, F.coalesce("copy", F.lit(False)).alias("copy"))
+    marked = rows.join(heavy, digest == F.col("digest"), "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).drop("digest", "first")
     places = covered(marked.where("NOT copy AND doc_id IS NOT NULL").select("doc_id", "text"))
-    joined = marked.join(places, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", *extra, "copy", "places")
-    carried = extra if keep is None else ["text", *extra]
+    joined = marked.join(places, F.col("doc_id") == F.col("doc"), "left").drop("doc")
+    carried = ["row"] if row else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                bounds, codes, words = split_words(part.column("text"))
-                gone = np.zeros(len(codes) + WINDOW + 1, np.int64)
-                n = np.diff(bounds)
-                for i, (copy, starts) in enumerate(zip(part.column("copy").to_pylist(), part.column("places").to_pylist(), strict=True)):
-                    at = np.arange(max(0, n[i] - WINDOW + 1)) if copy else np.frombuffer(starts or b"", "<i4")
-                    np.add.at(gone, at + bounds[i], 1)
-                    np.add.at(gone, at + bounds[i] + WINDOW, -1)
-                keep = np.cumsum(gone)[: len(codes)] == 0
-                left = np.concatenate([[0], np.cumsum(keep)])[bounds]
-                texts = words.take(pa.array(codes[keep])).to_pylist()
-                kept = [" ".join(texts[a:b]) for a, b in zip(left, left[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(n - np.diff(left)), pa.array(kept, pa.string()), *(part.column(c) for c in carried)], ["doc_id", "n_words", "n_removed", "kept", *carried])
-
-    schema = "".join(f", {c} {joined.schema[c].dataType.simpleString()}" for c in carried)
-    out = joined.mapInArrow(run, f"doc_id long, n_words long, n_removed long, kept string{schema}")
-    return out.toDF(id_col, "n_words", "n_removed", "kept", *([] if keep is None else [text_col, *keep]))
+                bounds, words = word_lists(part.column("text"))
+                n, gone = np.diff(bounds), np.zeros(len(words) + 1, np.int64)
+                spans = [np.array([[0, min(0, WINDOW - 1 - n[i])]]) if copy else np.frombuffer(found or b"", "<i4").reshape(-1, 2) for i, (copy, found) in enumerate(zip(part.column("copy").to_pylist(), part.column("places").to_pylist(), strict=True))]
+                first = np.concatenate(spans)[:, 0] + np.repeat(bounds[:-1], [len(x) for x in spans])
+                count = np.concatenate(spans)[:, 1]
+                first, count = first[count < 0], count[count < 0]
+                np.add.at(gone, first, 1)
+                np.add.at(gone, first - count + WINDOW - 1, -1)
+                left = np.cumsum(gone)[:-1] == 0
+                ends = np.concatenate([[0], np.cumsum(left)])[bounds]
+                kept = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words if left.all() else words.filter(pa.array(left))), " ")
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(n - np.diff(ends)), kept, *(part.column(c) for c in carried)], ["doc_id", "n_words", "n_removed", "kept", *carried])
+
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), *(joined.schema[c] for c in carried)])
+    return joined.mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)
 
 
 def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
