@@ -192,8 +192,8 @@ def owners(bounds: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
-    """df with column name: the row's place (from 0, gapless) in its group by order.
+def ranked(df: DataFrame, group: list[str], order: list[str], name: str, weight: str | None = None) -> DataFrame:
+    """df with column name: the row's place (from 0, gapless) in its group by order; with weight, the sum of that column over the rows before it.
 
     Rows are dealt by ranges of (group, order), so that a group with most of the rows spreads over all tasks;
     only a row for each group and task is summed up to know where each range begins. The deal samples its input
@@ -201,16 +201,18 @@ def ranked(df: DataFrame, group: list[str], order: list[str], name: str) -> Data
     """
     keys = [F.col(c).asc_nulls_first() for c in [*group, *order]]
     dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    dealt = cut(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranked")
-    part = F.shiftright("_at", 33)
-    firsts = dealt.groupBy(*group, part.alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = firsts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    a, b = dealt.withColumn("_part", part).alias("a"), firsts.alias("b")
+    dealt = cut(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranked").withColumn("_part", F.shiftright("_at", 33))
+    firsts = dealt.groupBy(*group, "_part").agg(F.min("_at").alias("_first"), F.sum(weight if weight else F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = firsts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    if weight:
+        inner = Window.partitionBy(*group, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)  # a part of a range's rows
+        dealt = dealt.withColumn("_inner", F.coalesce(F.sum(weight).over(inner), F.lit(0)))
+    a, b = dealt.alias("a"), firsts.alias("b")
     same = F.col("a._part") == F.col("b._part")
     for c in group:
         same &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    place = F.col("a._at") - F.col("b._first") + F.col("b._before")
+    place = F.col("b._before") + (F.col("a._inner") if weight else F.col("a._at") - F.col("b._first"))
     return a.join(b, same).select(*[F.col(f"a.{c}") for c in df.columns], place.cast("long").alias(name))
 
 

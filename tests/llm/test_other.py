@@ -102,32 +102,81 @@ def test_products_stay_exact():
 # Mixing ----------------------------------------------------------------------------------------------------------
 
 
-def test_mix(docs, rows, word, empty):
-    out = mixing.mix(docs).collect()
-    assert sorted(r.doc_id for r in out) == sorted(r[0] for r in rows)
-    size = {r[0]: len(word.findall(r[1] or "")) for r in rows}
-    source = {r[0]: r[3] for r in rows}
-    sums, taken = Counter(), Counter()
-    for r in out:
-        assert r.size == size[r.doc_id] and 0 <= r.taken <= 2 * r.size
-        sums[source[r.doc_id]] += r.size
-        taken[source[r.doc_id]] += r.taken
-    weights = dict(zip(sorted(sums, key=lambda s: (s is None, s)), (3, 1, 2), strict=False))
-    budget, capped = 1.5 * sum(sums.values()), {}
+def chosen(rows, random, word, weights=(3, 1, 2), share=1.5, most=2.0, pull=0.25):
+    """{doc_id: (size, source_size, target, taken)} by the method, one document after the other. rows: (doc_id, text, source)."""
+    size = {d: len(word.findall(t or "")) for d, t, _ in rows}
+    sums = Counter()
+    for d, _, s in rows:
+        sums[s] += size[d]
+    weight = {s: weights[i % 3] for i, s in enumerate(sorted(sums, key=lambda s: (s is None, s or "")))}
+    budget, capped, rate = share * sum(sums.values()), {}, 0.0
     while True:
-        left = {s: w for s, w in weights.items() if s not in capped}
+        left = {s: w for s, w in weight.items() if s not in capped}
+        if not left:
+            break
         rate = (budget - sum(capped.values())) / sum(left.values())
-        over = {s: 2.0 * sums[s] for s, w in left.items() if w * rate > 2 * sums[s]}
+        over = {s: most * sums[s] for s, w in left.items() if w * rate > most * sums[s]}
         if not over:
             break
         capped |= over
-    target = {s: capped.get(s, weights[s] * rate) for s in weights}
-    for r in out:
-        assert math.isclose(r.target, target[source[r.doc_id]]) and r.source_size == sums[source[r.doc_id]]
-    assert all(abs(taken[s] - target[s]) <= max(size[d] for d in size if source[d] == s) for s in target)
-    again = {(r.doc_id, r.taken) for r in mixing.mix(docs.repartition(3)).collect()}
-    assert again == {(r.doc_id, r.taken) for r in out}
+    out = {}
+    for s in sums:
+        target = capped[s] if s in capped else weight[s] * rate
+        own = [d for d, _, x in rows if x == s]
+        low, high = 0.0, 1e9  # the scale, by halving
+        for _ in range(300):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(size[d] * min(most, mid * size[d] ** pull) for d in own if size[d]) < target else (low, mid)
+        copies = {d: min(most, high * size[d] ** pull) if size[d] else 0.0 for d in own}
+        taken = {d: math.floor(copies[d] + 1e-9) for d in own}
+        rest = target - sum(taken[d] * size[d] for d in own)
+        p = {d: copies[d] - taken[d] for d in own}
+        for d in sorted((d for d in own if p[d] > 1e-9), key=lambda d: (random[d] / (1 - random[d])) / (p[d] / (1 - p[d]))):
+            if size[d] / 2 > rest:
+                break
+            taken[d] += 1
+            rest -= size[d]
+        out |= {d: (size[d], sums[s], target, taken[d] * size[d]) for d in own}
+    return out
+
+
+def check_mix(docs, out, word):
+    random = {r.doc_id: r.u for r in docs.select("doc_id", mixing.random(F.col("doc_id"), F.col("source"), F.col("text")).alias("u")).collect()}
+    expected = chosen([(r.doc_id, r.text, r.source) for r in docs.collect()], random, word)
+    found = {r.doc_id: (r.size, r.source_size, r.target, r.taken) for r in out.collect()}
+    assert found.keys() == expected.keys()
+    for d, (size, total, target, taken) in expected.items():
+        assert found[d][:2] == (size, total) and math.isclose(found[d][2], target, rel_tol=1e-9, abs_tol=1e-9) and found[d][3] == taken <= 2 * size, d
+    return expected
+
+
+def test_mix_equals_the_method(spark, docs, word):
+    out = mixing.mix(docs)
+    expected = check_mix(docs, out.select("row.doc_id", "size", "source_size", "target", "taken"), word)
+    taken, target, longest = Counter(), {}, Counter()
+    for r in docs.collect():
+        size, _, target[r.source], words = expected[r.doc_id]
+        taken[r.source] += words
+        longest[r.source] = max(longest[r.source], size)
+    assert all(abs(taken[s] - target[s]) <= longest[s] for s in target)
+    assert {r.row.key for r in out.collect()} == {"k"}  # columns of any name come along
+    again = mixing.mix(docs.repartition(3)).select("row.doc_id", "taken").collect()
+    assert {tuple(r) for r in again} == {(d, x[3]) for d, x in expected.items()}
+
+
+def test_mix_edges(spark, docs, empty):
     assert mixing.mix(empty).count() == 0
+    rows = [(1, "a b", "s"), (1, "a b", "s"), (2, None, "s"), (None, "c d e", None), (3, "", "t")]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(out) == 5 and len({r.copies for r in out if r.row.doc_id == 1}) == 1
+    assert all(r.copies == 0 for r in out if r.size == 0) and all(0 <= r.copies <= 2 for r in out)
+
+
+def test_mix_query_equals_the_method(spark, tables, word):
+    """The registered query over its whole table."""
+    out = mixing.op9_pareto_mix(spark, tables)
+    assert out.columns == ["doc_id", "size", "source_size", "target", "taken"]
+    check_mix(spark.read.parquet(f"{tables}/documents.parquet"), out, word)
 
 
 # Quality ---------------------------------------------------------------------------------------------------------
