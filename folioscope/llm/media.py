@@ -12,11 +12,13 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from folioscope.llm.common import slices, table
+from folioscope.llm.common import quoted, slices, table
 
 #: Payloads are padded with zeros to a positive multiple of this.
 UNIT = 64
@@ -27,7 +29,9 @@ RATE = 8000
 #: Every such block is marked as a keyframe.
 KEY_EVERY = 8
 #: Boxes that hold boxes.
-CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
+CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
+#: Boxes within boxes, at most.
+DEEPEST = 32
 
 
 def box(kind: bytes, *content: bytes) -> bytes:
@@ -90,58 +94,76 @@ def boxes(data: memoryview, at: int, end: int) -> Iterator[tuple[bytes, int, int
         at += n
 
 
+def whole_samples(sizes: np.ndarray, chunks: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Where each sample begins. runs: rows (first chunk, samples in a chunk, description), first chunks counted from 1."""
+    firsts = runs[:, 0]
+    if len(chunks) and (not len(runs) or firsts[0] != 1 or (np.diff(firsts) <= 0).any() or firsts[-1] > len(chunks)):
+        raise ValueError("the table of chunks is damaged")
+    per = np.repeat(runs[:, 1], np.diff(np.append(firsts, len(chunks) + 1))) if len(chunks) else np.zeros(0, np.int64)
+    ends = np.minimum(np.cumsum(np.minimum(per, len(sizes))), len(sizes))
+    if len(sizes) != (ends[-1] if len(ends) else 0):
+        raise ValueError("samples and chunks don't agree")
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    first = np.concatenate([[0], ends[:-1]])
+    return np.repeat(chunks - before[first], ends - first) + before[:-1]
+
+
 def parse(media: bytes) -> list[dict]:
-    """Of each track: codec, handler, timescale, duration, samples [(offset, size)], keys [sample index]. Raises ValueError for a damaged file."""
+    """Of each track: codec, handler, timescale, duration, samples [(offset, size)], keys [sample index].
+
+    Raises ValueError for a damaged file, for boxes nested deeper than DEEPEST, and for a fragmented file, whose samples
+    stand in other tables. Nothing is allocated beyond a few times the file's size.
+    """
     data, tracks = memoryview(media), []
 
-    def walk(at: int, end: int, track: dict | None) -> None:
+    def walk(at: int, end: int, track: dict | None, depth: int) -> None:
+        if depth > DEEPEST:
+            raise ValueError("boxes are nested too deeply")
         for kind, a, b in boxes(data, at, end):
+            if kind in (b"moof", b"mvex"):
+                raise ValueError("a fragmented file")
             if kind == b"trak":
                 tracks.append(track := {})
             if kind in CONTAINERS:
-                walk(a, b, track)
+                walk(a, b, track, depth + 1)
             elif track is not None:
-                track[kind] = (a, b)
-
-    def u32(a: int, count: int) -> tuple[int, ...]:
-        return struct.unpack_from(f">{count}I", data, a)
+                track[kind] = data[a:b]
+
+    def rows(box: memoryview, at: int, width: int, kind: str = ">u4") -> np.ndarray:
+        """A table of the box: its length stands at `at`, width numbers in a row."""
+        (n,) = struct.unpack_from(">I", box, at)
+        if n * width * np.dtype(kind).itemsize > len(box) - at - 4:
+            raise ValueError("a table is longer than its box")
+        found = np.frombuffer(box, kind, n * width, at + 4)
+        if len(found) and int(found.max()) >= 1 << 62:
+            raise ValueError("a number is too large")
+        return found.astype(np.int64).reshape(n, width)
 
     try:
-        walk(0, len(data), None)
+        walk(0, len(data), None, 0)
         out = []
         for t in tracks:
-            a = t[b"mdhd"][0]
-            scale, duration = (u32(a + 20, 1)[0], struct.unpack_from(">Q", data, a + 24)[0]) if data[a] else u32(a + 12, 2)
-            handler = bytes(data[t[b"hdlr"][0] + 8 : t[b"hdlr"][0] + 12]).decode("latin-1")
-            codec = bytes(data[t[b"stsd"][0] + 12 : t[b"stsd"][0] + 16]).decode("latin-1")
-            a = t[b"stsz"][0]
-            fixed, count = u32(a + 4, 2)
-            sizes = (fixed,) * count if fixed else u32(a + 12, count)
-            if b"co64" in t:
-                a = t[b"co64"][0]
-                chunks = struct.unpack_from(f">{u32(a + 4, 1)[0]}Q", data, a + 8)
-            else:
-                a = t[b"stco"][0]
-                chunks = u32(a + 8, u32(a + 4, 1)[0])
-            a = t[b"stsc"][0]
-            rows = [u32(a + 8 + 12 * i, 3) for i in range(u32(a + 4, 1)[0])]
-            samples, k = [], 0
-            for i, (first, per, _) in enumerate(rows):
-                until = rows[i + 1][0] if i + 1 < len(rows) else len(chunks) + 1
-                for c in range(first, until):
-                    at = chunks[c - 1]
-                    for _ in range(min(per, count - k)):
-                        samples.append((at, sizes[k]))
-                        at += sizes[k]
-                        k += 1
-            if k != count or any(x + n > len(data) for x, n in samples):
+            head = t[b"mdhd"]
+            scale, duration = struct.unpack_from(">IQ", head, 20) if head[0] else struct.unpack_from(">II", head, 12)
+            fixed, count = struct.unpack_from(">II", t[b"stsz"], 4)
+            if fixed and fixed * count > len(data):
+                raise ValueError("samples lie outside the file")
+            sizes = np.full(count, fixed, dtype=np.int64) if fixed else rows(t[b"stsz"], 8, 1)[:, 0]
+            chunks = rows(t[b"co64"], 4, 1, ">u8")[:, 0] if b"co64" in t else rows(t[b"stco"], 4, 1)[:, 0]
+            starts = whole_samples(sizes, chunks, rows(t[b"stsc"], 4, 3))
+            if len(starts) and (starts.min() < 0 or (starts + sizes).max() > len(data)):
                 raise ValueError("samples lie outside the file")
-            a = t[b"stts"][0]
-            ticks = sum(n * d for n, d in (u32(a + 8 + 8 * i, 2) for i in range(u32(a + 4, 1)[0])))
-            keys = [x - 1 for x in u32(t[b"stss"][0] + 8, u32(t[b"stss"][0] + 4, 1)[0])] if b"stss" in t else list(range(count))
-            out.append({"codec": codec, "handler": handler, "timescale": scale, "duration": duration or ticks, "samples": samples, "keys": keys})
+            keys = rows(t[b"stss"], 4, 1)[:, 0] - 1 if b"stss" in t else np.arange(count)
+            if len(keys) and (keys.min() < 0 or keys.max() >= count or (np.diff(keys) <= 0).any()):
+                raise ValueError("the table of keyframes is damaged")
+            ticks = sum(n * d for n, d in rows(t[b"stts"], 4, 2).tolist())
+            if max(duration, ticks) >= 1 << 63:
+                raise ValueError("a number is too large")
+            text = lambda box, at: bytes(t[box][at : at + 4]).decode("latin-1")
+            found = {"codec": text(b"stsd", 12), "handler": text(b"hdlr", 8), "timescale": scale, "duration": duration or ticks}
+            out.append(found | {"samples": list(zip(starts.tolist(), sizes.tolist(), strict=True)), "keys": keys.tolist()})
         return out
-    except (struct.error, KeyError, IndexError) as e:
+    except (struct.error, KeyError, IndexError, OverflowError) as e:
         raise ValueError(f"not a whole media file: {e!r}") from e
 
 
@@ -160,20 +182,21 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def media_features(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """The media's rows with codec, handler, timescale, duration, n_samples, keyframes [(offset, size)], payload (its samples in order) and error.
+    """(codec, handler, timescale, duration, n_samples, keyframes [(offset, size)], payload, error, media, row) of each file's first track; row is a struct of the other columns, whatever their names are.
 
-    A null or damaged file has null features and an error text; no row is lost.
+    payload is the samples' bytes in order. A null, empty, damaged or fragmented file, or one without a track, has null
+    features and an error text; no row is lost. Equal files have equal features.
     """
-    kept = [c for c in media.columns if c != media_col]
+    rows = media.select(quoted(media_col).alias("media"), F.struct(F.lit(True).alias("there"), *[quoted(c) for c in media.columns if c != media_col]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))
         kinds = [("codec", pa.string()), ("handler", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("keyframes", spans), ("payload", pa.binary()), ("error", pa.string())]
         for batch in batches:
-            for part in slices(batch, media_col):
-                rows = []
-                for raw in part.column(media_col).to_pylist():
-                    row = dict.fromkeys((k for k, _ in kinds))
+            for part in slices(batch, "media"):
+                made = []
+                for raw in part.column("media").to_pylist():
+                    row = dict.fromkeys(k for k, _ in kinds)
                     try:
                         if raw is None or not (tracks := parse(raw)):
                             raise ValueError("no track")
@@ -183,12 +206,13 @@ def media_features(media: DataFrame, media_col: str = "media") -> DataFrame:
                         row["payload"] = b"".join(raw[x : x + n] for x, n in t["samples"])
                     except ValueError as e:
                         row["error"] = str(e)
-                    rows.append(row)
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in [*kept, media_col]] + [pa.array([r[k] for r in rows], kind) for k, kind in kinds], [*kept, media_col, *(k for k, _ in kinds)])
+                    made.append(row)
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in made], kind) for k, kind in kinds), *part.columns], [*(k for k, _ in kinds), "media", "row"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (media.schema[c] for c in [*kept, media_col]))
-    made = "codec string, handler string, timescale long, duration long, n_samples long, keyframes array<struct<offset:long,size:long>>, payload binary, error string"
-    return media.select(*kept, media_col).mapInArrow(run, f"{schema}, {made}")
+    long = T.LongType()
+    spans = T.ArrayType(T.StructType([T.StructField("offset", long), T.StructField("size", long)]))
+    kinds = {"codec": T.StringType(), "handler": T.StringType(), "timescale": long, "duration": long, "n_samples": long, "keyframes": spans, "payload": T.BinaryType(), "error": T.StringType()}
+    return rows.mapInArrow(run, T.StructType([*(T.StructField(k, v) for k, v in kinds.items()), *rows.schema.fields]))
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,12 +221,11 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     The digests come from the operator's columns: payload (read back from the file), media and the decoded features.
     They are taken by Spark's own functions. A null text is an empty one; repeated rows give repeated results.
     """
-    docs = table(spark, sf_dir, "documents")
-    out = media_features(to_media(docs))
+    out = media_features(to_media(table(spark, sf_dir, "documents")))
     keys = F.concat_ws(",", F.transform("keyframes", lambda k: F.concat_ws("+", k["offset"], k["size"])))
     return out.select(
-        "doc_id",
-        "n_bytes",
+        "row.doc_id",
+        "row.n_bytes",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.expr(f"substring(payload, -{UNIT}, {UNIT})")).alias("tail_crc32"),

@@ -17,8 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from folioscope.llm.common import hash_words, mix, owners, slices, split_words, table
+from folioscope.llm.common import hash_words, mix, owners, quoted, slices, split_words, table
 
 BITS = 18
 #: Labelled rows of each class that the classifier is fitted on, at most; they are the first by a hash of doc_id.
@@ -198,23 +199,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with _score, its place in 0 to 1; null texts score like empty ones. Only text is looked at; other columns pass through whatever their names."""
+    """(score, row): each document's place in 0 to 1, and a struct of all its columns, whatever their names are. Only text is looked at, whole; null texts score like empty ones, equal texts equally."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    renamed = docs.toDF(*[f"c{i}" for i in range(len(names))]) if len(names) else docs
-    at = names.index("text")
-    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[quoted(c) for c in docs.columns]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, f"c{at}"):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores(shared.value, part.column(at)))], [*part.schema.names, "_score"])
+            for part in slices(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(scores(shared.value, part.column("text"))), part.column("row")], ["score", "row"])
 
-    return renamed.mapInArrow(run, f"{schema}, _score double").toDF(*names, "_score")
+    return rows.mapInArrow(run, T.StructType([T.StructField("score", T.DoubleType()), rows.schema["row"]]))
 
 
 def op2_naive_bayes_support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's quality score."""
+    """Every document's quality score. A row with a null id has no remainder: it isn't held out, and never learned from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = score(docs, train(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("row.doc_id", F.coalesce(is_held_out(F.col("row.doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

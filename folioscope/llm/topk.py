@@ -10,12 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import table
+from folioscope.llm.common import quoted, table
 
 K = 10
 SCALE = 1024
 #: Rows of a tile of candidates and of a block of queries.
 TILE, BLOCK = 4096, 512
+#: Blocks of queries that a task holds, about.
+HELD = 16
 #: Stands for no score; its negative is a number, too.
 NONE = -(2**63) + 1
 SIDE = "dim int, n int, ids binary, data binary"
@@ -47,7 +49,7 @@ def matrices(vectors: DataFrame, rows: int, id_col: str, vec_col: str, scale: in
 
 
 def products(queries: np.ndarray, tile: np.ndarray) -> np.ndarray:
-    """Integer inner products: by floating point where each sum is exact there, else by 64-bit or unbounded integers."""
+    """Integer inner products: by floating point where each sum is exact there, else by 64-bit or unbounded integers; beyond 64 bits the nearest such number."""
     most = float(np.abs(queries).max(initial=0)) * float(np.abs(tile).max(initial=0)) * max(1, queries.shape[1])
     if most < 2**53:
         return (queries @ tile.T).astype(np.int64)
@@ -73,45 +75,54 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score) of each query's k highest inner products with all rows but those of its own id.
 
-    Vectors of different lengths are not compared. Queries of equal id are one query, by the smallest vector. Every tile meets every block of the stated query set: blocks are
-    repeated for each of a fixed number of tile groups, tiles move once. A task takes a block's tiles one after the other
-    and keeps k candidates for each query; the tasks' lists are merged by a ranking that stops at k.
+    Vectors of different lengths are not compared. Null vectors, and those with a null or non-finite component, take no
+    part. Queries of equal id are one query, by the smallest vector; repeated candidates count each. Equal scores go to the
+    smaller id. Scores are exact within 64 bits; beyond, they count as the nearest 64-bit number. Fewer than k candidates
+    are all returned; no rows give no rows; other columns are not looked at.
+
+    Blocks of queries are dealt into sets of bounded size. A task holds one set and streams its group of tiles past it:
+    a tile is copied for each set, never for each block or query. It keeps k candidates for each query; the tasks' lists
+    are merged by a ranking that stops at k.
     """
     spark = vectors.sparkSession
     groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tiles = matrices(vectors, TILE, id_col, vec_col, scale).withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
-    asked = vectors.where(is_query).groupBy(id_col).agg(F.min(vec_col).alias(vec_col))
-    blocks = matrices(asked, BLOCK, id_col, vec_col, scale)
-    blocks = blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("b", F.xxhash64("ids"))
-    pairs = tiles.join(blocks.select("g", "dim", "b", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), ["g", "dim"])
-    pairs = pairs.sortWithinPartitions("g", "b").select("g", "b", "dim", "ids", "data", "q_ids", "q_data")
+    asked = vectors.where(is_query & quoted(id_col).isNotNull()).groupBy(id_col).agg(F.min(vec_col).alias(vec_col))
+    sets = max(1, -(-asked.count() // (HELD * BLOCK)))
+    blocks = matrices(asked, BLOCK, id_col, vec_col, scale).withColumn("s", F.pmod(F.xxhash64("ids"), F.lit(sets)).cast("int"))
+    blocks = blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("is_tile", F.lit(False))
+    tiles = matrices(vectors, TILE, id_col, vec_col, scale).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
+    tiles = tiles.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")).withColumn("is_tile", F.lit(True))
+    both = blocks.unionByName(tiles).repartition("g", "s").sortWithinPartitions("g", "s", "is_tile").select("g", "s", "is_tile", "dim", "ids", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, queries, q_ids, scores, ids = None, None, None, None, None
+        key, held = None, []
 
-        def done() -> pa.RecordBatch:
-            real = scores > NONE
-            owner = np.repeat(q_ids, real.sum(axis=1))
-            return pa.RecordBatch.from_arrays([pa.array(owner), pa.array(ids[real]), pa.array(scores[real])], ["query_id", "vec_id", "score"])
+        def done() -> Iterator[pa.RecordBatch]:
+            for q_ids, _, scores, ids in held:
+                real = scores > NONE
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, real.sum(axis=1))), pa.array(ids[real]), pa.array(scores[real])], ["query_id", "vec_id", "score"])
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if key != (row["b"], row["q_ids"]):
-                    if key is not None:
-                        yield done()
-                    key = (row["b"], row["q_ids"])
-                    q_ids = np.frombuffer(row["q_ids"], np.int64)
-                    queries = np.frombuffer(row["q_data"]).reshape(len(q_ids), -1)
-                    scores, ids = np.empty((len(q_ids), 0), np.int64), np.empty((len(q_ids), 0), np.int64)
-                own = np.frombuffer(row["ids"], np.int64)
-                new = products(queries, np.frombuffer(row["data"]).reshape(len(own), -1))
-                new[q_ids[:, None] == own[None, :]] = NONE
-                new, who = best(new, np.broadcast_to(own, new.shape), k)
-                scores, ids = best(np.hstack([scores, new]), np.hstack([ids, who]), k)
-        if key is not None:
-            yield done()
-
-    lists = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+            for i in range(batch.num_rows):
+                g, s, is_tile, dim, ids, data = (batch.column(c)[i].as_py() for c in range(6))
+                if key != (g, s):
+                    yield from done()
+                    key, held = (g, s), []
+                own, data = np.frombuffer(ids, np.int64), np.frombuffer(data).reshape(-1, dim)
+                if not is_tile:
+                    none = np.empty((len(own), 0), np.int64)
+                    held.append((own, data, none, none))
+                    continue
+                for n, (q_ids, queries, scores, best_ids) in enumerate(held):
+                    if queries.shape[1] != dim:
+                        continue
+                    new = products(queries, data)
+                    new[q_ids[:, None] == own[None, :]] = NONE
+                    new, who = best(new, np.broadcast_to(own, new.shape), k)
+                    held[n] = (q_ids, queries, *best(np.hstack([scores, new]), np.hstack([best_ids, who]), k))
+        yield from done()
+
+    lists = both.mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     out = lists.withColumn("rank", rank).where(F.col("rank") <= k)
     return out.select("query_id", "rank", F.col("vec_id").alias(id_col), "score")

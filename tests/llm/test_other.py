@@ -1,6 +1,8 @@
 import datetime
+import hashlib
 import heapq
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -19,7 +21,8 @@ def test_media_round_trip(docs, rows, empty):
     texts = {r[0]: (r[1] or "").encode() for r in rows}
     assert len(out) == len(rows)
     for r in out:
-        raw = texts[r.doc_id]
+        raw = texts[r.row.doc_id]
+        assert r.row.n_bytes == len(raw)
         assert bytes(r.payload) == raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         assert (r.codec, r.timescale, r.duration, r.error) == ("raw ", media.RATE, len(r.payload), None)
         assert all(bytes(r.media[k.offset : k.offset + k.size]) == bytes(r.payload[i * 8 * 4096 : i * 8 * 4096 + k.size]) for i, k in enumerate(r.keyframes))
@@ -29,11 +32,58 @@ def test_media_round_trip(docs, rows, empty):
 def test_damaged_media(spark):
     good = media.encode(b"x" * 5000)
     df = spark.createDataFrame([(1, good), (2, good[:-1]), (3, b""), (4, None), (5, b"\0\0\0\4free"), (6, good[:40])], "doc_id long, media binary")
-    out = {r.doc_id: r for r in media.media_features(df).collect()}
+    out = {r.row.doc_id: r for r in media.media_features(df.withColumn("codec", F.lit("clash"))).collect()}
+    assert out[1].row.codec == "clash" and out[1].codec == "raw "
     assert out[1].error is None and out[1].n_samples == 2
     assert all(out[i].error and out[i].payload is None for i in range(2, 7))
 
 
+def test_media_fuzz():
+    """Flipped bytes, cuts, deep nesting and wrong tables are told, never anything but a ValueError, and never a sample outside the file."""
+    rng = np.random.default_rng(6)
+    good = media.encode(rng.bytes(40_000))
+    cases = [good[:n] for n in range(0, len(good), 997)]
+    for _ in range(3000):
+        raw = bytearray(good[:1200] + good[-300:] if rng.random() < 0.2 else good)
+        for at in rng.integers(0, 900, int(rng.integers(1, 4))):
+            raw[at] = int(rng.integers(0, 256))
+        cases.append(bytes(raw))
+    deep = b""
+    for _ in range(3000):
+        deep = media.box(b"moov", deep)
+    cases += [deep, good + media.box(b"moof", b"")]
+    at = good.index(b"stss") + 12
+    cases += [good[:at] + x + good[at + 4 :] for x in (b"\0\0\0\0", b"\xff\xff\xff\xff")]
+    at = good.index(b"stsz") + 8
+    cases.append(good[:at] + b"\0\0\0\1\xff\xff\xff\xff" + good[at + 8 :])
+    told = 0
+    for raw in cases:
+        try:
+            tracks = media.parse(raw)
+        except ValueError:
+            told += 1
+            continue
+        assert all(0 <= x and x + n <= len(raw) for t in tracks for x, n in t["samples"])
+        assert all(0 <= k < len(t["samples"]) for t in tracks for k in t["keys"])
+    assert told > 500
+    for raw in cases[-5:]:
+        with pytest.raises(ValueError):
+            media.parse(raw)
+
+
+def test_media_query(spark, tables):
+    """The registered query over its whole table: the payload is read back, its digests are those of the padded text."""
+    out = {r.doc_id: r for r in media.op8_media_columns(spark, tables).collect()}
+    docs = spark.read.parquet(f"{tables}/documents.parquet").collect()
+    assert len(out) == len(docs)
+    for r in docs:
+        raw = (r.text or "").encode()
+        padded, x = raw + bytes(-len(raw) % 64 or (0 if raw else 64)), out[r.doc_id]
+        file = media.encode(padded)
+        assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert (x.media_bytes, x.media_sha256) == (len(file), hashlib.sha256(file).hexdigest()) and padded in file
+
+
 # Sharding --------------------------------------------------------------------------------------------------------
 
 
@@ -196,12 +246,10 @@ def labelled(spark, n=300):
 def test_quality_on_held_out_rows(spark, empty):
     docs, labels, truth = labelled(spark)
     model = quality.train(docs, labels)
-    out = quality.score(docs.withColumn("_0", F.lit(1)).withColumn("c0", F.lit("x")), model)
-    assert out.columns == ["doc_id", "text", "_0", "c0", "_score"]
-    got = {r.doc_id: r._score for r in out.collect()}
+    out = quality.score(docs.withColumn("score", F.lit(1)).withColumn("c0", F.lit("x")), model)
+    assert out.columns == ["score", "row"] and out.first().row.c0 == "x"
+    got = {r.row.doc_id: r.score for r in out.collect()}
     assert len(got) == 302 and all(0 <= s <= 1 for s in got.values())
-    import zlib
-
     held = [d for d in truth if zlib.crc32(str(d).encode()) % 5 == 0]
     assert len(held) > 30
     assert all((got[d] >= 0.3) == bool(truth[d]) for d in held)
@@ -210,7 +258,7 @@ def test_quality_on_held_out_rows(spark, empty):
 
 def test_quality_without_labels(spark):
     docs, labels, _ = labelled(spark, 20)
-    assert all(r._score > 0.9 for r in quality.score(docs, quality.train(docs, labels.limit(0))).collect())
+    assert all(r.score > 0.9 for r in quality.score(docs, quality.train(docs, labels.limit(0))).collect())
 
 
 def test_ratios_and_descent():
@@ -222,6 +270,32 @@ def test_ratios_and_descent():
     assert [m > 0 for m in margins] == [True, False, True]
 
 
+def test_descent_reaches_the_optimum():
+    """The objective comes out as an independent solver (projected gradient ascent on the dual) has it."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 6)) * (rng.random((40, 6)) < 0.6)
+    y = (x[:, 0] + rng.normal(size=40) > 0).astype(int)
+    rows, cost = [np.flatnonzero(r) for r in x], np.full(40, 2.0)
+    w, b = quality.descend(rows, [x[i, f] for i, f in enumerate(rows)], y, cost, rounds=3000)
+    own = np.hstack([x, np.ones((40, 1))]) * np.where(y > 0, 1, -1)[:, None]
+    objective = lambda v: v @ v / 2 + (cost * np.maximum(0, 1 - own @ v)).sum()
+    alpha, gram = np.zeros(40), own @ own.T
+    for _ in range(40_000):
+        alpha = np.clip(alpha + (1 - gram @ alpha) / np.linalg.norm(gram, 2), 0, cost)
+    dual = alpha.sum() - alpha @ gram @ alpha / 2
+    assert dual - 1e-6 <= objective(np.append(w[:6], b)) <= dual * 1.01
+
+
+def test_quality_query(spark, tables):
+    """The registered query: every row, its fold, and held-out labels found."""
+    out = {r.doc_id: r for r in quality.op2_naive_bayes_support_vectors(spark, tables).collect()}
+    docs = spark.read.parquet(f"{tables}/documents.parquet").collect()
+    assert out.keys() == {r.doc_id for r in docs}
+    assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for d, r in out.items())
+    labels = [r for r in spark.read.parquet(f"{tables}/labels.parquet").collect() if r.doc_id in out and out[r.doc_id].held_out and r.quality is not None]
+    assert sum(out[r.doc_id].predicted == r.quality for r in labels) >= 0.8 * len(labels)
+
+
 def test_features_are_indicators():
     own, f = quality.features(pa.array(["a a a a", None, "", "a b"]))
     assert set(own.tolist()) == {0, 3}

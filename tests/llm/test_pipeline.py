@@ -34,7 +34,7 @@ def cut_repeats(rows, word):
 
 
 def mixed(spark, rows):
-    copies = {r.doc_id: r.copies for r in mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()}
+    copies = {r.row.doc_id: r.copies for r in mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()}
     return [r for r in rows for _ in range(copies[r[0]])]
 
 
@@ -48,7 +48,7 @@ def test_classify(spark, five, tmp_path):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.createDataFrame(five, SCHEMA)
     scored = quality.score(docs, quality.train(docs.select("doc_id", "text"), spark.read.parquet(str(tmp_path / "labels.parquet")))).collect()
-    expected = {r.doc_id for r in scored if r["_score"] >= quality.THRESHOLD}
+    expected = {r.row.doc_id for r in scored if r.score >= quality.THRESHOLD}
     assert bag(p.classify(spark, docs, str(tmp_path))) == Counter(r for r in five if r[0] in expected)
 
 
@@ -76,3 +76,23 @@ def test_run(spark, five, word, tmp_path):
     expected = mixed(spark, cut_repeats(near(five, word), word))
     pieces = lambda df: Counter((r.doc_id, r.start, r.length, r.doc_tokens, r.ids_crc32) for r in df.collect())
     assert pieces(p.run(spark, str(tmp_path))) == pieces(p.pack(spark, spark.createDataFrame(expected, SCHEMA), "")) and expected
+
+
+CLASHING = ["score", "row", "_score", "kept", "n_words", "n_removed", "copies", "copy", "_digest", "_source", "_size", "component_id", "places", "a b"]
+
+
+def test_stages_with_clashing_columns_ties_and_no_rows(spark, five, tmp_path):
+    """Columns named like the stages' own pass through; equal rows go one way; an empty table gives an empty one."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    some = [*five[:25], five[0], (None, None, None, None, None), (9000, "", "en", None, 0)]
+    schema = f"{SCHEMA}, {', '.join(f'`{c}` string' for c in CLASHING)}"
+    docs = spark.createDataFrame([(*r, *(f"{c} {r[0]}" for c in CLASHING)) for r in some], schema)
+    for _, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert found and all(r[c] == f"{c} {r.doc_id}" for r in found for c in CLASHING)
+        assert sum(r.doc_id == five[0][0] for r in found) != 1
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert {r.doc_id for r in p.pack(spark, docs, str(tmp_path)).collect()} == {r[0] for r in some}
+    assert p.pack(spark, docs.limit(0), str(tmp_path)).count() == 0
