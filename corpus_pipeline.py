@@ -8,45 +8,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import jaccard, mixing, packing, quality, recompress
-from folioscope.llm.common import cut
+from folioscope.llm.common import cut, quoted
 from folioscope.llm.tokens import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps. It learns from the labels of the given documents; without any, all stay."""
+    """Documents that the quality classifier keeps.
+
+    It learns from the labels of the given documents; without any, all stay. Null and empty texts are scored like any text,
+    equal texts alike; repeated rows stay or go together; an empty table gives an empty one; columns of any name come along.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = quality.score(docs, quality.train(docs.select("doc_id", "text"), labels))
-    return scored.where(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+    return scored.where(F.col("score") >= quality.THRESHOLD).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the smallest id. Rows without an id stay."""
+    """Of each component of similar documents the one with the smallest id.
+
+    Null, empty and wordless texts are like nothing and stay, as do rows without an id; rows that repeat an id stay or go
+    together; an empty table gives an empty one; columns of any name come along.
+    """
     found = jaccard.join(docs)
     kept = found.where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    return docs.join(kept, "doc_id", "left_semi").select(*[quoted(c) for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that smaller documents have, n_chars counted anew. Texts that lose nothing stay as they are; those that lose everything go."""
+    """Documents without the passages that documents of smaller ids have, n_chars counted anew.
+
+    Texts that lose nothing, null and empty ones among them, stay as they are; those that lose everything go. Rows without
+    an id, and rows that repeat an id among each other, lose nothing; an empty table gives an empty one; columns of any
+    name come along.
+    """
     out = recompress.deduplicate(docs, keep=[c for c in docs.columns if c not in ("doc_id", "text")])
-    out = out.where("n_removed = 0 OR n_removed < n_words").withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    out = out.where("n_removed = 0 OR n_removed < n_words")
+    less = F.col("n_removed") > 0
+    new = {"doc_id": F.col("doc_id"), "text": F.when(less, F.col("kept")).otherwise(F.col("row")["text"])}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(less, F.length("kept").cast("long")).otherwise(F.col("row")["n_chars"])
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    digest = mixing.digest(F.col("doc_id"), F.col("source"), F.col("text"))
-    copies = mixing.mix(docs).where("copies > 0").select("doc_id", "_digest", "copies").groupBy("doc_id", "_digest").agg(F.max("copies").alias("copies"))
-    a, b = docs.withColumn("_digest", digest).alias("a"), copies.alias("b")
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._digest") == F.col("b._digest"))
-    joined = a.join(b, same).select(*[F.col(f"a.{c}") for c in docs.columns], "b.copies")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """Each document as often as the mix takes it, twice at most.
+
+    Null and empty texts have no words and are not taken; equal rows are taken alike; a null source is a source; an empty
+    table gives an empty one; columns of any name come along.
+    """
+    taken = mixing.mix(docs).where("copies > 0")
+    return taken.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"), "row").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in windows of 4096 tokens."""
+    """The documents' pieces in windows of 4096 tokens.
+
+    Null and empty texts are their end id alone; repeated rows are packed each; an empty table gives an empty one; columns
+    but doc_id and text are not looked at.
+    """
     return packing.pack(cut(packing.pieces(docs, vocabulary()), "pieces"))
 
 
@@ -59,7 +80,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: SQL can't express the classifier or the packing; tests hold the stages against brute force.
+#: SQL can't express the classifier or the packing; tests/llm/test_pipeline.py holds each stage and a whole run against brute force.
 ORACLE_SQL = None
 
 
