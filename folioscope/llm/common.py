@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text that one vectorised step holds at once, in bytes; a longer single text is one step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 #: While a table is written: its shuffle files go at the end, and Python workers get few rows at a time.
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 _own: dict[str, str] = {}

@@ -28,6 +28,8 @@ from folioscope.llm.common import cut, new_path, slices, table
 END_ID = 2
 #: Distinct words whose ids a worker keeps; beyond, it starts anew. A bound on memory only.
 KEPT_WORDS = 500_000
+#: Bytes of text whose distinct words are looked up at once.
+TEXT_BYTES = 4 << 20
 #: Distinct words that one call encodes.
 CALL_WORDS = 2000
 #: Split apart by Python and Arrow, but no white space to the tokenizer.
@@ -216,7 +218,7 @@ def token_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int = EN
     """(doc_id, ids with the end id) of each row (doc_id, text)."""
     e = encoder(path)
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, step=TEXT_BYTES):
             ids, bounds = e.encode(part.column("text"))
             for k, doc in enumerate(part.column("doc_id").to_pylist()):
                 yield doc, np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(end_id)).astype("<u4")
