@@ -21,11 +21,15 @@ BLANK_LINES = r"\n(?U)\s*\n"
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 
 
+#: Where compatibility characters that stand for several letters are spelled out.
+SPELLED = (range(0xA0, 0x250), range(0x1E00, 0x1F00), range(0x2000, 0x2190), range(0xFB00, 0xFB07))
+
+
 @cache
 def fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """Characters that fold to one, what they fold to (marks at the end fold to nothing), and those that fold to several; made from the Unicode tables."""
     one, several, none = {}, {}, []
-    for code in (*range(0xA0, 0x250), *range(0x300, 0x370), *range(0x1E00, 0x1F00), *range(0x2000, 0x2190), *range(0xFB00, 0xFB07)):
+    for code in (*range(0xA0, 0xAC00), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20)):  # all but Hangul, whose letters stay joined
         c = chr(code)
         plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
         if c.lower() != c and len(c.lower()) == 1:
@@ -33,7 +37,8 @@ def fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
         if plain == "":
             none.append(c)
         elif len(plain) > 1:
-            several[c] = plain
+            if any(code in known for known in SPELLED):
+                several[c] = plain
         elif plain != c:
             one[c] = plain
     return "".join(one) + "".join(none), "".join(one.values()), tuple(several.items())
@@ -130,10 +135,14 @@ def article_key(article: Column) -> Column:
 
 def article_label(number: Column, suffix: Column) -> Column:
     """Digits as they are, other numbers capitalised; a suffix in lower case after a space."""
-    n = F.when(number.rlike(r"^\d+$"), number).otherwise(F.concat(F.upper(F.substring(number, 1, 1)), F.lower(F.substring(number, 2, 1000))))
+    n = F.when(number.rlike(r"^\d+$"), number).otherwise(F.concat(F.upper(F.substring(number, 1, 1)), F.lower(F.substr(number, F.lit(2)))))
     return F.when(F.coalesce(suffix, F.lit("")) == "", n).otherwise(F.concat(n, F.lit(" "), F.lower(suffix)))
 
 
 def token_estimate(text: Column) -> Column:
     """A quarter of the characters, halves to the even number."""
-    return F.bround(F.length(text) / 4).cast("long")
+    return token_count(F.length(text))
+
+
+def token_count(chars: Column) -> Column:
+    return F.bround(chars / 4).cast("long")

@@ -30,7 +30,7 @@ def sections(rows: DataFrame) -> DataFrame:
         rows.withColumn("kind", F.when(divider, "divider").when(heading, "heading").otherwise("text"))
         .withColumn("sec", F.sum(divider.cast("int")).over(so_far))
         .withColumn("unit", F.sum((divider | heading).cast("int")).over(so_far))
-        .withColumn("structure", F.coalesce(F.last(F.when(divider, strip(F.substring("line", 5, 1 << 20))), ignorenulls=True).over(so_far), F.lit("")))
+        .withColumn("structure", F.coalesce(F.last(F.when(divider, strip(F.substr("line", F.lit(5)))), ignorenulls=True).over(so_far), F.lit("")))
     )
 
 
@@ -45,7 +45,7 @@ def articles(rows: DataFrame) -> DataFrame:
         F.min_by("structure", "pos").alias("structure"),
         strip(F.array_join(F.transform(parts, lambda p: p["line"]), "\n")).alias("body"),
     )
-    return units.where("kind = 'heading' AND body <> ''").select("slug", "unit", "pos", "sec", "structure", strip(F.substring("line", 4, 1 << 20)).alias("heading"), "body")
+    return units.where("kind = 'heading' AND body <> ''").select("slug", "unit", "pos", "sec", "structure", strip(F.substr("line", F.lit(4))).alias("heading"), "body")
 
 
 def article_of(heading: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.rules import LAW_KINDS
 
+#: Sizes and cuts of the lists.
 POOL, K, CAP, MARGIN, RATIO = 200, 60, 25, 2.0, 0.30
 
 

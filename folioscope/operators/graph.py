@@ -57,5 +57,6 @@ def listed(relations: DataFrame) -> DataFrame:
 
 def citations(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (slug, article) with citation, made up from both where the article isn't known."""
-    first = chunks.where("article IS NOT NULL").groupBy("slug", "article").agg(F.min_by("citation", "rid").alias("_c"))
+    asked = wanted.select("slug", "article").distinct()
+    first = chunks.where("article IS NOT NULL").join(asked, ["slug", "article"], "left_semi").groupBy("slug", "article").agg(F.min_by("citation", "rid").alias("_c"))
     return wanted.join(first, ["slug", "article"], "left").withColumn("citation", F.coalesce("_c", F.concat("slug", F.lit(" art. "), "article"))).drop("_c")

@@ -17,23 +17,38 @@ FIELDS = ("heading", "structure", "text")
 
 @dataclass(frozen=True)
 class Lexicon:
-    """terms (rid, term, tf), lengths (rid, dl), frequencies (term, df), totals (n, avgdl; one row), places (rid, field, pos, term)."""
+    """terms (rid, term, tf), lengths (rid, dl), frequencies (term, df), totals (n, avgdl; one row), places (rid, dl, field, pos, term).
+
+    stored: terms and frequencies are tables. Else they would be worked out of all places, so queries take the places of
+    their own terms alone.
+    """
 
     terms: DataFrame
     lengths: DataFrame
     frequencies: DataFrame
     totals: DataFrame
     places: DataFrame
+    stored: bool = False
+
+    def matching(self, asked: DataFrame) -> DataFrame:
+        """(rid, dl, term, tf, df) of the terms that asked (term, ...) has."""
+        wanted = asked.select("term").distinct()
+        if self.stored:
+            found = self.terms.join(wanted, "term", "left_semi").join(self.lengths, "rid")
+            return found.join(self.frequencies, "term").select("rid", "dl", "term", "tf", "df")
+        found = self.places.join(wanted, "term", "left_semi").groupBy("rid", "dl", "term").agg(F.count("*").alias("tf"))
+        return found.join(found.groupBy("term").agg(F.count("*").alias("df")), "term").select("rid", "dl", "term", "tf", "df")
 
 
 def index(chunks: DataFrame, fields: tuple[str, ...] = FIELDS) -> Lexicon:
     """The inverted index of the chunks' fields."""
     fields = tuple(f for f in fields if f in chunks.columns)
-    listed = chunks.select("rid", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("found")) for f in fields])).alias("f"))
-    places = listed.select("rid", "f.field", F.posexplode("f.found").alias("pos", "term"))
+    split = chunks.select("rid", *[tokens(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in fields])
+    length = sum((F.size(f) for f in fields), F.lit(0)).cast("long").alias("dl")
+    listed = split.select("rid", length, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("found")) for f in fields])).alias("f"))
+    places = listed.select("rid", "dl", "f.field", F.posexplode("f.found").alias("pos", "term"))
     terms = places.groupBy("rid", "term").agg(F.count("*").alias("tf"))
-    length = sum((F.size(tokens(F.coalesce(F.col(f), F.lit("")))) for f in fields), F.lit(0))
-    lengths = chunks.select("rid", length.cast("long").alias("dl"))
+    lengths = split.select("rid", length)
     frequencies = terms.groupBy("term").agg(F.count("*").alias("df"))
     totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     return Lexicon(terms, lengths, frequencies, totals, places)
@@ -58,16 +73,16 @@ def scores(lexicon: Lexicon, queries: DataFrame, allowed: DataFrame | None = Non
     """
     asked = phrases(queries)
     single = asked.where(F.size("terms") == 1).select("qid", F.col("terms")[0].alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    hits = lexicon.terms.join(single, "term").join(lexicon.frequencies, "term").select("qid", "rid", "tf", "df", "times")
+    hits = lexicon.matching(single).join(single, "term").select("qid", "rid", "dl", "tf", "df", "times")
     several = asked.where(F.size("terms") > 1)
     parts = several.select("qid", "phrase", F.size("terms").alias("n"), F.posexplode("terms").alias("i", "term"))
-    runs = lexicon.places.join(parts, "term").groupBy("qid", "phrase", "n", "rid", "field", (F.col("pos") - F.col("i")).alias("at")).agg(F.countDistinct("i").alias("got")).where("got = n")
-    found = runs.groupBy("qid", "phrase", "rid").agg(F.count("*").alias("tf"))
+    runs = lexicon.places.join(parts, "term").groupBy("qid", "phrase", "n", "rid", "dl", "field", (F.col("pos") - F.col("i")).alias("at")).agg(F.countDistinct("i").alias("got")).where("got = n")
+    found = runs.groupBy("qid", "phrase", "rid", "dl").agg(F.count("*").alias("tf"))
     in_rows = found.groupBy("qid", "phrase").agg(F.count("*").alias("df"))
-    hits = hits.unionByName(found.join(in_rows, ["qid", "phrase"]).select("qid", "rid", "tf", "df", F.lit(1).cast("long").alias("times")))
+    hits = hits.unionByName(found.join(in_rows, ["qid", "phrase"]).select("qid", "rid", "dl", "tf", "df", F.lit(1).cast("long").alias("times")))
     if allowed is not None:
         hits = hits.join(allowed.select("rid"), "rid", "left_semi")
-    weighed = hits.join(lexicon.lengths, "rid").crossJoin(F.broadcast(lexicon.totals))  # one row
+    weighed = hits.crossJoin(F.broadcast(lexicon.totals))  # one row
     return weighed.groupBy("qid", "rid").agg(F.sum(F.col("times") * weight(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl"))).alias("score"))
 
 

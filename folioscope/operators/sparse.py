@@ -28,16 +28,19 @@ def document_text(chunks: DataFrame):
 
 
 def counted(rows: DataFrame, key: str, text) -> DataFrame:
-    """(key, feature, dim, tf)."""
-    found = rows.select(key, F.explode(features(text)).alias("feature"))
+    """(key, feature, dim, tf). The texts are dealt by key first, so that their features, which are many more, are counted where they are made."""
+    found = rows.select(key, text.alias("t")).repartition(key).select(key, F.explode(features(F.col("t"))).alias("feature"))
     return found.groupBy(key, "feature").agg(F.count("*").alias("tf")).withColumn("dim", feature_hash(F.col("feature"), DIMENSIONS))
 
 
 def vectors(counts: DataFrame, key: str, idf: DataFrame) -> DataFrame:
-    """(key, dim, w): (1 + ln tf) * idf, summed where features share a dimension, at length 1. Dimensions without a positive idf are left out."""
-    raw = counts.join(idf.where("v > 0"), "dim").groupBy(key, "dim").agg(F.sum((1 + F.log("tf")) * F.col("v")).alias("x"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norms, key).select(key, "dim", (F.col("x") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("w"))
+    """(key, dim, w): (1 + ln tf) * idf, summed where features share a dimension, at length 1. Dimensions without a positive idf are left out.
+
+    idf has DIMENSIONS rows at most and is broadcast; counts stay where they are, dealt by key.
+    """
+    raw = counts.join(F.broadcast(idf.where("v > 0")), "dim").groupBy(key, "dim").agg(F.sum((1 + F.log("tf")) * F.col("v")).alias("x"))
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))
+    return raw.select(key, "dim", "x", norm.alias("norm")).select(key, "dim", (F.col("x") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("w"))
 
 
 def idf_of(counts: DataFrame, total: DataFrame) -> DataFrame:
@@ -62,5 +65,4 @@ def cosine(sparse: Sparse, queries: DataFrame, k: int) -> DataFrame:
 
 def norms(sparse: Sparse) -> DataFrame:
     """(rid, norm): lengths of the stored vectors, near 1."""
-    own = Window.partitionBy("rid")
-    return sparse.postings.select("rid", F.sqrt(F.sum(F.col("w") * F.col("w")).over(own)).alias("norm")).distinct()
+    return sparse.postings.groupBy("rid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))

@@ -8,7 +8,6 @@ import sys
 from pathlib import Path
 
 from folioscope.functions.rules import LAW_KINDS
-from folioscope.operators.advisory import render
 from folioscope.plans import index as plan
 from folioscope.plans.service import Service, serve
 from folioscope.session import session
@@ -21,32 +20,35 @@ def command() -> tuple[str, list[str]]:
     return sys.executable, ["-m", "folioscope.plans.cli", "serve"]
 
 
+def stored(path: Path, text: str, dry: bool) -> None:
+    if not dry:
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text, encoding="utf-8")
+
+
 def register_toml(path: Path, dry: bool) -> str:
     """Append the server's block to a TOML file unless it has one; returns what was, or would be, added."""
-    run, given = command()
-    old = path.read_text(encoding="utf-8") if path.exists() else ""
-    section = f"[mcp_servers.{SERVER}]"
-    if section in old:
+    before = path.read_text(encoding="utf-8") if path.exists() else ""
+    name = f"mcp_servers.{SERVER}"
+    if any(line.strip() == f"[{name}]" for line in before.splitlines()):
         return ""
-    block = f"\n{section}\ncommand = {json.dumps(run)}\nargs = {json.dumps(given)}\n"
-    if not dry:
-        path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_text(old + block, encoding="utf-8")
+    program, arguments = (json.dumps(x) for x in command())
+    block = f"\n[{name}]\ncommand = {program}\nargs = {arguments}\n"
+    stored(path, before + block, dry)
     return block
 
 
 def register_json(path: Path, dry: bool) -> str:
-    """Set the server's entry in a JSON file and leave the rest; a file that isn't JSON is replaced."""
-    run, given = command()
+    """Set the server's entry in a JSON file and leave the rest; a file that isn't a JSON object is replaced."""
+    program, arguments = command()
+    entry = {SERVER: {"command": program, "args": arguments}}
     try:
-        old = json.loads(path.read_text(encoding="utf-8"))
-    except (OSError, ValueError):
-        old = {}
-    old.setdefault("mcpServers", {})[SERVER] = {"command": run, "args": given}
-    if not dry:
-        path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_text(json.dumps(old, ensure_ascii=False, indent=2), encoding="utf-8")
-    return json.dumps({SERVER: old["mcpServers"][SERVER]}, ensure_ascii=False)
+        before = json.loads(path.read_text(encoding="utf-8")) if path.exists() else {}
+    except ValueError:
+        before = {}
+    before = before if isinstance(before, dict) else {}
+    stored(path, json.dumps(before | {"mcpServers": before.get("mcpServers", {}) | entry}, ensure_ascii=False, indent=2), dry)
+    return json.dumps(entry, ensure_ascii=False)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -82,7 +84,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if a.do == "doctor":
         files = len(list(Path(corpus).glob("*.md")))
-        print(f"home: {a.home}\ncorpus: {files or 'no'} files\nindex: {'there' if Path(folder, 'current').exists() else 'missing, run setup'}\nserver: {' '.join([command()[0], *command()[1]])}")
+        print(f"home: {a.home}\ncorpus: {files or 'no'} files\nindex: {'there' if list(Path(folder).glob('current-*')) else 'missing, run setup'}\nserver: {' '.join([command()[0], *command()[1]])}")
         return 0
     spark = session()
     if a.do == "setup":
@@ -101,7 +103,7 @@ def main(argv: list[str] | None = None) -> int:
         for r in hits:
             print(f"[{r['rama']}] {r['citation']}  {r['structure']}")
     elif a.do == "consult":
-        print(render(service.consult(" ".join(a.question), a.code)))
+        print(service.sheet(" ".join(a.question), a.code))
     elif a.do == "article":
         for r in service.article(a.number, a.code) or [{"citation": "(sin resultados)", "vigente": True, "text": "", "reformas": ""}]:
             print(f"### {r['citation']}{'' if r['vigente'] else '   ⚠ DEROGADO'}\n{r['text']}\n{r['reformas']}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 import uuid
 from dataclasses import dataclass
 from pathlib import Path
@@ -46,7 +47,7 @@ TABLES = ("chunks", "terms", "lengths", "frequencies", "totals", "places", "refs
 def build(spark: SparkSession, source: str | DataFrame, path: str, encoder=None, encoder_name: str = "") -> Index:
     """Build all tables of a folder of Markdown files (or of a table of files, or of chunks) under path.
 
-    Tables go to a new folder of this build; a pointer file names it last, so readers see the old index or the new one.
+    Tables go to a new folder of this build; a pointer names it last, so readers see the old index or the new one.
     """
     if isinstance(source, str):
         source = markdown.read(spark, source)
@@ -74,16 +75,18 @@ def build(spark: SparkSession, source: str | DataFrame, path: str, encoder=None,
     n = spark.read.parquet(f"{at}/totals").first()["n"]
     meta = [("N", str(n)), ("embedder", f"dense:{encoder_name}" if kind == "dense" else SPARSE)]
     spark.createDataFrame(meta, "k string, v string").coalesce(1).write.parquet(f"{at}/meta")
-    spark.createDataFrame([(at,)], "at string").coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
+    # a pointer of its own for each build, committed at once; the newest counts
+    spark.createDataFrame([(at, time.time_ns())], "at string, made long").coalesce(1).write.parquet(f"{path}/current-{at.rsplit('/', 1)[1]}")
     return load(spark, path)
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    at = spark.read.parquet(f"{path}/current").first()["at"]
+    pointers = spark.read.schema("at string, made long").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{path}/current-*")
+    at = pointers.orderBy(F.desc("made")).first()["at"]
     table = lambda name: spark.read.parquet(f"{at}/{name}")
     meta = {r.k: r.v for r in table("meta").collect()}
     is_dense = meta["embedder"].startswith("dense")
-    words = lexical.Lexicon(table("terms"), table("lengths"), table("frequencies"), table("totals"), table("places"))
+    words = lexical.Lexicon(table("terms"), table("lengths"), table("frequencies"), table("totals"), table("places"), stored=True)
     return Index(table("chunks"), words, table("refs"), None if is_dense else sparse.Sparse(table("idf"), table("postings")), table("vectors") if is_dense else None, meta)
 
 

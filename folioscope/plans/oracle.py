@@ -82,10 +82,9 @@ hits AS (SELECT p.qid, p.rrf, c.*, max(p.rrf) OVER (PARTITION BY p.qid) AS best
 cutoff AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 12) DESC, rid) AS rank FROM hits WHERE rrf >= best * 0.3) WHERE rank <= 25)"""
 
 
-def dense(n: int) -> str:
-    return f"""
+DENSE = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS e FROM embeddings),
-s AS (SELECT q.vec_id AS qid, v.vec_id AS rid, list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) AS score FROM v, v q WHERE q.vec_id < {n})
+s AS (SELECT q.vec_id AS qid, v.vec_id AS rid, list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) AS score FROM v, v q WHERE q.vec_id % 50 = 0)
 SELECT qid, CAST(rank AS INTEGER) AS rank, rid, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, rid) AS rank FROM s) WHERE rank <= 10"""
 
 
@@ -124,19 +123,11 @@ refs AS (SELECT DISTINCT rid, slug, article, dst FROM (
 edges AS (SELECT r.slug, r.article AS src, r.dst FROM refs r WHERE r.dst <> r.article AND EXISTS (SELECT 1 FROM st s WHERE s.slug = r.slug AND s.article = r.dst)),
 inforce AS (SELECT *, NOT regexp_matches({strip("text")}, '(?i)^\(?\s*(?:derogad[oa]s?\b|sin\s+vigencia\b|t[eé]ngase\s+por\s+derogad)') AS ok FROM st)"""
 
-SEEDS = "('10', '14', '25', '120', '500')"
-
-
 def related(select: str) -> str:
     return f"""WITH {REFS}, found AS ({select})
 SELECT slug, article, other, CAST(row_number() OVER (PARTITION BY slug, article ORDER BY coalesce(TRY_CAST(regexp_extract(other, '^[0-9]+') AS INTEGER), 9999), other) AS INTEGER) AS place FROM (SELECT DISTINCT * FROM found)"""
 
 
-CITES = f"SELECT slug, src AS article, dst AS other FROM edges WHERE src IN {SEEDS}"
-CITED = f"SELECT slug, dst AS article, src AS other FROM edges WHERE dst IN {SEEDS}"
-NEAR = f"SELECT a.slug, a.article, b.article AS other FROM st a JOIN st b ON a.section = b.section AND a.article <> b.article WHERE a.article IN {SEEDS}"
-
-
 def case(name: str, table: list[tuple[str, list[str]]], otherwise: str) -> str:
     return "CASE " + " ".join("WHEN " + " OR ".join(f"contains({name}, '{k}')" for k in keys) + f" THEN '{result}'" for result, keys in table) + f" ELSE '{otherwise}' END"
 
@@ -152,7 +143,7 @@ bare AS (SELECT doc, n_pages, regexp_replace(regexp_replace(raw, '(?is)[0-9]{{1,
 CORE = r"art[ií]culo\s+([0-9]+|[úu]nico)\s*(bis|ter)?\s*[ºo°ªa]?\s*[.\-]+\s*"
 
 SQL = {
-    "fold_tokens_df": f"WITH {INDEX} SELECT term, df FROM dfs ORDER BY df DESC, term LIMIT 100",
+    "fold_tokens_df": f"WITH {INDEX} SELECT term, df FROM dfs",
     "term_index": f"WITH {INDEX} SELECT rid, dl, coalesce(a, 0) AS n_terms, CAST(coalesce(b, 0) AS BIGINT) AS n_tokens, coalesce(c, 0) AS max_tf FROM lens LEFT JOIN (SELECT rid, count(*) AS a, sum(tf) AS b, max(tf) AS c FROM terms GROUP BY rid) USING (rid)",
     "bm25_topk": f"WITH {INDEX}, {bm25(QU, 10)} SELECT qid, CAST(rank AS INTEGER) AS rank, rid, round(score, 4) AS score FROM bm",
     "bm25_topk_by_source": f"WITH {INDEX}, {bm25(QU, 10, 'slug = $$src3$$')} SELECT qid, CAST(rank AS INTEGER) AS rank, rid, round(score, 4) AS score FROM bm",
@@ -173,19 +164,19 @@ best AS (SELECT qid, rank, rid, citation, doc_type, any_value(terms) AS terms, a
 SELECT qid, CAST(rank AS INTEGER) AS rank, rid, citation, doc_type, CASE WHEN i > 0 THEN ' … ' ELSE g[1] END ||
  array_to_string(list_transform(range(i + 1, least(i + 16, len(f)) + 1), lambda k: CASE WHEN k = i + 1 THEN '' ELSE g[k] END || CASE WHEN list_contains(terms, lower(strip_accents(f[k]))) THEN '«' || f[k] || '»' ELSE f[k] END), '')
  || CASE WHEN i + 16 < len(f) THEN ' … ' ELSE g[len(g)] END AS snippet FROM best""",
-    "sparse_features": f"WITH RECURSIVE {INDEX}, {SPARSE} SELECT feature, dim, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df FROM cf GROUP BY feature, dim ORDER BY tf DESC, feature LIMIT 200",
+    "sparse_features": f"WITH RECURSIVE {INDEX}, {SPARSE} SELECT feature, dim, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df FROM cf GROUP BY feature, dim",
     "sparse_idf": f"WITH RECURSIVE {INDEX}, {SPARSE} SELECT dim, round(round(v, 5), 4) AS v FROM idf",
     "sparse_cosine_topk": f"WITH RECURSIVE {INDEX}, {SPARSE}, qs AS (SELECT CAST(qid AS BIGINT) AS qid, query FROM ({QU})), {cosine(10)} SELECT qid, CAST(rank AS INTEGER) AS rank, rid, round(score, 3) AS score FROM cs",
-    "dense_cosine_topk": dense(1),
-    "dense_batch_topk": dense(20),
+    "dense_batch_topk": DENSE,
     "rrf_fuse": f"WITH RECURSIVE {INDEX}, {SPARSE}, {bm25(QU, 50)}, {cosine(50)} SELECT qid, rid, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS rrf FROM (SELECT qid, rid, rank FROM bm UNION ALL SELECT qid, rid, rank FROM cs) GROUP BY qid, rid",
     "hybrid_adaptive": f"WITH RECURSIVE {INDEX}, {SPARSE}, {bm25(QU, 200)}, {cosine(200)}, {hybrid('vigente = 1')} SELECT qid, CAST(rank AS INTEGER) AS rank, rid, round(rrf, 4) AS score, citation, vigente = 1 AS vigente FROM cutoff",
     "hybrid_filtered": f"WITH RECURSIVE {INDEX}, {SPARSE}, {bm25(QU, 200, 'slug = $$src3$$')}, {cosine(200)}, {hybrid('vigente = 1 AND c.slug = $$src3$$ AND c.doc_type IN ($$en$$, $$fr$$)')} SELECT qid, CAST(rank AS INTEGER) AS rank, rid, round(rrf, 4) AS score, doc_type FROM cutoff",
-    "hybrid_batch": f"""WITH {INDEX}, {bm25(PA, 20)}, fused AS (SELECT qid, rid, 1.0::DOUBLE / (60 + rank) AS rrf FROM bm), hits AS (SELECT *, max(rrf) OVER (PARTITION BY qid) AS best FROM fused)
-SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 12) DESC, rid) AS INTEGER) AS rank, rid, round(rrf, 4) AS score FROM hits WHERE rrf >= best * 0.3""",
-    "rerank_cut": f"""WITH {INDEX}, {bm25(QU, 50)}, scored AS (SELECT b.qid, b.rid, CAST(len(list_intersect(list_distinct({toks("q.query")}), list_distinct({toks("substr(c.text, 1, 900)")}))) AS DOUBLE) AS s FROM bm b JOIN ch c USING (rid) JOIN qs q USING (qid)),
-hits AS (SELECT *, max(s) OVER (PARTITION BY qid) AS best FROM scored)
-SELECT qid, CAST(rank AS INTEGER) AS rank, rid, s AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, rid) AS rank FROM hits WHERE s >= best - 0.5) WHERE rank <= 25""",
+    "hybrid_batch": f"""WITH RECURSIVE {INDEX}, {SPARSE}, {bm25(PA, 200)}, {cosine(200)}, {hybrid("true")}
+SELECT qid, CAST(rank AS INTEGER) AS rank, rid, round(rrf, 4) AS score FROM cutoff""",
+    "rerank_cut": f"""WITH RECURSIVE {INDEX}, {SPARSE}, {bm25(QU, 200)}, {cosine(200)}, {hybrid("true")},
+scored AS (SELECT p.qid, p.rid, CAST(len(list_intersect(list_distinct({toks("q.query")}), list_distinct({toks("c.text")}))) AS DOUBLE) AS s FROM pool p JOIN ch c USING (rid) JOIN qs q USING (qid)),
+best AS (SELECT *, max(s) OVER (PARTITION BY qid) AS top FROM scored)
+SELECT qid, CAST(rank AS INTEGER) AS rank, rid, s AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, rid) AS rank FROM best WHERE s >= top - 0.5) WHERE rank <= 25""",
     "exact_lookup": f"SELECT rid, citation, vigente = 1 AS vigente, vigente <> 1 AS derogado, text FROM ({CH}) WHERE article = '45' OR (article = '103' AND slug = 'src3')",
     "paragraph_chunks": f"""SELECT rid, count(*) AS n, CAST(sum(length(p)) AS BIGINT) AS chars, min(length(p)) AS shortest
 FROM (SELECT rid, {strip("regexp_replace(" + strip("unnest(string_split(text, chr(10)))") + ", '^[# ]+', '')")} AS p FROM ({CH})) WHERE length(p) >= 15 GROUP BY rid""",
@@ -204,12 +195,13 @@ SELECT slug, doc_type, rama, label, doc_type IN ('ley', 'jurisprudencia') AS is_
  CASE WHEN lower(file) LIKE 'temario%' THEN 'temario' WHEN lower(file) LIKE 'cdigo%' OR contains(lower(file), 'codigo') THEN 'codigo' WHEN contains(lower(file), 'examen') THEN 'examen' ELSE 'generic' END AS kind FROM ({FI})""",
     "refs_extract": f"WITH {REFS} SELECT article, dst FROM refs",
     "ref_edges": f"WITH {REFS} SELECT slug, src, dst FROM edges",
-    "related_cites": related(CITES),
-    "related_cited_by": related(CITED),
-    "related_neighbors": related(NEAR),
+    "related_cites": related("SELECT slug, src AS article, dst AS other FROM edges"),
+    "related_cited_by": related("SELECT slug, dst AS article, src AS other FROM edges"),
+    "related_neighbors": f"""WITH {REFS}
+SELECT a.slug, a.article, count(*) AS n, arg_min(b.article, CAST(b.article AS BIGINT)) AS first FROM st a JOIN st b ON a.section = b.section AND a.article <> b.article GROUP BY a.slug, a.article""",
     "citation_fallback": f"SELECT w.slug, w.article, coalesce(s.citation, w.slug || ' art. ' || w.article) AS citation FROM (VALUES ('code-0', '10'), ('code-1', '11'), ('code-1', '10'), ('none', '1')) w(slug, article) LEFT JOIN ({ST}) s ON s.slug = w.slug AND s.article = w.article",
-    "consult_related": f"""WITH {REFS},
-core AS (SELECT q AS qid, CASE WHEN q = 0 THEN rid ELSE -rid END AS rank, slug, article FROM st, (SELECT unnest([0, 1])::BIGINT AS q) WHERE rid <= 81 AND rid % 9 = 0),
+    "consult_related": f"""WITH {INDEX.replace(CH, ST)}, {bm25(adapters.STATUTE_QUERIES, 25)}, {REFS},
+core AS (SELECT qid, rank, st.slug, st.article FROM bm JOIN st USING (rid)),
 seeds AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS seed FROM core) WHERE seed <= 6),
 rel AS (SELECT s.qid, s.seed, 0 AS step, e.slug, e.dst AS article, 'cita' AS relation FROM seeds s JOIN edges e ON e.slug = s.slug AND e.src = s.article
   UNION ALL SELECT s.qid, s.seed, 1, e.slug, e.src, 'citado_por' FROM seeds s JOIN edges e ON e.slug = s.slug AND e.dst = s.article

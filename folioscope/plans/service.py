@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import sys
+from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,10 +59,19 @@ class Service:
     def citation(self, number: str, slug: str) -> str:
         return graph.citations(self.index.chunks, self.spark.createDataFrame([(slug, str(number))], "slug string, article string")).first()["citation"]
 
-    def bundles(self, queries: DataFrame, slug: str | None = None) -> DataFrame:
-        """(qid, bundle as JSON) of all queries in one plan."""
+    def parts(self, queries: DataFrame, slug: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Core hits, related articles and topics of all queries in one plan."""
         core = self.hybrid(queries, slug)
-        return advisory.bundle(queries, core, advisory.expand(core, self.index.chunks, self.index.refs), advisory.topics(self.index.chunks, self.index.lexicon, queries))
+        return core, advisory.expand(core, self.index.chunks, self.index.refs), advisory.topics(self.index.chunks, self.index.lexicon, queries)
+
+    def bundles(self, queries: DataFrame, slug: str | None = None) -> DataFrame:
+        """(qid, bundle as JSON)."""
+        return advisory.bundle(queries, *self.parts(queries, slug))
+
+    def sheet(self, question: str, slug: str | None = None) -> str:
+        """A bundle to read."""
+        asked = self.asked(question)
+        return advisory.sheets(asked, *self.parts(asked, slug)).first()["sheet"]
 
     def consult(self, question: str, slug: str | None = None) -> dict:
         return json.loads(self.bundles(self.asked(question), slug).first()["bundle"])
@@ -93,35 +103,53 @@ def call(service: Service, name: str, given: dict) -> object:
     raise ValueError(f"unknown tool: {name}")
 
 
+def initialized(service: Service, given: dict) -> dict:
+    return {"protocolVersion": PROTOCOL, "capabilities": {"tools": {}}, "serverInfo": {"name": "folioscope", "version": "0.1.0"}}
+
+
+def listed(service: Service, given: dict) -> dict:
+    return {"tools": [{"name": n, "description": d, "inputSchema": s} for n, (d, s) in TOOLS.items()]}
+
+
+def called(service: Service, given: dict) -> dict:
+    try:
+        found = call(service, given["name"], given.get("arguments", {}))
+    except Exception as e:  # the client gets the error
+        return {"content": [{"type": "text", "text": f"ERROR: {e}"}], "isError": True}
+    return {"content": [{"type": "text", "text": json.dumps(found, ensure_ascii=False, indent=2)}]}
+
+
+METHODS = {"initialize": initialized, "tools/list": listed, "tools/call": called}
+
+
 def answer(service: Service, message: dict) -> dict | None:
     """The reply to a message; none to a notification."""
     method, mid = message.get("method"), message.get("id")
-    reply = {"jsonrpc": "2.0", "id": mid}
-    if method == "initialize":
-        return reply | {"result": {"protocolVersion": PROTOCOL, "capabilities": {"tools": {}}, "serverInfo": {"name": "folioscope", "version": "0.1.0"}}}
-    if method == "tools/list":
-        return reply | {"result": {"tools": [{"name": n, "description": d, "inputSchema": s} for n, (d, s) in TOOLS.items()]}}
-    if method == "tools/call":
+    if method in METHODS:
+        body = {"result": METHODS[method](service, message.get("params", {}))}
+    elif method is None or mid is None:
+        return None
+    else:
+        body = {"error": {"code": -32601, "message": f"unsupported method: {method}"}}
+    return {"jsonrpc": "2.0", "id": mid, **body}
+
+
+def messages(lines: Iterable[bytes]) -> Iterator[dict]:
+    """The JSON objects among lines of UTF-8, a byte-order mark before them or not."""
+    for raw in lines:
         try:
-            given = message.get("params", {})
-            text, failed = json.dumps(call(service, given["name"], given.get("arguments", {})), ensure_ascii=False, indent=2), {}
-        except Exception as e:  # the client gets the error
-            text, failed = f"ERROR: {e}", {"isError": True}
-        return reply | {"result": {"content": [{"type": "text", "text": text}]} | failed}
-    if method is not None and mid is not None:
-        return reply | {"error": {"code": -32601, "message": f"unsupported method: {method}"}}
-    return None
+            found = json.loads(raw.decode("utf-8-sig", "replace"))
+        except ValueError:
+            continue
+        if isinstance(found, dict):
+            yield found
 
 
 def serve(service: Service, source: BinaryIO | None = None, sink: BinaryIO | None = None) -> None:
-    """Answer messages line by line; blank lines and lines that aren't JSON objects are passed over, a byte-order mark is taken off."""
-    source, sink = source or sys.stdin.buffer, sink or sys.stdout.buffer
-    for raw in source:
-        line = raw.decode("utf-8", "replace").lstrip("﻿").strip()
-        try:
-            message = json.loads(line) if line else None
-        except json.JSONDecodeError:
-            continue
-        if isinstance(message, dict) and (reply := answer(service, message)) is not None:
+    """Answer messages line by line; lines that aren't JSON objects are passed over."""
+    sink = sink or sys.stdout.buffer
+    for message in messages(source or sys.stdin.buffer):
+        reply = answer(service, message)
+        if reply is not None:
             sink.write(json.dumps(reply, ensure_ascii=False).encode() + b"\n")
             sink.flush()

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import rules
-from folioscope.functions.text import BLANK_LINES, LINE_END, article_label, collapse, deligature, slug, strip, token_estimate
+from folioscope.functions.text import BLANK_LINES, LINE_END, article_label, collapse, deligature, slug, strip, token_count
 
 
 def extract(spark: SparkSession, path: str, reader: Callable[[bytes], list[str]], glob: str = "*.pdf") -> DataFrame:
@@ -90,8 +90,9 @@ def convert(pages: DataFrame, converted: Column) -> DataFrame:
 
 
 def report(converted: DataFrame) -> DataFrame:
-    """(doc, n_pages, n_articles, chars, tokens) of each document; the row with a null doc sums the characters and tokens."""
-    rows = converted.select("doc", "n_pages", "n_articles", F.length("body").cast("long").alias("chars"), token_estimate(F.col("body")).alias("tokens"))
+    """(doc, n_pages, n_articles, chars, tokens) of each document; the row with a null doc sums the characters and tokens. converted has body, or its length as chars."""
+    chars = F.col("chars") if "chars" in converted.columns else F.length("body").cast("long")
+    rows = converted.select("doc", "n_pages", "n_articles", chars.alias("chars")).withColumn("tokens", token_count(F.col("chars")))
     each = lambda c: F.when(F.grouping("doc") == 0, F.sum(c)).alias(c)
     return rows.rollup("doc").agg(each("n_pages"), each("n_articles"), F.sum("chars").alias("chars"), F.sum("tokens").alias("tokens"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,8 +12,8 @@ from folioscope.operators.chunking import chunk
 def refresh(spark: SparkSession, corpus: str, chunks: str, checkpoint: str) -> StreamingQuery:
     """Start a query that reads new Markdown files under corpus and overwrites only their slugs' partitions of the chunks table.
 
-    A batch that is run again writes the same partitions again, so each file counts once. rid numbers rows within a batch;
-    (slug, place) is the key across batches.
+    A batch that is run again writes the same partitions again, so each file counts once. rid is a hash of the slug (32 bits)
+    and the row's place in its file, so rows keep theirs whatever batch they come in, and an index can be built of the table.
     """
     files = spark.readStream.format("text").option("wholetext", "true").option("pathGlobFilter", "*.md").schema("value string").load(corpus)
     name = F.col("_metadata.file_name")
@@ -21,6 +21,9 @@ def refresh(spark: SparkSession, corpus: str, chunks: str, checkpoint: str) -> S
 
     def write(batch: DataFrame, _: int) -> None:
         last = batch.groupBy("slug").agg(F.max_by(F.struct("file_name", "raw"), "at").alias("f")).select("slug", "f.file_name", "f.raw")
-        chunk(last).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slug").parquet(chunks)
+        made = chunk(last)
+        place = F.col("rid") - F.min("rid").over(Window.partitionBy("slug"))  # one file's rows
+        made = made.withColumn("rid", F.call_function("shiftleft", F.crc32(F.col("slug").cast("binary")), F.lit(31)) + place)
+        made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slug").parquet(chunks)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
