@@ -1,9 +1,11 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 from functools import cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -33,6 +35,21 @@ def test_records_equal_the_library(spark, docs, rows):
     assert out == expected
 
 
+def test_encoder_equals_the_library_on_random_text():
+    rnd = random.Random(3)
+    signs = [*"abcdefgXYZ's'tré'llÀÉßÿñ012 .,;!?-_#$%&\n\t\r\x0b\x0c\x01\x7f\x00 ", "'s", "'re", "'LL", "  ", "\u0301", "\u00a0", "\u0085", "\u3000", "\x1c", "İ", "ſ", "Ǆ", "中", "１", "²", "½", "<|endoftext|>", "</w>", "\u200b", "e\u0301", "ﬁ", "Σς", "😀", "\u2028", "×"]
+    for encoder in (tokens.Encoder(PATH), tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))):
+        whole = Tokenizer.from_file(PATH if encoder.by_word else public_tokenizers.path("byte_bpe_50k.json"))
+        whole.encode_special_tokens = True
+        for k in range(30):
+            texts = ["".join(rnd.choices(signs, k=rnd.randint(0, 40))) for _ in range(100)] + [None, ""]
+            ids, bounds = encoder.encode(pa.array(texts, pa.string()))
+            if encoder.by_word and k % 7 == 6:
+                encoder.forget(list(encoder.known)[::2])  # what is kept stays right
+            for i, t in enumerate(texts):
+                assert ids[bounds[i] : bounds[i + 1]].tolist() == whole.encode(t or "", add_special_tokens=False).ids, repr(t)
+
+
 def test_null_ids_repeats_and_no_rows(spark, empty):
     df = spark.createDataFrame([(None, "a b"), (4, None), (4, None), (1, "c")], "doc_id long, text string")
     files = tokens.write_records(df, new_path(spark, "records"), PATH)
