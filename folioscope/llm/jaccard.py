@@ -15,8 +15,9 @@ that differs by one shingle (two credits, found by the segment itself and its on
 - A larger set with so few filled segments that a partner may share none (chance fills them, so there is hardly ever one)
   is compared with every set's sketch.
 - Sets under one signature are compared by odd sketches of a thousand bits, which differ at most as much as the sets do.
-  Large buckets are dealt into cells of some thousand sets, so that no key is one task's work. What may be linked makes
-  clusters: every link lies within one.
+  Large buckets are dealt into cells of some thousand sets, so that no key is one task's work; of crowded ones, only what
+  isn't in the largest component after that meets other cells. What may be linked makes clusters: every link lies within
+  one.
 - A cluster's whole sets meet in blocks of some megabytes, where each pair that sketches don't rule out and that isn't
   connected yet is verified exactly. Most clusters are one block. Of several blocks each is solved for itself, the largest
   components are joined by single members, and only sets outside the cluster's largest component are then held against
@@ -314,22 +315,70 @@ def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def grid(asks: F.Column, answers: F.Column, down: F.Column, across: F.Column) -> F.Column:
+    """The cells (cell, role) of a row of a bucket that is dealt into down times across cells: what asks goes to all cells of its row, what answers to all of its column."""
+    column, row = F.pmod(F.xxhash64("doc"), across).cast("int"), F.pmod(F.xxhash64("doc"), down).cast("int")
+    here = lambda i, j, role: F.struct((i * across + j).cast("int").alias("cell"), F.lit(role).alias("role"))
+    answered = F.transform(F.sequence(F.lit(0), down - 1), lambda i: here(i, column, 0))
+    asked = F.transform(F.sequence(F.lit(0), across - 1), lambda j: here(row, j, 1))
+    none = F.array().cast("array<struct<cell int, role int>>")
+    return F.concat(F.when(answers, answered).otherwise(none), F.when(asks, asked).otherwise(none))
+
+
+def cells_of(n: str) -> F.Column:
+    return F.ceil(F.col(n) / CELL).cast("int")
+
+
 def clustered(members: DataFrame, sketches: DataFrame) -> DataFrame:
     """(a, b): links between sets of a bucket that size and sketch may allow, as far as they connect more; one of each pair probes.
 
-    Buckets are dealt into cells, so many probing sets and so many others each; probing sets go to all their bucket's
-    cells that hold others, and those to all that hold probing ones.
+    Buckets are dealt into cells, so many probing sets and so many others each. Of a bucket with few probing sets, those
+    go to all cells. A bucket with many, such as one of near copies, is first dealt so that each set is in one cell; then
+    only what that leaves outside the bucket's largest component meets the rest.
     """
-    members = members.join(sketches, "doc")
     counts = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("probe").alias("p")).where("n > 1 AND p > 0")
-    counts = counts.select("bucket", F.ceil(F.col("n") / CELL).cast("int").alias("across"), F.ceil(F.col("p") / CELL).cast("int").alias("down"))
-    column, row = F.pmod(F.xxhash64("doc"), F.col("across")).cast("int"), F.pmod(F.xxhash64("doc"), F.col("down")).cast("int")
-    here = lambda i, j, role: F.struct((i * F.col("across") + j).alias("cell"), F.lit(role).alias("role"))
-    answers = F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda i: here(i, column, 0))
-    asks = F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda j: here(row, j, 1))
-    several = F.when(F.col("probe") == 1, F.concat(answers, asks)).otherwise(answers)
-    cells = F.when((F.col("across") == 1) & (F.col("down") == 1), F.array(F.when(F.col("probe") == 1, here(F.lit(0), F.lit(0), 2)).otherwise(here(F.lit(0), F.lit(0), 0)))).otherwise(several)
-    dealt = members.join(counts, "bucket").select("bucket", "doc", "size", "sketch", F.explode(cells).alias("c")).select("bucket", "c.cell", "doc", "size", "c.role", "sketch")
+    counts = cut(counts.select("bucket", cells_of("n").alias("across"), cells_of("p").alias("down"), (F.col("p") > CELL).alias("crowded")), "counts")
+    members = members.join(counts, "bucket")
+    probing, whole = F.col("probe") == 1, F.when(F.col("probe") == 1, 2).otherwise(0)
+    own = F.pmod(F.xxhash64("doc"), F.col("across")).cast("int")
+    alone = F.col("crowded") | (F.col("across") == 1)
+    cells = F.when(alone, F.array(F.struct(own.alias("cell"), whole.alias("role")))).otherwise(grid(probing, F.lit(True), F.col("down"), F.col("across")))
+    first = compared(members.join(sketches, "doc").withColumn("c", F.explode(cells)).select("bucket", "c.cell", "doc", "size", "c.role", "sketch"))
+    if not counts.where("crowded").limit(1).count():
+        return first
+    return crowds(members.where("crowded"), sketches, cut(first, "first"))
+
+
+def crowds(members: DataFrame, sketches: DataFrame, links: DataFrame) -> DataFrame:
+    """links, and those that they lack between sets of buckets with many probing sets; members: bucket, doc, size, probe, across. Sketches go with those only that meet."""
+
+    def labelled(links: DataFrame) -> DataFrame:
+        roots = components(links)
+        return members.join(roots, F.col("doc") == F.col("node"), "left").withColumn("label", F.coalesce("root", "doc")).drop("node", "root")
+
+    # some members of each cell's largest components meet first; windows are over cells, which are of bounded size
+    cell = F.pmod(F.xxhash64("doc"), F.col("across"))
+    alike = Window.partitionBy("bucket", "cell", "label")
+    known = labelled(links).withColumn("cell", cell).withColumn("n", F.count("*").over(alike)).withColumn("k", F.row_number().over(alike.orderBy("doc"))).where(F.col("k") <= TOP)
+    large = known.withColumn("r", F.dense_rank().over(Window.partitionBy("bucket", "cell").orderBy(F.desc("n"), "label"))).where(F.col("r") <= TOP)
+    part = F.pmod("cell", F.ceil(F.col("across") * TOP * TOP / MEET)).cast("int")
+    meeting = large.join(sketches, "doc").select("bucket", part.alias("cell"), "doc", "size", F.lit(2).alias("role"), "sketch")
+    links = cut(links.unionByName(compared(meeting)), "met")
+    known = cut(labelled(links), "known")
+    most = known.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+    known = known.join(most, "bucket").withColumn("out", F.col("label") != F.col("most")).drop("most", "label")
+    out, probing = F.col("out"), F.col("probe") == 1
+    counts = known.groupBy("bucket").agg(F.count_if(out & probing).alias("asking"), F.count_if(~out & probing).alias("inner"), F.count_if(out & ~probing).alias("quiet"))
+    known = known.join(counts.where("asking + quiet > 0"), "bucket")
+    # probing sets outside meet all of the bucket; others outside meet the probing sets of the largest component
+    outer = known.where("asking > 0").withColumn("c", F.explode(grid(out & probing, F.lit(True), cells_of("asking"), F.col("across"))))
+    inner = known.where("inner > 0 AND quiet > 0").withColumn("c", F.explode(grid(~out & probing, out & ~probing, cells_of("inner"), cells_of("quiet"))))
+    both = outer.select("bucket", "c.cell", "doc", "size", "c.role").unionByName(inner.select("bucket", (-1 - F.col("c.cell")).alias("cell"), "doc", "size", "c.role"))
+    return links.unionByName(compared(both.join(sketches, "doc").select("bucket", "cell", "doc", "size", "role", "sketch")))
+
+
+def compared(dealt: DataFrame) -> DataFrame:
+    """(a, b): what connects the sets of each cell; dealt: bucket, cell, doc, size, role (0 answers, 1 asks, 2 both), sketch."""
 
     def may_link(size: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         x, y = size[i], size[j]

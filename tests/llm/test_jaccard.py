@@ -63,6 +63,27 @@ def test_chains_over_blocks(spark, word, monkeypatch):
     assert result(jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"))) == expected
 
 
+def test_crowded_buckets(spark, word, monkeypatch):
+    """Buckets with far more probing sets than a cell holds: near copies, some of them only chained to others, and sets that share a passage and nothing else."""
+    for name, value in (("CELL", 8), ("FEW", 3), ("TOP", 2), ("MEET", 6)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = np.random.default_rng(3)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(90):
+        near = list(base)
+        near[int(rng.integers(0, 150))] = f"y{i}"
+        rows.append((5000 - i, " ".join(near)))
+    rows += [(100 + i, " ".join([*base[i * 2 :], *(f"z{k}" for k in range(i * 2))])) for i in range(60)]
+    rows += [(8000 + i, " ".join([*base[:60], *(f"x{i}-{k}" for k in range(50))])) for i in range(40)]
+    rows += [(9000 + i, " ".join([*(f"s{k}" for k in range(12)), f"t{i}"])) for i in range(50)]
+    seen = []
+    before = jaccard.crowds
+    monkeypatch.setattr(jaccard, "crowds", lambda *x: seen.append(1) or before(*x))
+    assert result(jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows, word)
+    assert seen
+
+
 def test_query_equals_brute_force(spark, tables, word):
     """The registered query over its whole table."""
     docs = spark.read.parquet(f"{tables}/documents.parquet")
