@@ -249,6 +249,8 @@ class Dealer:
     """Packs arrays of equal length into binary rows (pid, n, one binary for each column), dealt by a hash.
 
     Millions of small records move through the shuffle as some packed rows for each target, and numpy sorts them there.
+    A packed column has its numbers' first bytes, then their second ones, and so on: what numbers share, such as leading
+    zeros, is then one stretch, which compresses however few records a row has.
     """
 
     def __init__(self, kinds: list[tuple[str, str]], targets: int, spread: bool = False) -> None:
@@ -281,11 +283,18 @@ class Dealer:
         out = [pa.array(pid[full], pa.int32()), pa.array(np.diff(ends), pa.int32())]
         full = range(len(full))
         for (_, kind), c in zip(self.kinds, columns, strict=True):
-            c = c[order].astype(kind, copy=False)
-            out.append(pa.array([c[ends[i] : ends[i + 1]].tobytes() for i in full], pa.binary()))
+            c = np.ascontiguousarray(c[order], dtype=kind)
+            c = c.view(np.uint8).reshape(len(c), -1)
+            out.append(pa.array([c[ends[i] : ends[i + 1]].T.tobytes() for i in full], pa.binary()))
         yield pa.RecordBatch.from_arrays(out, ["pid", "rows", *(k for k, _ in self.kinds)])
 
 
+def unpacked(column: bytes, kind: str) -> np.ndarray:
+    """The numbers of a packed column."""
+    planes = np.frombuffer(column, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
 def undealt(batches: Iterator[pa.RecordBatch], kinds: list[tuple[str, str]], with_pid: bool = False) -> Iterator:
     """The columns of all records of one pid after the other (with_pid: pid, columns); the packed rows must be sorted by pid."""
 
@@ -302,7 +311,7 @@ def undealt(batches: Iterator[pa.RecordBatch], kinds: list[tuple[str, str]], wit
                 yield whole()
                 parts = []
             pid = p
-            parts.append([np.frombuffer(c[i].as_py(), kind) for c, (_, kind) in zip(columns, kinds, strict=True)])
+            parts.append([unpacked(c[i].as_py(), kind) for c, (_, kind) in zip(columns, kinds, strict=True)])
     if parts:
         yield whole()
 
