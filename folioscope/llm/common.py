@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -77,6 +79,13 @@ def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+def let_go() -> None:
+    """Give memory that nothing holds back to the system: Python workers live on for other tasks, each with the most that it ever used."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of the batch with about step bytes of the column each, so that memory doesn't follow the batch size."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
@@ -86,6 +95,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", step: int = STEP_BYTES)
         if end > at:
             yield batch.slice(at, end - at)
             at = end
+    let_go()
 
 
 def word_lists(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
@@ -302,6 +312,7 @@ def undealt(batches: Iterator[pa.RecordBatch], kinds: list[tuple[str, str]], wit
         columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
         return (pid, columns) if with_pid else columns
 
+    let_go()
     pid, parts = None, []
     for batch in batches:
         ids = batch.column("pid").to_pylist()
