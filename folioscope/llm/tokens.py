@@ -63,7 +63,6 @@ def tokenizer(path: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     t.no_truncation()
     t.no_padding()
     return t
@@ -80,7 +79,7 @@ def parts_words(spec: dict) -> bool:
         and model.get("type") == "BPE"
         and bool(model.get("end_of_word_suffix"))
         and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
-        and all(t["special"] for t in spec.get("added_tokens", []))
+        and all(t["special"] and t["content"] and not any(t.get(k) for k in ("normalized", "single_word", "lstrip", "rstrip")) for t in spec.get("added_tokens", []))
     )
 
 
@@ -110,8 +109,9 @@ class Encoder:
 
     Where the tokenizer's file declares so (parts_words), a text's ids are its words' ids in order: each distinct word of
     a step is encoded once, and steps share what they know. A word of ASCII and Latin-1 letters is cut into its pieces
-    here, and the library only merges them; other words go through the whole library. Any other tokenizer, and a text
-    with a separator that only some libraries take for white space, is encoded as it is.
+    here, and the library only merges them; other words go through the whole library. Any other tokenizer, a text with a
+    separator that only some libraries take for white space, and a text that holds the name of an added token (such as
+    <|endoftext|>, which the library gives the token's one id) is encoded as it is.
     """
 
     def __init__(self, path: str) -> None:
@@ -125,6 +125,7 @@ class Encoder:
             self.is_end = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
             self.is_end[[i for word, i in spec["model"]["vocab"].items() if word.endswith(suffix)]] = True
             self.merge = merger(path)
+            self.whole = "|".join([SEPARATORS, *(re.escape(t["content"]) for t in spec.get("added_tokens", []))])
         self.known: dict[str, int] = {}
         self.forget()
 
@@ -185,7 +186,7 @@ class Encoder:
         if not self.by_word:
             own = self.ids(texts.to_pylist())
             return np.fromiter((i for x in own for i in x), dtype=np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
-        odd = np.asarray(pc.match_substring_regex(texts, SEPARATORS))
+        odd = np.asarray(pc.match_substring_regex(texts, self.whole))
         plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
         beyond = pc.match_substring_regex(plain, BEYOND_LATIN)
         lowered = pc.replace_substring_regex(pc.utf8_lower(plain), TAIL, r"\1 \2\3")

@@ -37,10 +37,9 @@ def test_records_equal_the_library(spark, docs, rows):
 
 def test_encoder_equals_the_library_on_random_text():
     rnd = random.Random(3)
-    signs = [*"abcdefgXYZ's'tré'llÀÉßÿñ012 .,;!?-_#$%&\n\t\r\x0b\x0c\x01\x7f\x00 ", "'s", "'re", "'LL", "  ", "\u0301", "\u00a0", "\u0085", "\u3000", "\x1c", "İ", "ſ", "Ǆ", "中", "１", "²", "½", "<|endoftext|>", "</w>", "\u200b", "e\u0301", "ﬁ", "Σς", "😀", "\u2028", "×"]
+    signs = [*"abcdefgXYZ's'tré'llÀÉßÿñ012 .,;!?-_#$%&\n\t\r\x0b\x0c\x01\x7f\x00 ", "'s", "'re", "'LL", "  ", "\u0301", "\u00a0", "\u0085", "\u3000", "\x1c", "İ", "ſ", "Ǆ", "中", "１", "²", "½", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "|>", "endoftext", "</w>", "\u200b", "e\u0301", "ﬁ", "Σς", "😀", "\u2028", "×"]
     for encoder in (tokens.Encoder(PATH), tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))):
         whole = Tokenizer.from_file(PATH if encoder.by_word else public_tokenizers.path("byte_bpe_50k.json"))
-        whole.encode_special_tokens = True
         for k in range(30):
             texts = ["".join(rnd.choices(signs, k=rnd.randint(0, 40))) for _ in range(100)] + [None, ""]
             ids, bounds = encoder.encode(pa.array(texts, pa.string()))
@@ -50,6 +49,18 @@ def test_encoder_equals_the_library_on_random_text():
                 assert ids[bounds[i] : bounds[i + 1]].tolist() == whole.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+def test_names_of_special_tokens(spark):
+    """Added tokens' names inside texts are one id each, as the library has them; other cases and parts are ordinary text. Through the files and the packed pieces."""
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|startoftext|>y", "<|ENDOFTEXT|> É", "中 <|endoftext|>", "<| endoftext |>", "plain"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in tokens.read_records(tokens.write_records(df, new_path(spark, "records"), PATH)).collect()}
+    assert got == {i: ids_of(t).tolist() for i, t in enumerate(texts)} and 49407 in got[0] and 49407 not in got[3]
+    pieces = packing.pieces(df, PATH, window=4).collect()
+    for i, t in enumerate(texts):
+        own, ids = sorted((p for p in pieces if p.doc_id == i), key=lambda p: p.start), ids_of(t)
+        assert sum(p.length for p in own) == len(ids) and all(p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes()) for p in own)
+
+
 def test_null_ids_repeats_and_no_rows(spark, empty):
     df = spark.createDataFrame([(None, "a b"), (4, None), (4, None), (1, "c")], "doc_id long, text string")
     files = tokens.write_records(df, new_path(spark, "records"), PATH)
