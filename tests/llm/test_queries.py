@@ -14,7 +14,7 @@ from folioscope.llm import packing, queries, sharding, tokens
 @pytest.fixture(scope="module")
 def db(tables):
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tables}/{t}.parquet'")
     return c
 
