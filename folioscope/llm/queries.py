@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import chat, urls
+from folioscope.llm import chat, collocations, urls
 from folioscope.llm.jaccard import op4_universe_partition_join
 from folioscope.llm.media import op8_media_columns
 from folioscope.llm.mixing import op9_pareto_mix
@@ -30,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_media_columns,
         op9_pareto_mix,
         op10_record_files,
+        collocations.op12_position_bitmaps,
         chat.op13_chat_formatting,
     ]
     return {f.__name__: f for f in made}
@@ -57,4 +58,4 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {urls.op1_temporal_list_join.__name__: urls.ORACLE, op6_tiled_top_k.__name__: TOP_K, op7_recompression.__name__: REPEATS, chat.op13_chat_formatting.__name__: chat.ORACLE}
+    return {urls.op1_temporal_list_join.__name__: urls.ORACLE, op6_tiled_top_k.__name__: TOP_K, op7_recompression.__name__: REPEATS, collocations.op12_position_bitmaps.__name__: collocations.ORACLE, chat.op13_chat_formatting.__name__: chat.ORACLE}
