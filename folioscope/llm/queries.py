@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import chat, collocations, urls
+from folioscope.llm import chat, cobucket, collocations, urls
 from folioscope.llm.jaccard import op4_universe_partition_join
 from folioscope.llm.media import op8_media_columns
 from folioscope.llm.mixing import op9_pareto_mix
@@ -30,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_media_columns,
         op9_pareto_mix,
         op10_record_files,
+        cobucket.op11_co_bucketed_pair,
         collocations.op12_position_bitmaps,
         chat.op13_chat_formatting,
     ]
