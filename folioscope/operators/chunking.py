@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import rules
 from folioscope.functions.text import BLANK_LINES, LINE_END, collapse, strip
+from folioscope.operators.scan import scan
 from folioscope.sources import markdown
 
 COLUMNS = ["rid", "slug", "name", "doc_type", "heading", "article", "structure", "citation", "text", "section", "rama", "source", "vigente", "reformas"]
@@ -22,16 +23,13 @@ def lines(files: DataFrame, body: str = "body") -> DataFrame:
 def sections(rows: DataFrame) -> DataFrame:
     """lines with sec (dividers so far), unit (dividers and headings so far), structure (the last divider's text) and kind.
 
-    One window for each file; a file is one task's work, files are dealt over all.
+    A scan over stretches of lines: one file, however long, is the work of many tasks.
     """
     divider, heading = F.col("line").startswith("### "), F.col("line").startswith("## ")
-    so_far = Window.partitionBy("slug").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        rows.withColumn("kind", F.when(divider, "divider").when(heading, "heading").otherwise("text"))
-        .withColumn("sec", F.sum(divider.cast("int")).over(so_far))
-        .withColumn("unit", F.sum((divider | heading).cast("int")).over(so_far))
-        .withColumn("structure", F.coalesce(F.last(F.when(divider, strip(F.substr("line", F.lit(5)))), ignorenulls=True).over(so_far), F.lit("")))
-    )
+    kinds = rows.withColumn("kind", F.when(divider, "divider").when(heading, "heading").otherwise("text"))
+    sums = {"sec": divider.cast("int"), "unit": (divider | heading).cast("int")}
+    found = scan(kinds, "slug", "pos", sums, {"structure": F.when(divider, strip(F.substr("line", F.lit(5))))})
+    return found.withColumn("structure", F.coalesce("structure", F.lit("")))
 
 
 def articles(rows: DataFrame) -> DataFrame:
@@ -69,8 +67,8 @@ def paragraphs(body: Column) -> Column:
 def chunk(files: DataFrame) -> DataFrame:
     """Chunks of (slug, file_name, raw) in the order of file names and places.
 
-    Numbering all rows in one order is a build step: a window over (file_name, place) numbers the rows of each file, and
-    a sum over the files' counts (a row for each file) tells where each file begins.
+    Numbering all rows in one order is a build step: a scan over stretches of places numbers the rows of each file, and a
+    sum over the files' counts (a row for each file) tells where each file begins.
     """
     known = rules.classify(files.withColumn("body", markdown.body(F.col("raw"))).withColumn("source", F.coalesce(markdown.frontmatter(F.col("raw"))["source"], F.col("slug"))))
     base = known.withColumnRenamed("label", "name").select("slug", "file_name", "name", "doc_type", "rama", "source", "body")
@@ -97,9 +95,9 @@ def chunk(files: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, file: str, place: str) -> DataFrame:
-    """rows with rid from 1 on, by (file, place)."""
+    """rows with rid from 1 on, by (file, place): each row's number in its file by a scan over stretches of places, and each file's start by a sum over the files before (a row for each file)."""
     counts = rows.groupBy(file).agg(F.count("*").alias("_n"))
     before = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(file, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = F.row_number().over(Window.partitionBy(file).orderBy(place))
-    return rows.withColumn("_k", within).join(starts, file).withColumn("rid", (F.col("_start") + F.col("_k")).cast("long")).drop("_k", "_start")
+    found = scan(rows, file, place, {"_k": F.lit(1)})
+    return found.join(starts, file).withColumn("rid", (F.col("_start") + F.col("_k")).cast("long")).drop("_k", "_start")

@@ -43,15 +43,23 @@ SELECT doc_id AS doc, text AS source,
        CASE WHEN doc_id % 5 = 0 THEN concat(substring(text, 1, 40), ' añadido') WHEN doc_id % 5 = 1 THEN replace(text, ',', '') WHEN doc_id % 5 = 2 THEN concat(text, ' (fin)') ELSE text END AS made
 FROM {documents}
 """
-#: Names of sources, known and unknown.
+#: The name of a source for each order: a known one, or one that rules must tell, with years and other joints in turn.
 SLUGS = """
-SELECT * FROM (VALUES ('codigo-civil-2026'), ('temario-derecho-penal-2025'), ('examen-incorporacion-caacr-2026'), ('ley-general-de-la-administracion-publica'), ('constitucion-politica'),
-  ('codigo-de-trabajo-2024'), ('codigo_tributario'), ('jurisprudencia-sala-primera'), ('manual-de-derecho-civil'), ('reglamento-de-transito'), ('Cdigo de Comercio 2019'),
-  ('programa de estudio notarial'), ('voto 123 sala'), ('apuntes'), ('procesal laboral norma'), ('registro-publico-ley'), ('ambiente y agraria'), ('1999'), ('protocolo internacional menores')) AS t(slug)
+SELECT o_orderkey AS id, concat(name, CASE WHEN k < 3 OR o_custkey % 3 = 0 THEN '' WHEN o_custkey % 3 = 1 THEN '-2019' ELSE ' 1998' END) AS slug
+FROM {orders} JOIN (SELECT * FROM (VALUES (0, 'codigo-civil-2026'), (1, 'temario-derecho-penal-2025'), (2, 'examen-incorporacion-caacr-2026'), (3, 'ley-general-de-la-administracion-publica'), (4, 'constitucion-politica'), (5, 'codigo-de-trabajo'), (6, 'codigo_tributario'), (7, 'jurisprudencia-sala-primera'), (8, 'manual-de-doctrina-civil'), (9, 'jurisprudencia-sala-constitucional'), (10, 'codigo-de-comercio'), (11, 'reglamento-de-transito'), (12, 'programa de estudio notarial'), (13, 'voto 123 sala'), (14, 'apuntes'), (15, 'procesal laboral norma'), (16, 'registro-publico-ley'), (17, 'ambiente y agraria'), (18, 'protocolo internacional menores'), (19, 'Cdigo de Comercio')) AS t(k, name)) n ON o_orderkey % 20 = k
 """
-#: File names.
+#: A file name for each order.
 FILES = """
-SELECT * FROM (VALUES ('Cdigo Civil (2026).pdf'), ('Temario Derecho Penal 2025.pdf'), ('EXAMEN Incorporacion.pdf'), ('Mi codigo de comercio.pdf'), ('Resolución número 5.pdf'), ('--raro--.pdf')) AS t(file)
+SELECT o_orderkey AS id, concat(name, ' ', CAST(o_custkey AS STRING), '.pdf') AS file
+FROM {orders} JOIN (SELECT * FROM (VALUES (0, 'Cdigo Civil (2026)'), (1, 'Temario Derecho Penal 2025'), (2, 'EXAMEN Incorporacion'), (3, 'Mi codigo de comercio'), (4, 'Resolución número 5'), (5, '--raro--')) AS t(k, name)) n ON o_orderkey % 6 = k
+"""
+#: A Markdown file for every 200 documents of a source, an article for each document.
+MARKDOWN = """
+SELECT concat(coalesce(source, 'none'), '-', CAST((doc_id - doc_id % 200) / 200 AS STRING)) AS slug, doc_id, concat('## Artículo ', CAST(doc_id AS STRING), '
+
+', coalesce(text, ''), '
+
+') AS part FROM {documents}
 """
 #: (qid, query): words that some dozens of the documents have.
 QUERIES = """
@@ -65,11 +73,11 @@ PASSAGES = "SELECT item_id AS qid, text AS query FROM {benchmark}"
 
 def duck(sql: str) -> str:
     """The adapter as DuckDB reads it."""
-    return re.sub(r"AS STRING\)", "AS VARCHAR)", re.sub(r"\{(\w+)\}", r"\1", sql)).replace("(o_orderkey - o_orderkey % 40) / 40", "(o_orderkey - o_orderkey % 40) // 40").replace("(o_orderkey - o_orderkey % 400) / 400", "(o_orderkey - o_orderkey % 400) // 400")
+    return re.sub(r"AS STRING\)", "AS VARCHAR)", re.sub(r"\{(\w+)\}", r"\1", sql)).replace("(o_orderkey - o_orderkey % 40) / 40", "(o_orderkey - o_orderkey % 40) // 40").replace("(o_orderkey - o_orderkey % 400) / 400", "(o_orderkey - o_orderkey % 400) // 400").replace("(doc_id - doc_id % 200) / 200", "(doc_id - doc_id % 200) // 200")
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The adapter over the tables in sf_dir."""
     names = sorted(set(re.findall(r"\{(\w+)\}", sql)))
-    text = sql.replace("(o_orderkey - o_orderkey % 40) / 40", "(o_orderkey - o_orderkey % 40) div 40").replace("(o_orderkey - o_orderkey % 400) / 400", "(o_orderkey - o_orderkey % 400) div 400")
+    text = sql.replace("(o_orderkey - o_orderkey % 40) / 40", "(o_orderkey - o_orderkey % 40) div 40").replace("(o_orderkey - o_orderkey % 400) / 400", "(o_orderkey - o_orderkey % 400) div 400").replace("(doc_id - doc_id % 200) / 200", "(doc_id - doc_id % 200) div 200")
     return spark.sql(text, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})

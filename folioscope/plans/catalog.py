@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioscope import shared
 from folioscope.functions import rules
 from folioscope.functions import text as T
 from folioscope.operators import advisory, audit, chunking, dense, fusion, graph, lexical, sparse
@@ -199,6 +200,18 @@ def frontmatter_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", keys["type"].alias("type"), keys["source"].alias("from_source"), keys["note"].alias("note"), keys["lang"].alias("from_lang"), F.length(markdown.body(raw)).cast("long").alias("body_chars"), F.length(markdown.strict_body(raw)).cast("long").alias("strict_chars"))
 
 
+@query
+def markdown_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of all documents, written by the sink and read by the source: what came back, and whether it is what was written."""
+    parts = view(spark, sf_dir, adapters.MARKDOWN).groupBy("slug").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "part"))), lambda p: p["part"]), "").alias("body"))
+    files = parts.select("slug", F.concat(F.lit('---\nsource: "'), "slug", F.lit('"\n---\n\n'), "body").alias("text"))
+    path = shared.fresh(spark, "markdown")
+    markdown.write(files, path)
+    back = markdown.read(spark, path).select("slug", "file_name", "raw")
+    same = back.join(files, "slug", "full")
+    return same.select("slug", "file_name", F.length("raw").cast("long").alias("n_chars"), F.md5("raw").alias("digest"), markdown.frontmatter(F.col("raw"))["source"].alias("from_source"), F.col("raw").eqNullSafe(F.col("text")).alias("same"))
+
+
 @query
 def inforce_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, adapters.STATUTES)
@@ -223,7 +236,7 @@ def classify_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, adapters.FILES)
-    return rows.select("file", T.slug(F.regexp_replace("file", r"\.[^.]*$", "")).alias("slug"), rules.doc_kind(F.col("file")).alias("kind"))
+    return rows.select("id", "file", T.slug(F.regexp_replace("file", r"\.[^.]*$", "")).alias("slug"), rules.doc_kind(F.col("file")).alias("kind"))
 
 
 # Graph -----------------------------------------------------------------------------------------------------------

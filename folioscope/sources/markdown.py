@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import LINE_END, strip
+from folioscope.sources import sink
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -44,5 +45,13 @@ def strict_body(raw: Column) -> Column:
 
 
 def write(files: DataFrame, path: str) -> None:
-    """Write (slug, text) as one Markdown file for each slug's folder; text already holds frontmatter and body."""
-    files.select("slug", F.col("text").alias("value")).write.mode("overwrite").partitionBy("slug").option("lineSep", "\n").text(path)
+    """Write (slug, text) as one file <slug>.md for each slug, in place of the Markdown files that the folder has; read() finds them again.
+
+    text already holds frontmatter and body. Rows of one slug are one document: of several texts the greatest counts. A null
+    text is empty; a slug must be a file name. Nothing is to be seen before the commit: tasks write into folders of their own
+    attempts, and a lost task's or a failed job's folder is left out and removed.
+    """
+    spark = files.sparkSession
+    spark.dataSource.register(sink.MarkdownSink)
+    rows = files.groupBy(F.col("slug").cast("string").alias("slug")).agg(F.coalesce(F.max(F.col("text").cast("string")), F.lit("")).alias("text"))
+    rows.write.format(sink.MarkdownSink.name()).mode("overwrite").option("path", path).save()
