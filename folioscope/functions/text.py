@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from dataclasses import dataclass
 from functools import cache
 
 from pyspark.sql import Column
@@ -21,38 +22,67 @@ BLANK_LINES = r"\n(?U)\s*\n"
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 
 
-#: Where compatibility characters that stand for several letters are spelled out.
-SPELLED = (range(0xA0, 0x250), range(0x1E00, 0x1F00), range(0x2000, 0x2190), range(0xFB00, 0xFB07))
+#: Hangul: the first syllable, how many there are, and how many vowels times tails, and tails (none is one) it has.
+HANGUL, SYLLABLES, VOWELS_TAILS, TAILS = 0xAC00, 11172, 588, 28
+JAMO = tuple("".join(map(chr, range(first, first + n))) for first, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
+
+
+@dataclass(frozen=True)
+class Folding:
+    """Characters that fold to one (src to dst; what is beyond dst's end folds to nothing), those that fold to several, and patterns of the latter."""
+
+    src: str
+    dst: str
+    keys: str
+    values: str
+    pattern: str
+    coarse: str
 
 
 @cache
-def fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Characters that fold to one, what they fold to (marks at the end fold to nothing), and those that fold to several; made from the Unicode tables."""
+def folding() -> Folding:
+    """Compatibility decomposition without marks in lower case, from the Unicode tables; of Hangul only the pattern, as syllables are worked out."""
     one, several, none = {}, {}, []
-    for code in (*range(0xA0, 0xAC00), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20)):  # all but Hangul, whose letters stay joined
+    for code in (*range(0x80, 0xAC00), *range(0xF900, 0x32000), *range(0xE0000, 0xE0200)):  # beyond these, characters are what they fold to
         c = chr(code)
         plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
-        if c.lower() != c and len(c.lower()) == 1:
-            continue  # the expression lowers first
         if plain == "":
             none.append(c)
-        elif len(plain) > 1:
-            if any(code in known for known in SPELLED):
-                several[c] = plain
-        elif plain != c:
+        elif len(plain) == 1 and plain != c:
             one[c] = plain
-    return "".join(one) + "".join(none), "".join(one.values()), tuple(several.items())
+        elif len(plain) > 1:
+            several[c] = plain
+    ranges: list[list[int]] = []
+    for code in sorted([*map(ord, several), HANGUL, HANGUL + SYLLABLES - 1]):
+        if ranges and (code == ranges[-1][1] + 1 or code == HANGUL + SYLLABLES - 1):
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    in_class = lambda some: "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in some)
+    coarse = [r for r in ranges if r[1] < 0x250] + [[0x250, 0x200F], [0x2025, 0x10FFFF]]
+    return Folding("".join(one) + "".join(none), "".join(one.values()), "".join(several), "\0".join(several.values()), f"[{in_class(ranges)}]", f"[{in_class(coarse)}]")
 
 
 def fold(x: Column) -> Column:
-    """Lower case without diacritics; compatibility characters as their letters."""
-    src, dst, several = fold_tables()
-    x = F.lower(x)
-    odd = "[" + "".join(c for c, _ in several) + "]"
-    spelled = x
-    for c, letters in several:
-        spelled = F.replace(spelled, F.lit(c), F.lit(letters))
-    return F.translate(F.when(x.rlike(odd), spelled).otherwise(x), src, dst)
+    """Lower case without diacritics; compatibility characters as their letters, Hangul syllables as theirs.
+
+    ASCII texts are only lowered. Each distinct character of a text that stands for several letters is looked up once and
+    replaced; most texts have none, which a pattern of few ranges tells. All other characters are translated at once.
+    """
+    # the one capital whose small letter folds to another letter than it does itself
+    f, x = folding(), F.lower(F.replace(x, F.lit("\u03f9"), F.lit("\u03c3")))
+
+    def letters(c: Column) -> Column:
+        n = F.ascii(c) - HANGUL
+        lead, vowel, tail = (n / VOWELS_TAILS).cast("int"), (n % VOWELS_TAILS / TAILS).cast("int"), n % TAILS
+        jamo = lambda k, i: F.substring(F.lit(JAMO[k]), i, F.lit(1))
+        hangul = F.concat(jamo(0, lead + 1), jamo(1, vowel + 1), F.when(tail > 0, jamo(2, tail)).otherwise(""))
+        known = F.element_at(F.split(F.lit(f.values), "\0"), F.greatest(F.instr(F.lit(f.keys), c), F.lit(1)))
+        return F.when((n >= 0) & (n < SYLLABLES), hangul).otherwise(known)
+
+    odd = F.array_distinct(F.regexp_extract_all(x, F.lit(f.pattern), F.lit(0)))
+    spelled = F.aggregate(odd, x, lambda text, c: F.replace(text, c, letters(c)))
+    return F.when(F.octet_length(x) == F.length(x), x).otherwise(F.translate(F.when(x.rlike(f.coarse), spelled).otherwise(x), f.src, f.dst))
 
 
 def collapse(x: Column) -> Column:
