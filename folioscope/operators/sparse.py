@@ -2,65 +2,270 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import feature_hash, features
+from folioscope import shared
+from folioscope.functions.text import feature_hash, features, fold
+from folioscope.operators.beside import beside
 from folioscope.operators.lexical import top
 
 DIMENSIONS = 1 << 20
 DIGITS = 5
+#: Text whose features are counted at once, in bytes, and entries of vectors that are multiplied at once. Bounds on memory only.
+STEP_BYTES, STEP_ENTRIES = 1 << 20, 1 << 19
+#: Of the queries' dimensions, the most frequent ones are multiplied as matrices, and only for rows whose bound asks for it.
+COMMON = 2048
+#: Stands for a weight that rounds to nothing: its row has the dimension.
+TRACE = 1e-30
+VECTORS = "{} {}, dims array<int>, ws array<double>"
+#: Codes of letters and digits in 4-grams; the last stands for a word's edge.
+LETTERS = b"abcdefghijklmnopqrstuvwxyz0123456789#"
+BASE = len(LETTERS) + 1
+CODES = np.zeros(256, np.int64)
+CODES[list(LETTERS[:-1])] = np.arange(1, len(LETTERS))
+EDGE = len(LETTERS)
+GRAMS = BASE**4
 
 
 @dataclass(frozen=True)
 class Sparse:
-    """idf (dim, v) and postings (dim, rid, w), both rounded to five digits; the weights come from the unrounded idf."""
+    """idf (dim, v), rounded to five digits; vectors (rid, dims, ws): a row's dimensions and weights, made from the unrounded idf and then rounded. stored: postings (dim, rid, w), the same by dimension."""
 
     idf: DataFrame
-    postings: DataFrame
+    vectors: DataFrame
+    stored: DataFrame | None = None
 
+    @property
+    def postings(self) -> DataFrame:
+        if self.stored is not None:
+            return self.stored
+        return self.vectors.select("rid", F.explode(F.arrays_zip("dims", "ws")).alias("e")).select(F.col("e.dims").alias("dim"), "rid", F.col("e.ws").alias("w"))
 
-def document_text(chunks: DataFrame):
+
+def document_text(chunks: DataFrame) -> Column:
     """What a chunk is embedded as."""
     return F.concat_ws(" ", *[F.col(c) for c in ("heading", "structure", "text") if c in chunks.columns])
 
 
-def counted(rows: DataFrame, key: str, text) -> DataFrame:
-    """(key, feature, dim, tf). The texts are dealt by key first, so that their features, which are many more, are counted where they are made."""
+def counted(rows: DataFrame, key: str, text: Column) -> DataFrame:
+    """(key, feature, dim, tf): features by name. The texts are dealt by key first, so that their features, which are many more, are counted where they are made."""
     found = rows.select(key, text.alias("t")).repartition(key).select(key, F.explode(features(F.col("t"))).alias("feature"))
     return found.groupBy(key, "feature").agg(F.count("*").alias("tf")).withColumn("dim", feature_hash(F.col("feature"), DIMENSIONS))
 
 
-def vectors(counts: DataFrame, key: str, idf: DataFrame) -> DataFrame:
-    """(key, dim, w): (1 + ln tf) * idf, summed where features share a dimension, at length 1. Dimensions without a positive idf are left out.
+@cache
+def gram_dims() -> np.ndarray:
+    """The dimension of each 4-gram by its code, or -1 while it isn't worked out."""
+    return np.full(GRAMS, -1, np.int32)
+
+
+def dims_of_grams(codes: np.ndarray) -> np.ndarray:
+    known = gram_dims()
+    for c in np.unique(codes[known[codes] < 0]).tolist():
+        digits = [c // BASE**k % BASE for k in (3, 2, 1, 0)]
+        known[c] = zlib.crc32(b"c:" + bytes(LETTERS[d - 1] for d in digits)) % DIMENSIONS
+    return known[codes]
+
 
-    idf has DIMENSIONS rows at most and is broadcast; counts stay where they are, dealt by key.
+def feature_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, dim, sum of 1 + ln tf over the features of that dim) of folded texts, by row and dim.
+
+    Words and 4-grams of marked words are told apart by exact codes before they are hashed, as texts' features by name are.
     """
-    raw = counts.join(F.broadcast(idf.where("v > 0")), "dim").groupBy(key, "dim").agg(F.sum((1 + F.log("tf")) * F.col("v")).alias("x"))
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))
-    return raw.select(key, "dim", "x", norm.alias("norm")).select(key, "dim", (F.col("x") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("w"))
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]] if len(texts) and ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    code = CODES[data]
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = code > 0
+    step = np.diff(inside)
+    first, last = step[:-1] > 0, step[1:] < 0
+    edges = ends[(ends > 0) & (ends < len(data))]
+    first[edges], last[edges - 1] = inside[1:-1][edges] > 0, inside[1:-1][edges - 1] > 0
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    owner = np.searchsorted(ends, start, side="right") - 1
+    # words
+    letters = data[inside[1:-1] > 0]
+    offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(letters))]).dictionary_encode()
+    word = np.asarray(words.indices, dtype=np.int64)
+    word_dims = np.fromiter((zlib.crc32(b"w:" + w) % DIMENSIONS for w in words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+    # 4-grams of words of five letters or more, marked at both ends: as many as the word has letters, less one
+    long = end - start >= 5
+    a, n = start[long], (end - start)[long]
+    line = np.full(int((n + 2).sum()), EDGE, np.int64)
+    heads = np.cumsum(n + 2) - (n + 2)
+    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    line[np.repeat(heads + 1, n) + within] = code[np.repeat(a, n) + within]
+    grams = n - 1
+    at = np.repeat(heads, grams) + np.arange(int(grams.sum())) - np.repeat(np.cumsum(grams) - grams, grams)
+    gram = ((line[at] * BASE + line[at + 1]) * BASE + line[at + 2]) * BASE + line[at + 3] if len(at) else np.zeros(0, np.int64)
+    every = np.concatenate([np.repeat(owner[long], grams) * (GRAMS + len(word_dims)) + gram, owner * (GRAMS + len(word_dims)) + GRAMS + word])
+    feature, tf = np.unique(every, return_counts=True)
+    row, feature = np.divmod(feature, GRAMS + len(word_dims))
+    dim = np.zeros(len(feature), np.int64)
+    is_word = feature >= GRAMS
+    dim[is_word], dim[~is_word] = word_dims[feature[is_word] - GRAMS], dims_of_grams(feature[~is_word])
+    key, place = np.unique(row * DIMENSIONS + dim, return_inverse=True)
+    return key // DIMENSIONS, key % DIMENSIONS, np.bincount(place, weights=1 + np.log(tf), minlength=len(key))
+
+
+def _lists(row: np.ndarray, n: int, dim: np.ndarray, w: np.ndarray) -> list[pa.Array]:
+    offsets = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
+    return [pa.ListArray.from_arrays(offsets, pa.array(dim.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(w))]
+
+
+def featured(rows: DataFrame, key: str, text: Column) -> DataFrame:
+    """(key, dims, ws): each text's dimensions, and the sum of 1 + ln tf over the features that share one; a row for each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column("t")), 0), dtype=np.int64)
+            part, at = np.cumsum(sizes) // STEP_BYTES, 0
+            for to in [*(np.flatnonzero(np.diff(part)) + 1), len(sizes)]:
+                if to > at:
+                    some = batch.slice(at, to - at)
+                    yield pa.RecordBatch.from_arrays([some.column(key), *_lists(*_with_n(feature_counts(some.column("t")), to - at))], [key, "dims", "ws"])
+                    at = to
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, fold(text).alias("t")).mapInArrow(run, VECTORS.format(key, kind))
+
+
+def _with_n(counts: tuple[np.ndarray, ...], n: int) -> tuple:
+    row, dim, w = counts
+    return row, n, dim, w
+
 
+def entries(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, dim, w) of the batch's vectors, one entry after the other."""
+    lists = [batch.column(c) for c in ("dims", "ws")]
+    dims, ws = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in lists)
+    n = np.asarray(pc.fill_null(pc.list_value_length(dims), 0), dtype=np.int64)
+    return np.repeat(np.arange(len(n)), n), np.asarray(dims.flatten(), dtype=np.int64), np.asarray(ws.flatten(), dtype=np.float64)
 
-def idf_of(counts: DataFrame, total: DataFrame) -> DataFrame:
-    """(dim, v): ln(N / df) of the dimensions that some rows have and others don't. total: one row n."""
-    df = counts.select("rid", "dim").distinct().groupBy("dim").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(total)).where("df < n").select("dim", F.log(F.col("n") / F.col("df")).alias("v"))
+
+def weighed(raw: DataFrame, key: str, idf: DataFrame, digits: int | None = None) -> DataFrame:
+    """(key, dims, ws): featured rows times idf at length 1. Dimensions without a positive idf are left out.
+
+    idf has DIMENSIONS rows at most, so it is sent to all tasks as one array of a fixed size.
+    """
+    known = np.zeros(DIMENSIONS)
+    found = idf.where("v > 0").select("dim", "v").toArrow()
+    known[np.asarray(found.column("dim"))] = np.asarray(found.column("v"))
+    sent = raw.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, dim, w = entries(batch)
+            w = w * sent.value[dim]
+            kept = w > 0
+            row, dim, w = row[kept], dim[kept], w[kept]
+            norm = np.sqrt(np.bincount(row, weights=w * w, minlength=batch.num_rows))
+            w = w / np.where(norm > 0, norm, 1)[row]
+            if digits is not None:
+                w = np.maximum(np.floor(w * 10**digits + 0.5) / 10**digits, TRACE)
+            yield pa.RecordBatch.from_arrays([batch.column(key), *_lists(row, batch.num_rows, dim, w)], [key, "dims", "ws"])
+
+    return raw.mapInArrow(run, VECTORS.format(key, raw.schema[key].dataType.simpleString()))
 
 
 def index(chunks: DataFrame) -> Sparse:
-    counts = counted(chunks, "rid", document_text(chunks))
-    idf = idf_of(counts, chunks.agg(F.count("*").alias("n")))
-    postings = vectors(counts, "rid", idf).select("dim", "rid", F.round("w", DIGITS).alias("w"))
-    return Sparse(idf.select("dim", F.round("v", DIGITS).alias("v")), postings)
+    """Idf and vectors of the chunks. Their counts are written as a table, from which both are made."""
+    raw = shared.kept(featured(chunks, "rid", document_text(chunks)), shared.fresh(chunks.sparkSession, "features"))
+    n = raw.count()
+    df = raw.select(F.explode("dims").alias("dim")).groupBy("dim").agg(F.count("*").alias("df"))
+    idf = shared.kept(df.where(F.col("df") < n).select("dim", F.log(F.lit(n) / F.col("df")).alias("v")), shared.fresh(chunks.sparkSession, "idf"))
+    return Sparse(idf.select("dim", F.round("v", DIGITS).alias("v")), weighed(raw, "rid", idf, DIGITS))
+
+
+def asked(sparse: Sparse, queries: DataFrame) -> DataFrame:
+    """(qid, dims, ws) of the queries (qid, query)."""
+    return weighed(featured(queries, "qid", F.col("query")), "qid", sparse.idf)
+
+
+def multiplied(queries: pa.Table, batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(qid, rid, score) of the k best of these rows for each query.
+
+    The queries' most frequent dimensions are common, the others rare. Rare ones are added up entry by entry. What the common
+    ones can add is bounded by the product of both sides' norms over them; rows whose bound reaches no query's k-th score so
+    far are done, and the others' common entries are multiplied as matrices.
+    """
+    qids = np.asarray(queries.column("qid"), dtype=np.int64)
+    q, qdim, qw = entries(queries)
+    dims, counts = np.unique(qdim, return_counts=True)
+    common = np.sort(dims[np.argsort(-counts, kind="stable")[:COMMON]])
+    place = np.full(DIMENSIONS, -1, np.int32)
+    place[common] = np.arange(len(common))
+    shared_part = place[qdim] >= 0
+    matrix = np.zeros((len(common), len(qids)))
+    matrix[place[qdim[shared_part]], q[shared_part]] = qw[shared_part]
+    most = np.sqrt((matrix**2).sum(axis=0))
+    rare = ~shared_part
+    order = np.argsort(qdim[rare], kind="stable")
+    rq, rw = q[rare][order], qw[rare][order]
+    starts = np.searchsorted(qdim[rare][order], np.arange(DIMENSIONS + 1)).astype(np.int64)
+    best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0)) for _ in qids]
+    least = np.full(len(qids), -1.0)
+    for batch in batches:
+        rids = np.asarray(batch.column("rid"), dtype=np.int64)
+        row, dim, w = entries(batch)
+        bounds = np.searchsorted(row, np.arange(len(rids) + 1))
+        cells = max(1, STEP_ENTRIES * 4 // max(len(common) + len(qids), 1))
+        at = 0
+        while at < len(rids):
+            to = max(at + 1, min(at + cells, int(np.searchsorted(bounds, bounds[at] + STEP_ENTRIES, side="right")) - 1))
+            r, d, x, rid, n = row[bounds[at] : bounds[to]] - at, dim[bounds[at] : bounds[to]], w[bounds[at] : bounds[to]], rids[at:to], to - at
+            at = to
+            meets = starts[d + 1] - starts[d]
+            entry = np.repeat(np.arange(len(d)), meets)
+            other = np.arange(len(entry)) - np.repeat(np.cumsum(meets) - meets, meets) + np.repeat(starts[d], meets)
+            scores = np.bincount(r[entry] * len(qids) + rq[other], weights=x[entry] * rw[other], minlength=n * len(qids)).astype(np.float64).reshape(n, len(qids))
+            in_common = place[d] >= 0
+            norms = np.sqrt(np.bincount(r[in_common], weights=x[in_common] ** 2, minlength=n))
+            reach = ((scores + np.outer(norms, most) + 1e-8) >= least).any(axis=1) & (norms > 0)
+            if reach.any():
+                kept = in_common & reach[r]
+                number = np.cumsum(reach) - 1
+                dense = np.zeros((int(reach.sum()), len(common)))
+                dense[number[r[kept]], place[d[kept]]] = x[kept]
+                scores[reach] += dense @ matrix
+            for i in np.flatnonzero((scores > 0).any(axis=0) & (scores.max(axis=0) + 1e-8 >= least)).tolist():
+                s = scores[:, i]
+                some = np.flatnonzero((s > 0) & (s + 1e-8 >= least[i]))
+                ids, found = np.concatenate([best[i][0], rid[some]]), np.concatenate([best[i][1], s[some]])
+                first = np.lexsort((ids, -np.round(found, 9)))[:k]
+                best[i] = ids[first], found[first]
+                if len(first) == k:
+                    least[i] = found[first].min()
+    n = [len(ids) for ids, _ in best]
+    if sum(n):
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(np.concatenate([ids for ids, _ in best])), pa.array(np.concatenate([s for _, s in best]))], ["qid", "rid", "score"])
 
 
 def cosine(sparse: Sparse, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, rid, score, rank) of the k rows nearest to each query (qid, query)."""
-    asked = vectors(counted(queries, "qid", F.col("query")), "qid", sparse.idf).withColumnRenamed("w", "q")
-    scored = sparse.postings.join(asked, "dim").groupBy("qid", "rid").agg(F.sum(F.col("q") * F.col("w")).alias("score"))
-    return top(scored, k)
+    """(qid, rid, score, rank) of the k rows nearest to each query (qid, query), of those that share a dimension with it.
+
+    Stored postings are joined by dimension. Else all rows' vectors stream past the queries, whose sum is checked: beside()
+    broadcasts or deals them.
+    """
+    vectors = asked(sparse, queries)
+    if sparse.stored is not None:
+        long = vectors.select("qid", F.explode(F.arrays_zip("dims", "ws")).alias("e")).select("qid", F.col("e.dims").alias("dim"), F.col("e.ws").alias("q"))
+        return top(sparse.stored.join(long, "dim").groupBy("qid", "rid").agg(F.sum(F.col("q") * F.col("w")).alias("score")), k)
+    rows = sparse.vectors.select(F.col("rid").cast("long").alias("rid"), "dims", "ws")
+    asked_for = vectors.select(F.col("qid").cast("long").alias("qid"), "dims", "ws")
+    return top(beside(rows, asked_for, 12 * F.size("dims") + 16, lambda q, batches: multiplied(q, batches, k), "qid long, rid long, score double"), k)
 
 
 def norms(sparse: Sparse) -> DataFrame:

@@ -71,7 +71,8 @@ def build(spark: SparkSession, source: str | DataFrame, path: str, encoder=None,
     else:
         both = sparse.index(chunks)
         both.idf.write.parquet(f"{at}/idf")
-        both.postings.repartitionByRange("dim").sortWithinPartitions("dim").write.parquet(f"{at}/postings")
+        both.vectors.write.parquet(f"{at}/vectors")
+        sparse.Sparse(both.idf, spark.read.parquet(f"{at}/vectors")).postings.repartitionByRange("dim").sortWithinPartitions("dim").write.parquet(f"{at}/postings")
     n = spark.read.parquet(f"{at}/totals").first()["n"]
     meta = [("N", str(n)), ("embedder", f"dense:{encoder_name}" if kind == "dense" else SPARSE)]
     spark.createDataFrame(meta, "k string, v string").coalesce(1).write.parquet(f"{at}/meta")
@@ -87,7 +88,7 @@ def load(spark: SparkSession, path: str) -> Index:
     meta = {r.k: r.v for r in table("meta").collect()}
     is_dense = meta["embedder"].startswith("dense")
     words = lexical.Lexicon(table("terms"), table("lengths"), table("frequencies"), table("totals"), table("places"), stored=True)
-    return Index(table("chunks"), words, table("refs"), None if is_dense else sparse.Sparse(table("idf"), table("postings")), table("vectors") if is_dense else None, meta)
+    return Index(table("chunks"), words, table("refs"), None if is_dense else sparse.Sparse(table("idf"), table("vectors"), table("postings")), table("vectors") if is_dense else None, meta)
 
 
 def report(index: Index) -> DataFrame:
