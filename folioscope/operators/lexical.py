@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import fold, tokens, words
+from folioscope.operators import postings
 
 K1, B = 1.2, 0.75
 #: What idf is raised to where it isn't positive.
@@ -20,7 +21,8 @@ class Lexicon:
     """terms (rid, term, tf), lengths (rid, dl), frequencies (term, df), totals (n, avgdl; one row), places (rid, dl, field, pos, term).
 
     stored: terms and frequencies are tables. Else they would be worked out of all places, so queries take the places of
-    their own terms alone.
+    their own terms alone. blocks: the same postings as operators.postings.blocks makes them; where an index has them, searches
+    read blocks. gone: rows (rid) that blocks still hold but that no longer count.
     """
 
     terms: DataFrame
@@ -29,10 +31,15 @@ class Lexicon:
     totals: DataFrame
     places: DataFrame
     stored: bool = False
+    blocks: DataFrame | None = None
+    gone: DataFrame | None = None
 
     def matching(self, asked: DataFrame) -> DataFrame:
         """(rid, dl, term, tf, df) of the terms that asked (term, ...) has."""
         wanted = asked.select("term").distinct()
+        if self.blocks is not None:
+            found = postings.rows_of(self.blocks.join(wanted, "term", "left_semi"))
+            return without(found, self.gone).join(self.frequencies, "term").select("rid", "dl", "term", "tf", "df")
         if self.stored:
             found = self.terms.join(wanted, "term", "left_semi").join(self.lengths, "rid")
             return found.join(self.frequencies, "term").select("rid", "dl", "term", "tf", "df")
@@ -76,7 +83,10 @@ def scores(lexicon: Lexicon, queries: DataFrame, allowed: DataFrame | None = Non
     hits = lexicon.matching(single).join(single, "term").select("qid", "rid", "dl", "tf", "df", "times")
     several = asked.where(F.size("terms") > 1)
     parts = several.select("qid", "phrase", F.size("terms").alias("n"), F.posexplode("terms").alias("i", "term"))
-    runs = lexicon.places.join(parts, "term").groupBy("qid", "phrase", "n", "rid", "dl", "field", (F.col("pos") - F.col("i")).alias("at")).agg(F.countDistinct("i").alias("got")).where("got = n")
+    if lexicon.blocks is not None:
+        runs = without(postings.runs(lexicon.blocks, lexicon.frequencies, parts), lexicon.gone)
+    else:
+        runs = lexicon.places.join(parts, "term").groupBy("qid", "phrase", "n", "rid", "dl", "field", (F.col("pos") - F.col("i")).alias("at")).agg(F.countDistinct("i").alias("got")).where("got = n")
     found = runs.groupBy("qid", "phrase", "rid", "dl").agg(F.count("*").alias("tf"))
     in_rows = found.groupBy("qid", "phrase").agg(F.count("*").alias("df"))
     hits = hits.unionByName(found.join(in_rows, ["qid", "phrase"]).select("qid", "rid", "dl", "tf", "df", F.lit(1).cast("long").alias("times")))
@@ -92,9 +102,46 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def without(rows: DataFrame, gone: DataFrame | None) -> DataFrame:
+    return rows if gone is None else rows.join(gone, "rid", "left_anti")
+
+
+def bounded(lexicon: Lexicon, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of queries without phrases: (qid, rid, score) that hold the k best rows of each, and the spans (qid, span) that were read for them.
+
+    A query's bound for a span of rows is the sum of what its terms add at most there, by the blocks' heads. The k spans of
+    the highest bounds are read first, as each has a row of the query; the k-th score among their rows is what others must
+    reach, and only spans whose bound does are read.
+    """
+    single = phrases(queries).select("qid", F.col("terms")[0].alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
+    wanted = single.join(lexicon.frequencies, "term").crossJoin(F.broadcast(lexicon.totals))  # one row
+
+    def part(tf: str, dl: str) -> Column:
+        return F.col("times") * weight(F.col(tf), F.col("df"), F.col(dl), F.col("n"), F.col("avgdl"))
+
+    def read(spans: DataFrame) -> DataFrame:
+        found = lexicon.blocks.select("term", "span", F.arrays_zip("rids", "tfs", "dls").alias("rows")).join(wanted, "term").join(spans, ["qid", "span"], "left_semi")
+        hits = without(found.select("qid", "times", "df", "n", "avgdl", F.explode("rows").alias("r")).select("*", F.col("r.rids").alias("rid"), F.col("r.tfs").alias("tf"), F.col("r.dls").alias("dl")), lexicon.gone)
+        if allowed is not None:
+            hits = hits.join(allowed.select("rid"), "rid", "left_semi")
+        return hits.groupBy("qid", "rid").agg(F.sum(part("tf", "dl")).alias("score"))
+
+    heads = lexicon.blocks.select("term", "span", "max_tf", "min_dl").join(wanted, "term")
+    bounds = heads.groupBy("qid", "span").agg(F.sum(part("max_tf", "min_dl")).alias("bound"))
+    order = Window.partitionBy("qid").orderBy(F.desc("bound"), "span")
+    first = bounds.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    least = top(read(first.select("qid", "span")), k).groupBy("qid").agg(F.count("*").alias("got"), F.min("score").alias("least")).where(F.col("got") >= k)
+    spans = bounds.join(least, "qid", "left").where(F.col("least").isNull() | (F.col("bound") + 1e-8 >= F.col("least"))).select("qid", "span")
+    return read(spans), spans
+
+
 def bm25(lexicon: Lexicon, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """(qid, rid, score, rank)."""
-    return top(scores(lexicon, queries, allowed), k)
+    """(qid, rid, score, rank). Over blocks, queries with a phrase are scored in full, others by the spans that can reach their k-th score."""
+    if lexicon.blocks is None:
+        return top(scores(lexicon, queries, allowed), k)
+    with_phrase = phrases(queries).where(F.size("terms") > 1).select("qid").distinct()
+    plain, _ = bounded(lexicon, queries.join(with_phrase, "qid", "left_anti"), k, allowed)
+    return top(plain.unionByName(scores(lexicon, queries.join(with_phrase, "qid", "left_semi"), allowed)), k)
 
 
 def snippets(rows: DataFrame, width: int = 16) -> DataFrame:

@@ -11,7 +11,7 @@ from folioscope import shared
 from folioscope.functions import rules
 from folioscope.functions import text as T
 from folioscope.operators import advisory, audit, chunking, dense, fusion, graph, lexical, sparse
-from folioscope.plans import adapters
+from folioscope.plans import adapters, index
 from folioscope.plans.adapters import view
 from folioscope.sources import markdown, pages
 
@@ -52,9 +52,9 @@ def fold_tokens_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def term_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings and lengths by document: how many terms, tokens, and the highest count of a term."""
-    index = lexical.index(chunks(spark, sf_dir))
-    per = index.terms.groupBy("rid").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("n_tokens"), F.max("tf").alias("max_tf"))
-    return index.lengths.join(per, "rid", "left").select("rid", "dl", F.coalesce("n_terms", F.lit(0)).alias("n_terms"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("max_tf", F.lit(0)).alias("max_tf"))
+    found = lexical.index(chunks(spark, sf_dir))
+    per = found.terms.groupBy("rid").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("n_tokens"), F.max("tf").alias("max_tf"))
+    return found.lengths.join(per, "rid", "left").select("rid", "dl", F.coalesce("n_terms", F.lit(0)).alias("n_terms"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("max_tf", F.lit(0)).alias("max_tf"))
 
 
 @query
@@ -167,6 +167,50 @@ def exact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("rid", "citation", (F.col("vigente") == 1).alias("vigente"), (F.col("vigente") != 1).alias("derogado"), "text")
 
 
+# Stored index ----------------------------------------------------------------------------------------------------
+
+
+def stored(spark: SparkSession, rows: DataFrame) -> index.Index:
+    return index.build(spark, rows, shared.fresh(spark, "index"))
+
+
+@query
+def stored_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As bm25_topk, from a stored index, reading the spans of rows that can reach the tenth score."""
+    best = lexical.bm25(stored(spark, chunks(spark, sf_dir)).lexicon, questions(spark, sf_dir), 10)
+    return best.select("qid", "rank", "rid", F.round("score", 4).alias("score"))
+
+
+@query
+def stored_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As bm25_phrase, from a stored index: the places of each phrase's rarest term name the rows to look at."""
+    asked = spark.createDataFrame([(0, "of_the"), (1, "and_the of")], "qid long, query string")
+    best = lexical.bm25(stored(spark, chunks(spark, sf_dir)).lexicon, asked, 10)
+    return best.select("qid", "rank", "rid", F.round("score", 4).alias("score"))
+
+
+@query
+def stored_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As hybrid_adaptive, from a stored index."""
+    asked, ix = questions(spark, sf_dir), stored(spark, chunks(spark, sf_dir))
+    words, vectors = lexical.bm25(ix.lexicon, asked, fusion.POOL), sparse.cosine(ix.sparse, asked, fusion.POOL)
+    return fusion.hybrid(ix.chunks, words, vectors, types=None).select("qid", "rank", "rid", "score", "citation", "vigente")
+
+
+@query
+def refreshed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best scores of both lists from an index of earlier texts, to which the changed sources' rows were added: those of an index of all rows as they are now."""
+    rows = chunks(spark, sf_dir)
+    changed = F.crc32(F.col("slug").cast("binary")) % 2 == 0
+    earlier = rows.withColumn("text", F.when(changed, F.concat(F.lit("the former "), F.upper("text"), F.lit(" of the"))).otherwise(F.col("text")))
+    path = shared.fresh(spark, "index")
+    index.build(spark, earlier, path)
+    ix, asked = index.add(spark, rows.where(changed), path), questions(spark, sf_dir)
+    lists = [("words", lexical.bm25(ix.lexicon, asked, 10)), ("vectors", sparse.cosine(ix.sparse, asked, 10))]
+    out = [x.select(F.lit(name).alias("list"), "qid", "rank", F.round("score", 3).alias("score")) for name, x in lists]
+    return out[0].unionByName(out[1])
+
+
 # Chunking --------------------------------------------------------------------------------------------------------
 
 
@@ -324,11 +368,11 @@ def topic_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def consult_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bundles of the sample questions as JSON, cut down to how many entries they hold."""
     rows, asked = chunks(spark, sf_dir), questions(spark, sf_dir)
-    index = lexical.index(rows)
+    words = lexical.index(rows)
     law = rows.withColumn("doc_type", F.when(F.col("doc_type") == "fr", "ley").otherwise(F.col("doc_type")))
-    core = fusion.hybrid(law, lexical.bm25(index, asked, fusion.POOL), sparse.cosine(sparse.index(rows), asked, fusion.POOL), with_repealed=True).persist()  # a few rows for each question, read several times below
+    core = fusion.hybrid(law, lexical.bm25(words, asked, fusion.POOL), sparse.cosine(sparse.index(rows), asked, fusion.POOL), with_repealed=True).persist()  # a few rows for each question, read several times below
     refs = graph.edges(law)
-    made = advisory.bundle(asked, core, advisory.expand(core, law, refs), advisory.topics(rows, index, asked, kind="en"))
+    made = advisory.bundle(asked, core, advisory.expand(core, law, refs), advisory.topics(rows, words, asked, kind="en"))
     size = lambda part: F.size(F.from_json(F.get_json_object("bundle", f"$.{part}"), "array<string>")).cast("long")
     return made.select("qid", F.get_json_object("bundle", "$.question").alias("question"), size("core").alias("n_core"), size("related").alias("n_related"), size("topics").alias("n_topics"))
 

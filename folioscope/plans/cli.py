@@ -84,7 +84,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if a.do == "doctor":
         files = len(list(Path(corpus).glob("*.md")))
-        print(f"home: {a.home}\ncorpus: {files or 'no'} files\nindex: {'there' if list(Path(folder).glob('current-*')) else 'missing, run setup'}\nserver: {' '.join([command()[0], *command()[1]])}")
+        print(f"home: {a.home}\ncorpus: {files or 'no'} files\nindex: {'there' if list(Path(folder).glob('state-*')) else 'missing, run setup'}\nserver: {' '.join([command()[0], *command()[1]])}")
         return 0
     spark = session()
     if a.do == "setup":

@@ -237,3 +237,9 @@ SELECT doc, n AS n_pages, round(per, 4) AS per_page, CASE WHEN per > 200 THEN 'D
 SELECT * FROM t UNION ALL SELECT NULL, NULL, NULL, CAST(sum(chars) AS BIGINT), CAST(sum(tokens) AS BIGINT) FROM t""",
     "index_report": f"WITH {REFS} SELECT (SELECT count(*) FROM st) AS chunks, (SELECT count(DISTINCT slug) FROM st) AS documents, (SELECT count(*) FROM inforce WHERE NOT ok) AS repealed, (SELECT count(*) FROM edges) AS edges",
 }
+SQL |= {
+    "stored_bm25_topk": SQL["bm25_topk"],
+    "stored_phrase": SQL["bm25_phrase"],
+    "stored_hybrid": SQL["hybrid_adaptive"],
+    "refreshed_search": f"WITH RECURSIVE {INDEX}, {SPARSE}, {bm25(QU, 10)}, {cosine(10)} SELECT 'words' AS list, qid, CAST(rank AS INTEGER) AS rank, round(score, 3) AS score FROM bm UNION ALL SELECT 'vectors', qid, CAST(rank AS INTEGER), round(score, 3) FROM cs",
+}

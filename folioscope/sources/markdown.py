@@ -9,8 +9,8 @@ from folioscope.functions.text import LINE_END, strip
 from folioscope.sources import sink
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(slug, file_name, raw) of the Markdown files in a folder that Spark can read; file_name orders them."""
+def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(slug, file_name, raw) of the Markdown files in a folder that Spark can read, or of some files; file_name orders them."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.md")
     name = F.col("_metadata.file_name")
     return files.select(F.regexp_replace(name, r"\.md$", "").alias("slug"), name.alias("file_name"), F.col("value").alias("raw"))

@@ -216,15 +216,47 @@ def test_lexical_phrase(spark):
     assert [r.rid for r in found.collect()] == [1]
 
 
-def test_streaming_refresh(spark, built, tmp_path):
-    src, out = tmp_path / "in", str(tmp_path / "chunks")
+def hits(ix, spark, queries):
+    """Both lists by slug and heading, as row ids are an index's own."""
+    asked = spark.createDataFrame(list(enumerate(queries)), "qid long, query string")
+    out = []
+    for found in (lexical.bm25(ix.lexicon, asked, 10), sparse.cosine(ix.sparse, asked, 10)):
+        rows = found.join(ix.chunks.select("rid", "slug", "heading", "text"), "rid")
+        out.append(sorted((r.qid, r.slug, r.heading, r.text, round(r.score, 6)) for r in rows.collect()))
+    return out
+
+
+def test_streaming_refresh_equals_a_full_rebuild(spark, tmp_path):
+    """New files, a changed one, the same batch again, and a merge: searches, edges and report are those of an index built anew, and only changed files are read."""
+    src, path = tmp_path / "in", str(tmp_path / "index")
     src.mkdir()
+    asked = ["inquilino", "dueño daño", "párrafo bastante largo", "el_inquilino", "zzz"]
+
+    def equal_to_rebuild(ix):
+        anew = index.build(spark, str(src), str(tmp_path / f"anew-{time.time_ns()}"))
+        assert hits(ix, spark, asked) == hits(anew, spark, asked) and any(hits(anew, spark, asked))
+        assert tuple(index.report(ix).first()) == tuple(index.report(anew).first()) and ix.meta["N"] == anew.meta["N"]
+        assert sorted(map(tuple, ix.refs.collect())) == sorted(map(tuple, anew.refs.collect()))
+        assert sorted(map(tuple, ix.lexicon.frequencies.collect())) == sorted(map(tuple, anew.lexicon.frequencies.collect()))
+
     for slug, text in FILES.items():
         (src / f"{slug}.md").write_text(text, encoding="utf-8")
-    refresh.refresh(spark, str(src), out, str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(out).count() == 5
+    refresh.refresh(spark, str(src), path, str(tmp_path / "cp")).awaitTermination()
+    refresh.sync(spark, str(src), path)  # notes what is there
     time.sleep(1)
     (src / "temario-derecho-civil-2025.md").unlink()
     (src / "temario-derecho-civil-2025.md").write_text("Un párrafo bastante largo.\n\nOtro párrafo bastante largo.\n", encoding="utf-8")
-    refresh.refresh(spark, str(src), out, str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(out).groupBy("slug").count().orderBy("slug").collect()[1]["count"] in (1, 2)
+    (src / "codigo-nuevo.md").write_text("## Artículo 1\n\nEl inquilino paga; véase el artículo 2.\n\n## Artículo 2\n\nFin.\n", encoding="utf-8")
+    refresh.sync(spark, str(src), path)
+    now = index.state(spark, path)
+    assert spark.read.parquet(f"{path}/{now.segments[-1]}/chunks").select("slug").distinct().count() == 2
+    again = spark.createDataFrame([(f.stem, f.name, f.read_text(encoding="utf-8")) for f in src.glob("*temario*.md")], "slug string, file_name string, raw string")
+    equal_to_rebuild(index.add(spark, again, path))  # as a batch that is run twice
+    (src / "codigo-nuevo.md").unlink()
+    gone = spark.createDataFrame([("codigo-nuevo",)], "slug string")
+    index.add(spark, again.where("false"), path, removed=gone)
+    assert spark.read.parquet(f"{path}/{now.segments[-1]}/chunks").count() > 0  # what was written stays as it is
+    equal_to_rebuild(index.merge(spark, path))
+    assert len(index.state(spark, path).segments) == 1
+    index.sweep(spark, path)
+    assert len(list((tmp_path / "index").glob("s*"))) == 2 and index.load(spark, path).chunks.count() == 6
