@@ -23,10 +23,27 @@ def word_list(text: Column) -> Column:
     return F.transform(found, lambda w: F.when(w == "artículo", "articulo").otherwise(w))
 
 
+def fingerprint(words: Column) -> Column:
+    """(how many, two sums of hashes) of words, whatever their order; different multisets hardly ever share it, equal ones always do."""
+    half = lambda h: F.struct(F.shiftrightunsigned(h, 32).alias("a"), h.bitwiseAND(F.lit(0xFFFFFFFF)).alias("b"))
+    zero = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    sums = F.aggregate(F.transform(words, lambda w: half(F.xxhash64(w))), zero, lambda s, x: F.struct((s["a"] + x["a"]).alias("a"), (s["b"] + x["b"]).alias("b")))
+    return F.struct(F.size(words).alias("n"), sums.alias("sums"))
+
+
+def differing(pairs: DataFrame) -> DataFrame:
+    """(doc, a, b): the words of both sides of the pairs whose multisets of words differ. Told within the row: by fingerprints, and where these agree by the sorted words."""
+    both = pairs.select("doc", word_list(F.col("source")).alias("a"), word_list(F.col("made")).alias("b"))
+    alike = F.when(F.col("a") == F.col("b"), True).when(fingerprint(F.col("a")) != fingerprint(F.col("b")), False).otherwise(F.sort_array("a") == F.sort_array("b"))
+    return both.where(~F.coalesce(alike, F.lit(False)))
+
+
 def word_differences(pairs: DataFrame) -> DataFrame:
-    """(doc, word, lost, added) of pairs (doc, source, made): how often a word is only in one of them. Only words that differ."""
-    each = [pairs.select("doc", F.explode(word_list(F.col(c))).alias("word"), F.lit(s).alias("sign")) for c, s in (("source", 1), ("made", -1))]
-    sums = each[0].unionByName(each[1]).groupBy("doc", "word").agg(F.sum("sign").alias("d"))
+    """(doc, word, lost, added) of pairs (doc, source, made): how often a word is only in one of them. Only words that differ; only pairs that differ are shuffled."""
+    signed = lambda c, sign: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda w: F.struct(w.alias("word"), F.lit(sign).alias("sign")))
+    words = F.concat(signed("a", 1), signed("b", -1))
+    each = differing(pairs).select("doc", F.explode(words).alias("w")).select("doc", "w.word", "w.sign")
+    sums = each.groupBy("doc", "word").agg(F.sum("sign").alias("d"))
     return sums.where("d <> 0").select("doc", "word", F.greatest("d", F.lit(0)).cast("long").alias("lost"), F.greatest(-F.col("d"), F.lit(0)).cast("long").alias("added"))
 
 

@@ -36,7 +36,10 @@ def edges(chunks: DataFrame) -> DataFrame:
 
 
 def related(chunks: DataFrame, refs: DataFrame, seeds: DataFrame, neighbors: bool = True) -> DataFrame:
-    """(slug, article, relation, other) for seeds (slug, article): cites, cited_by and neighbors (of the section of the seed's first chunk)."""
+    """(slug, article, relation, other) for seeds (slug, article): cites, cited_by and neighbors (of the section of the seed's first chunk).
+
+    Neighbours are pairs, for seeds that are few; neighbors() has them as counts for all articles.
+    """
     seeds = seeds.select("slug", "article").distinct()
     cites = refs.join(seeds.withColumnRenamed("article", "src"), ["slug", "src"]).select("slug", F.col("src").alias("article"), F.lit("cites").alias("relation"), F.col("dst").alias("other"))
     cited = refs.join(seeds.withColumnRenamed("article", "dst"), ["slug", "dst"]).select("slug", F.col("dst").alias("article"), F.lit("cited_by").alias("relation"), F.col("src").alias("other"))
@@ -49,6 +52,27 @@ def related(chunks: DataFrame, refs: DataFrame, seeds: DataFrame, neighbors: boo
     return out.distinct()
 
 
+def classes(chunks: DataFrame) -> DataFrame:
+    """(section, n, first, second): of each section how many articles it has, and the first two in their order; a row for each section.
+
+    A section's articles are neighbours of each other: n rows and a count say so, instead of n times n - 1 pairs. Counts and
+    minima are combined before they are shuffled, so that a section with most rows is no task's work.
+    """
+    members = chunks.where("article IS NOT NULL").select("section", "article").distinct()
+    keyed = members.select("section", article_key(F.col("article")).alias("k"))
+    least = keyed.groupBy("section").agg(F.count("*").alias("n"), F.min("k").alias("a"))
+    after = keyed.join(least.select("section", "a"), "section").where("k > a").groupBy("section").agg(F.min("k").alias("b"))
+    return least.join(after, "section", "left").select("section", "n", F.col("a")["a"].alias("first"), F.col("b")["a"].alias("second"))
+
+
+def neighbors(chunks: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(slug, article, section, n, first) of seeds (slug, article) that have neighbours: the section of the seed's first chunk, how many other articles it has, and the first of them."""
+    own = chunks.join(seeds.select("slug", "article").distinct(), ["slug", "article"]).groupBy("slug", "article").agg(F.min_by("section", "rid").alias("section"))
+    found = own.join(classes(chunks), "section")
+    other = F.when(F.col("first") == F.col("article"), F.col("second")).otherwise(F.col("first"))
+    return found.where("n > 1").select("slug", "article", "section", (F.col("n") - 1).alias("n"), other.alias("first"))
+
+
 def listed(relations: DataFrame) -> DataFrame:
     """(slug, article, cites, cited_by, neighbors): sorted lists, for a bounded set of seeds."""
     made = [F.transform(F.array_sort(F.collect_list(F.when(F.col("relation") == r, article_key(F.col("other"))))), lambda k: k["a"]).alias(r) for r in ("cites", "cited_by", "neighbors")]

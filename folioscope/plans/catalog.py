@@ -299,7 +299,7 @@ def ref_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _related(spark: SparkSession, sf_dir: str, relation: str) -> DataFrame:
     rows = view(spark, sf_dir, adapters.STATUTES)
-    return graph.related(rows, graph.edges(rows), rows, relation == "neighbors").where(F.col("relation") == relation)
+    return graph.related(rows, graph.edges(rows), rows, False).where(F.col("relation") == relation)
 
 
 def _placed(found: DataFrame) -> DataFrame:
@@ -322,8 +322,8 @@ def related_cited_by(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def related_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every article, how many neighbours it has, and the first of them."""
-    found = _related(spark, sf_dir, "neighbors").groupBy("slug", "article")
-    return found.agg(F.count("*").alias("n"), F.min_by("other", T.article_key(F.col("other"))).alias("first"))
+    rows = view(spark, sf_dir, adapters.STATUTES)
+    return graph.neighbors(rows, rows).select("slug", "article", "n", "first")
 
 
 @query
