@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import fold, tokens, words
 from folioscope.operators import postings
+from folioscope.operators.beside import beside
+from folioscope.operators.products import multiplied
 
 K1, B = 1.2, 0.75
 #: What idf is raised to where it isn't positive.
@@ -135,13 +137,25 @@ def bounded(lexicon: Lexicon, queries: DataFrame, k: int, allowed: DataFrame | N
     return read(spans), spans
 
 
+def streamed(lexicon: Lexicon, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+    """Of queries without phrases: (qid, rid, score) that hold the k best rows of each. What the queries' terms add to each row is gathered by row, and rows stream past the queries: no pair of a row and a query is ever shuffled but the best."""
+    single = phrases(queries).select("qid", F.col("terms")[0].alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
+    numbers = single.select("term").distinct().withColumn("dim", F.row_number().over(Window.orderBy("term")))  # the queries' terms
+    hits = lexicon.matching(single)
+    if allowed is not None:
+        hits = hits.join(allowed.select("rid"), "rid", "left_semi")
+    adds = hits.join(numbers, "term").crossJoin(F.broadcast(lexicon.totals)).select("rid", "dim", weight(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl")).alias("w"))  # one row
+    lists = lambda rows, key, w: rows.groupBy(key).agg(F.collect_list(F.struct("dim", F.col(w).cast("double").alias("w"))).alias("e")).select(F.col(key).cast("long").alias(key), F.col("e.dim").alias("dims"), F.col("e.w").alias("ws"))
+    asked = lists(single.join(numbers, "term"), "qid", "times")
+    return beside(lists(adds, "rid", "w"), asked, 12 * F.size("dims") + 16, lambda q, batches: multiplied(q, batches, k), "qid long, rid long, score double")
+
+
 def bm25(lexicon: Lexicon, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """(qid, rid, score, rank). Over blocks, queries with a phrase are scored in full, others by the spans that can reach their k-th score."""
-    if lexicon.blocks is None:
-        return top(scores(lexicon, queries, allowed), k)
+    """(qid, rid, score, rank). Queries with a phrase are scored in full; others over stored blocks by the spans that can reach their k-th score, else by rows that stream past the queries."""
     with_phrase = phrases(queries).where(F.size("terms") > 1).select("qid").distinct()
-    plain, _ = bounded(lexicon, queries.join(with_phrase, "qid", "left_anti"), k, allowed)
-    return top(plain.unionByName(scores(lexicon, queries.join(with_phrase, "qid", "left_semi"), allowed)), k)
+    plain = queries.join(with_phrase, "qid", "left_anti")
+    best = streamed(lexicon, plain, k, allowed) if lexicon.blocks is None else bounded(lexicon, plain, k, allowed)[0]
+    return top(best.unionByName(scores(lexicon, queries.join(with_phrase, "qid", "left_semi"), allowed)), k)
 
 
 def snippets(rows: DataFrame, width: int = 16) -> DataFrame:

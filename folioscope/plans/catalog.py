@@ -170,8 +170,8 @@ def exact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Stored index ----------------------------------------------------------------------------------------------------
 
 
-def stored(spark: SparkSession, rows: DataFrame) -> index.Index:
-    return index.build(spark, rows, shared.fresh(spark, "index"))
+def stored(spark: SparkSession, rows: DataFrame, only_words: bool = True) -> index.Index:
+    return index.build(spark, rows, shared.fresh(spark, "index"), only_words=only_words)
 
 
 @query
@@ -192,7 +192,7 @@ def stored_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stored_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As hybrid_adaptive, from a stored index."""
-    asked, ix = questions(spark, sf_dir), stored(spark, chunks(spark, sf_dir))
+    asked, ix = questions(spark, sf_dir), stored(spark, chunks(spark, sf_dir), only_words=False)
     words, vectors = lexical.bm25(ix.lexicon, asked, fusion.POOL), sparse.cosine(ix.sparse, asked, fusion.POOL)
     return fusion.hybrid(ix.chunks, words, vectors, types=None).select("qid", "rank", "rid", "score", "citation", "vigente")
 

@@ -21,6 +21,8 @@ from folioscope.sources import markdown
 HOME = "FOLIOSCOPE_HOME"
 EMBEDDER = "FOLIOSCOPE_EMBEDDER"
 SPARSE = "hashed-tf-idf"
+#: Of an index for searches by words alone: it has neither vectors nor references.
+WORDS = "words"
 #: What a state of the index is made of: segments and removals (folders below the index), the rows and tokens that count, the highest row id, the chunks' columns as JSON.
 STATE = "version long, segments array<string>, removals array<string>, n long, tokens long, top long, embedder string, columns string"
 
@@ -40,7 +42,7 @@ def backend(encoder_at_hand: bool) -> str:
 class Index:
     chunks: DataFrame
     lexicon: lexical.Lexicon
-    refs: DataFrame
+    refs: DataFrame | None
     weighed: Callable[[], sparse.Sparse | None]
     vectors: DataFrame | None
     meta: dict[str, str]
@@ -93,12 +95,13 @@ def _segment(spark: SparkSession, path: str, chunks: DataFrame, encoder, embedde
     made = postings.store(postings.blocks(words.places, list(lexical.FIELDS)), f"{at}/blocks")
     made.groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{at}/frequencies")
     words.lengths.write.parquet(f"{at}/lengths")
-    graph.edges(chunks).sortWithinPartitions("slug", "src").write.parquet(f"{at}/refs")
+    if embedder != WORDS:
+        graph.edges(chunks).sortWithinPartitions("slug", "src").write.parquet(f"{at}/refs")
     if embedder == SPARSE:
         sparse.featured(chunks, "rid", sparse.document_text(chunks)).write.parquet(f"{at}/features")
         features = spark.read.schema(sparse.VECTORS.format("rid", "long")).parquet(f"{at}/features")
         features.select(F.explode("dims").alias("dim")).groupBy("dim").agg(F.count("*").alias("df")).write.parquet(f"{at}/dims")
-    else:
+    elif embedder != WORDS:
         dense.encode(chunks.select("rid", sparse.document_text(chunks).alias("t")), "rid", "t", encoder).write.parquet(f"{at}/vectors")
     r = spark.read.schema("rid long, dl long").parquet(f"{at}/lengths").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens"), F.coalesce(F.max("rid"), F.lit(0)).alias("top")).first()
     return name, r.n, r.tokens, r.top
@@ -111,9 +114,9 @@ def _chunked(spark: SparkSession, source: str | DataFrame) -> DataFrame:
     return chunk(source) if "raw" in source.columns else source
 
 
-def build(spark: SparkSession, source: str | DataFrame, path: str, encoder=None, encoder_name: str = "") -> Index:
-    """Build the index of a folder of Markdown files (or of a table of files, or of chunks) under path, in place of what it held."""
-    embedder = f"dense:{encoder_name}" if backend(encoder is not None) == "dense" else SPARSE
+def build(spark: SparkSession, source: str | DataFrame, path: str, encoder=None, encoder_name: str = "", only_words: bool = False) -> Index:
+    """Build the index of a folder of Markdown files (or of a table of files, or of chunks) under path, in place of what it held. only_words: for searches by words, without vectors and references."""
+    embedder = WORDS if only_words else f"dense:{encoder_name}" if backend(encoder is not None) == "dense" else SPARSE
     chunks = _chunked(spark, source)
     name, n, tokens, top = _segment(spark, path, chunks, encoder, embedder)
     publish(spark, path, State(state(spark, path).version + 1, (name,), (), n, tokens, top, embedder, chunks.schema.json()))
@@ -159,11 +162,12 @@ def merge(spark: SparkSession, path: str) -> Index:
     made = postings.store(postings.blocks(index.lexicon.places, list(lexical.FIELDS)), f"{at}/blocks")
     made.groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{at}/frequencies")
     index.lexicon.lengths.write.parquet(f"{at}/lengths")
-    index.refs.sortWithinPartitions("slug", "src").write.parquet(f"{at}/refs")
+    if index.refs is not None:
+        index.refs.sortWithinPartitions("slug", "src").write.parquet(f"{at}/refs")
     if old.embedder == SPARSE:
         _features(spark, path, old).write.parquet(f"{at}/features")
         spark.read.schema(sparse.VECTORS.format("rid", "long")).parquet(f"{at}/features").select(F.explode("dims").alias("dim")).groupBy("dim").agg(F.count("*").alias("df")).write.parquet(f"{at}/dims")
-    else:
+    elif index.vectors is not None:
         index.vectors.write.parquet(f"{at}/vectors")
     publish(spark, path, State(old.version + 1, (name,), (), old.n, old.tokens, old.top, old.embedder, old.columns))
     return load(spark, path)
@@ -217,14 +221,14 @@ def load(spark: SparkSession, path: str) -> Index:
     places = rows.select("rid", "dl", "term", place).select("rid", "dl", F.element_at(fields, F.floor(F.col("p") / postings.FIELD).cast("int")).alias("field"), (F.col("p") % postings.FIELD).cast("int").alias("pos"), "term")
     totals = spark.createDataFrame([(now.n, now.tokens / now.n if now.n else 0.0)], "n long, avgdl double")
     words = lexical.Lexicon(rows.select("rid", "term", "tf"), live("lengths", "rid long, dl long"), _less(spark, path, now, "frequencies", "term", "term string, df long"), totals, places, stored=True, blocks=blocks, gone=gone)
-    refs = reduce(DataFrame.unionByName, [spark.read.parquet(f"{path}/{s}/refs").withColumn("_segment", F.lit(i)) for i, s in enumerate(now.segments)])
-    if now.removals:  # the i-th removal came with segment i + 1 and takes the slugs of those before
+    refs = None if now.embedder == WORDS else reduce(DataFrame.unionByName, [spark.read.parquet(f"{path}/{s}/refs").withColumn("_segment", F.lit(i)) for i, s in enumerate(now.segments)])
+    if refs is not None and now.removals:  # the i-th removal came with segment i + 1 and takes the slugs of those before
         taken = reduce(DataFrame.unionByName, [spark.read.schema("slug string").parquet(f"{path}/{r}/slugs").select(F.col("slug").alias("_slug"), F.lit(i).alias("_upto")) for i, r in enumerate(now.removals)])
         refs = refs.join(taken, (F.col("slug") == F.col("_slug")) & (F.col("_segment") <= F.col("_upto")), "left_anti")
     is_dense = now.embedder.startswith("dense")
 
     def weighed() -> sparse.Sparse | None:
-        if is_dense:
+        if now.embedder != SPARSE:
             return None
         df = _less(spark, path, now, "dims", "dim", "dim int, df long")
         idf = df.where(F.col("df") < now.n).select("dim", F.log(F.lit(now.n) / F.col("df")).alias("v"))
@@ -232,7 +236,7 @@ def load(spark: SparkSession, path: str) -> Index:
 
     meta = {"N": str(now.n), "embedder": now.embedder}
     chunks = live("chunks", T.StructType.fromJson(json.loads(now.columns)))
-    return Index(chunks, words, refs.drop("_segment"), weighed, live("vectors", "rid long, embedding array<float>") if is_dense else None, meta)
+    return Index(chunks, words, refs.drop("_segment") if refs is not None else None, weighed, live("vectors", "rid long, embedding array<float>") if is_dense else None, meta)
 
 
 def report(index: Index) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators import beside, dense, sparse
+from folioscope.operators import beside, dense, products, sparse
 
 
 def texts():
@@ -73,8 +73,8 @@ def test_features_equal_those_by_name(spark, rows):
 @pytest.mark.parametrize(("common", "most"), [(2048, 32 << 20), (3, 32 << 20), (0, 3000)])
 def test_cosine_equals_brute_force(spark, rows, monkeypatch, common, most):
     """With all dimensions as matrices, few, or none; queries broadcast, or dealt in blocks."""
-    monkeypatch.setattr(sparse, "COMMON", common)
-    monkeypatch.setattr(sparse, "STEP_ENTRIES", 500)
+    monkeypatch.setattr(products, "COMMON", common)
+    monkeypatch.setattr(products, "STEP_ENTRIES", 500)
     original = beside.beside
     monkeypatch.setattr(sparse, "beside", lambda *a: original(*a, most_bytes=most))
     made = texts()
