@@ -345,8 +345,8 @@ def consult_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the graph ties to hits that a search over all statutes finds."""
     rows = view(spark, sf_dir, adapters.STATUTES).withColumn("vigente", rules.in_force(F.col("text")).cast("int"))
     asked = view(spark, sf_dir, adapters.STATUTE_QUERIES).withColumn("qid", F.col("qid").cast("long"))
-    core = found_core(rows, asked).persist()  # a few rows for each question, read several times
-    out = advisory.expand(core, rows, graph.edges(rows))
+    core = shared.kept(found_core(rows, asked), shared.fresh(spark, "core"))  # a few rows for each question, read several times
+    out = advisory.expand(core, rows, shared.kept(graph.edges(rows), shared.fresh(spark, "edges")))
     return out.select("qid", "place", "slug", "article", "relation", "citation", "vigente", "excerpt")
 
 
@@ -370,8 +370,9 @@ def consult_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, asked = chunks(spark, sf_dir), questions(spark, sf_dir)
     words = lexical.index(rows)
     law = rows.withColumn("doc_type", F.when(F.col("doc_type") == "fr", "ley").otherwise(F.col("doc_type")))
-    core = fusion.hybrid(law, lexical.bm25(words, asked, fusion.POOL), sparse.cosine(sparse.index(rows), asked, fusion.POOL), with_repealed=True).persist()  # a few rows for each question, read several times below
-    refs = graph.edges(law)
+    core = fusion.hybrid(law, lexical.bm25(words, asked, fusion.POOL), sparse.cosine(sparse.index(rows), asked, fusion.POOL), with_repealed=True)
+    core = shared.kept(core, shared.fresh(spark, "core"))  # a few rows for each question, read several times below
+    refs = shared.kept(graph.edges(law), shared.fresh(spark, "edges"))  # for each relation
     made = advisory.bundle(asked, core, advisory.expand(core, law, refs), advisory.topics(rows, words, asked, kind="en"))
     size = lambda part: F.size(F.from_json(F.get_json_object("bundle", f"$.{part}"), "array<string>")).cast("long")
     return made.select("qid", F.get_json_object("bundle", "$.question").alias("question"), size("core").alias("n_core"), size("related").alias("n_related"), size("topics").alias("n_topics"))
