@@ -8,12 +8,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope import shared
+
 #: Bytes of queries that are broadcast; more are dealt into blocks of about this size, each of which meets all rows.
 MOST_BYTES = 32 << 20
 
 Run = Callable[[pa.Table, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def best_beside(rows: DataFrame, queries: DataFrame, size: Column, run: Run, schema: str) -> DataFrame:
+    """beside(), its result written as a table: some rows for each query and task, made from few rows at a time."""
+    return shared.kept(beside(rows, queries, size, run, schema), shared.fresh(rows.sparkSession, "best"))
+
+
 def beside(rows: DataFrame, queries: DataFrame, size: Column, run: Run, schema: str, most_bytes: int = MOST_BYTES) -> DataFrame:
     """What run makes of (all queries, some rows), for all rows. size: bytes of a query; the sum decides how queries travel.
 

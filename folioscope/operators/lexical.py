@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import fold, tokens, words
 from folioscope.operators import postings
-from folioscope.operators.beside import beside
+from folioscope.operators.beside import best_beside
 from folioscope.operators.products import multiplied
 
 K1, B = 1.2, 0.75
@@ -147,7 +147,7 @@ def streamed(lexicon: Lexicon, queries: DataFrame, k: int, allowed: DataFrame |
     adds = hits.join(numbers, "term").crossJoin(F.broadcast(lexicon.totals)).select("rid", "dim", weight(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl")).alias("w"))  # one row
     lists = lambda rows, key, w: rows.groupBy(key).agg(F.collect_list(F.struct("dim", F.col(w).cast("double").alias("w"))).alias("e")).select(F.col(key).cast("long").alias(key), F.col("e.dim").alias("dims"), F.col("e.w").alias("ws"))
     asked = lists(single.join(numbers, "term"), "qid", "times")
-    return beside(lists(adds, "rid", "w"), asked, 12 * F.size("dims") + 16, lambda q, batches: multiplied(q, batches, k), "qid long, rid long, score double")
+    return best_beside(lists(adds, "rid", "w"), asked, 12 * F.size("dims") + 16, lambda q, batches: multiplied(q, batches, k), "qid long, rid long, score double")
 
 
 def bm25(lexicon: Lexicon, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:

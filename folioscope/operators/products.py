@@ -8,8 +8,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from folioscope import shared
+
 #: Entries of vectors that are multiplied at once. A bound on memory only.
-STEP_ENTRIES = 1 << 19
+STEP_ENTRIES = 1 << 17
 #: Of the queries' dimensions, the most frequent ones are multiplied as matrices, and only for rows whose bound asks for it.
 COMMON = 2048
 
@@ -79,6 +81,7 @@ def multiplied(queries: pa.Table, batches: Iterator[pa.RecordBatch], k: int) ->
                 best[i] = ids[first], found[first]
                 if len(first) == k:
                     least[i] = found[first].min()
+    shared.let_go()
     n = [len(ids) for ids, _ in best]
     if sum(n):
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(np.concatenate([ids for ids, _ in best])), pa.array(np.concatenate([s for _, s in best]))], ["qid", "rid", "score"])

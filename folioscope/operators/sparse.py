@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 
 from folioscope import shared
 from folioscope.functions.text import feature_hash, features, fold
-from folioscope.operators.beside import beside
+from folioscope.operators.beside import best_beside
 from folioscope.operators.lexical import top
 from folioscope.operators.products import entries, multiplied
 
 DIMENSIONS = 1 << 20
 DIGITS = 5
 #: Text whose features are counted at once, in bytes. A bound on memory only.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 #: Stands for a weight that rounds to nothing: its row has the dimension.
 TRACE = 1e-30
 VECTORS = "{} {}, dims array<int>, ws array<double>"
@@ -136,6 +136,7 @@ def featured(rows: DataFrame, key: str, text: Column) -> DataFrame:
                     some = batch.slice(at, to - at)
                     yield pa.RecordBatch.from_arrays([some.column(key), *_lists(*_with_n(feature_counts(some.column("t")), to - at))], [key, "dims", "ws"])
                     at = to
+            shared.let_go()
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(key, fold(text).alias("t")).mapInArrow(run, VECTORS.format(key, kind))
@@ -197,7 +198,7 @@ def cosine(sparse: Sparse, queries: DataFrame, k: int) -> DataFrame:
         return top(sparse.stored.join(long, "dim").groupBy("qid", "rid").agg(F.sum(F.col("q") * F.col("w")).alias("score")), k)
     rows = sparse.vectors.select(F.col("rid").cast("long").alias("rid"), "dims", "ws")
     asked_for = vectors.select(F.col("qid").cast("long").alias("qid"), "dims", "ws")
-    return top(beside(rows, asked_for, 12 * F.size("dims") + 16, lambda q, batches: multiplied(q, batches, k), "qid long, rid long, score double"), k)
+    return top(best_beside(rows, asked_for, 12 * F.size("dims") + 16, lambda q, batches: multiplied(q, batches, k), "qid long, rid long, score double"), k)
 
 
 def norms(sparse: Sparse) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscope import shared
 from folioscope.operators import dense, graph, lexical, postings, sparse
 from folioscope.operators.chunking import chunk
 from folioscope.sources import markdown
@@ -118,7 +119,8 @@ def build(spark: SparkSession, source: str | DataFrame, path: str, encoder=None,
     """Build the index of a folder of Markdown files (or of a table of files, or of chunks) under path, in place of what it held. only_words: for searches by words, without vectors and references."""
     embedder = WORDS if only_words else f"dense:{encoder_name}" if backend(encoder is not None) == "dense" else SPARSE
     chunks = _chunked(spark, source)
-    name, n, tokens, top = _segment(spark, path, chunks, encoder, embedder)
+    with shared.writing(spark):
+        name, n, tokens, top = _segment(spark, path, chunks, encoder, embedder)
     publish(spark, path, State(state(spark, path).version + 1, (name,), (), n, tokens, top, embedder, chunks.schema.json()))
     return load(spark, path)
 
@@ -135,7 +137,8 @@ def add(spark: SparkSession, source: str | DataFrame, path: str, removed: DataFr
     base = -(-old.top // postings.SPAN) * postings.SPAN  # no span has rows of two segments
     new, schema = _chunked(spark, source), T.StructType.fromJson(json.loads(old.columns))
     new = new.select(*[F.col(f.name).cast(f.dataType) if f.name in new.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
-    name, n, tokens, top = _segment(spark, path, new.withColumn("rid", F.col("rid") + base), encoder, old.embedder)
+    with shared.writing(spark):
+        name, n, tokens, top = _segment(spark, path, new.withColumn("rid", F.col("rid") + base), encoder, old.embedder)
     slugs = spark.read.schema(new.schema).parquet(f"{path}/{name}/chunks").select("slug")
     slugs = (slugs.unionByName(removed.select("slug")) if removed is not None else slugs).distinct()
     index = load(spark, path)

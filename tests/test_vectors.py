@@ -76,7 +76,7 @@ def test_cosine_equals_brute_force(spark, rows, monkeypatch, common, most):
     monkeypatch.setattr(products, "COMMON", common)
     monkeypatch.setattr(products, "STEP_ENTRIES", 500)
     original = beside.beside
-    monkeypatch.setattr(sparse, "beside", lambda *a: original(*a, most_bytes=most))
+    monkeypatch.setattr(sparse, "best_beside", lambda *a: original(*a, most_bytes=most))
     made = texts()
     queries = [(100 + i, t) for i, t in enumerate(made[:40] + ["plazo de prescripcion", "", "zz w3palabra", None, "unknownword"])]
     asked = spark.createDataFrame(queries, "qid long, query string").repartition(3)
