@@ -152,10 +152,12 @@ def streamed(lexicon: Lexicon, queries: DataFrame, k: int, allowed: DataFrame |
 
 def bm25(lexicon: Lexicon, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """(qid, rid, score, rank). Queries with a phrase are scored in full; others over stored blocks by the spans that can reach their k-th score, else by rows that stream past the queries."""
+    plainly = streamed if lexicon.blocks is None else lambda *a: bounded(*a)[0]
     with_phrase = phrases(queries).where(F.size("terms") > 1).select("qid").distinct()
+    if with_phrase.isEmpty():  # the rule: half the plan
+        return top(plainly(lexicon, queries, k, allowed), k)
     plain = queries.join(with_phrase, "qid", "left_anti")
-    best = streamed(lexicon, plain, k, allowed) if lexicon.blocks is None else bounded(lexicon, plain, k, allowed)[0]
-    return top(best.unionByName(scores(lexicon, queries.join(with_phrase, "qid", "left_semi"), allowed)), k)
+    return top(plainly(lexicon, plain, k, allowed).unionByName(scores(lexicon, queries.join(with_phrase, "qid", "left_semi"), allowed)), k)
 
 
 def snippets(rows: DataFrame, width: int = 16) -> DataFrame:
