@@ -69,8 +69,17 @@ def fold(x: Column) -> Column:
     ASCII texts are only lowered. Each distinct character of a text that stands for several letters is looked up once and
     replaced; most texts have none, which a pattern of few ranges tells. All other characters are translated at once.
     """
+    return _folded(_lowered(x))
+
+
+def _lowered(x: Column) -> Column:
     # the one capital whose small letter folds to another letter than it does itself
-    f, x = folding(), F.lower(F.replace(x, F.lit("\u03f9"), F.lit("\u03c3")))
+    return F.lower(F.replace(x, F.lit("\u03f9"), F.lit("\u03c3")))
+
+
+def _folded(x: Column) -> Column:
+    """fold() of lowered text."""
+    f = folding()
 
     def letters(c: Column) -> Column:
         n = F.ascii(c) - HANGUL
@@ -111,6 +120,11 @@ def tokens(x: Column) -> Column:
     return F.regexp_extract_all(fold(x), F.lit(TOKEN), F.lit(0))
 
 
+def tokens_each(*xs: Column) -> Column:
+    """The terms of each text, as an array of arrays. All texts go through one expression: folding holds tables of some thousand characters, which plans and their descriptions repeat wherever it stands."""
+    return F.transform(F.transform(F.array(*xs), _lowered), lambda x: F.regexp_extract_all(_folded(x), F.lit(TOKEN), F.lit(0)))
+
+
 def words(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(WORD), F.lit(0))
 

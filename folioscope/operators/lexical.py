@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import fold, tokens, words
+from folioscope import shared
+from folioscope.functions.text import fold, tokens, tokens_each, words
 from folioscope.operators import postings
 from folioscope.operators.beside import best_beside
 from folioscope.operators.products import multiplied
@@ -52,9 +53,10 @@ class Lexicon:
 def index(chunks: DataFrame, fields: tuple[str, ...] = FIELDS) -> Lexicon:
     """The inverted index of the chunks' fields."""
     fields = tuple(f for f in fields if f in chunks.columns)
-    split = chunks.select("rid", *[tokens(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in fields])
-    length = sum((F.size(f) for f in fields), F.lit(0)).cast("long").alias("dl")
-    listed = split.select("rid", length, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("found")) for f in fields])).alias("f"))
+    split = chunks.select("rid", tokens_each(*[F.coalesce(F.col(f), F.lit("")) for f in fields]).alias("found"))
+    found = {f: F.col("found")[i] for i, f in enumerate(fields)}
+    length = sum((F.size(x) for x in found.values()), F.lit(0)).cast("long").alias("dl")
+    listed = split.select("rid", length, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), x.alias("found")) for f, x in found.items()])).alias("f"))
     places = listed.select("rid", "dl", "f.field", F.posexplode("f.found").alias("pos", "term"))
     terms = places.groupBy("rid", "term").agg(F.count("*").alias("tf"))
     lengths = split.select("rid", length)
@@ -64,11 +66,18 @@ def index(chunks: DataFrame, fields: tuple[str, ...] = FIELDS) -> Lexicon:
 
 
 def phrases(queries: DataFrame) -> DataFrame:
-    """(qid, phrase, terms): the word tokens of each query (qid, query); one with _ inside is a phrase of several terms. Repeated ones stay."""
+    """(qid, phrase, terms): the word tokens of each query (qid, query); one with _ inside is a phrase of several terms. Repeated ones stay. Queries that are split already are returned as they are."""
+    if "terms" in queries.columns:
+        return queries
     found = queries.select("qid", F.posexplode(words("query")).alias("phrase", "w"))
     return found.select("qid", "phrase", tokens(F.col("w")).alias("terms")).where(F.size("terms") > 0)
 
 
+def asked_for(queries: DataFrame) -> DataFrame:
+    """The queries' phrases as a table, so that a plan that needs them in several places neither folds queries again nor holds the tables of folding."""
+    return queries if "terms" in queries.columns else shared.kept(phrases(queries), shared.fresh(queries.sparkSession, "phrases"))
+
+
 def weight(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column) -> Column:
     idf = F.log((n - df + 0.5) / (df + 0.5))
     idf = F.when(idf <= 0, FLOOR).otherwise(idf)
@@ -153,11 +162,12 @@ def streamed(lexicon: Lexicon, queries: DataFrame, k: int, allowed: DataFrame |
 def bm25(lexicon: Lexicon, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """(qid, rid, score, rank). Queries with a phrase are scored in full; others over stored blocks by the spans that can reach their k-th score, else by rows that stream past the queries."""
     plainly = streamed if lexicon.blocks is None else lambda *a: bounded(*a)[0]
-    with_phrase = phrases(queries).where(F.size("terms") > 1).select("qid").distinct()
+    asked = asked_for(queries)
+    with_phrase = asked.where(F.size("terms") > 1).select("qid").distinct()
     if with_phrase.isEmpty():  # the rule: half the plan
-        return top(plainly(lexicon, queries, k, allowed), k)
-    plain = queries.join(with_phrase, "qid", "left_anti")
-    return top(plainly(lexicon, plain, k, allowed).unionByName(scores(lexicon, queries.join(with_phrase, "qid", "left_semi"), allowed)), k)
+        return top(plainly(lexicon, asked, k, allowed), k)
+    plain = asked.join(with_phrase, "qid", "left_anti")
+    return top(plainly(lexicon, plain, k, allowed).unionByName(scores(lexicon, asked.join(with_phrase, "qid", "left_semi"), allowed)), k)
 
 
 def snippets(rows: DataFrame, width: int = 16) -> DataFrame:
@@ -187,7 +197,8 @@ def snippets(rows: DataFrame, width: int = 16) -> DataFrame:
 def lexical(chunks: DataFrame, lexicon: Lexicon, queries: DataFrame, k: int = 5, slug: str | None = None) -> DataFrame:
     """(qid, rank, rid, citation, structure, doc_type, snippet, score) of the k best rows, of one slug if it is given."""
     allowed = chunks.where(F.col("slug") == slug) if slug else None
-    best = bm25(lexicon, queries, k, allowed)
-    terms = phrases(queries).groupBy("qid").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
+    asked = asked_for(queries)
+    best = bm25(lexicon, asked, k, allowed)
+    terms = asked.groupBy("qid").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
     rows = best.join(chunks.select("rid", "citation", "structure", "doc_type", "text"), "rid").join(terms, "qid")
     return snippets(rows).select("qid", "rank", "rid", "citation", "structure", "doc_type", "snippet", "score")
