@@ -42,6 +42,26 @@ def test_equal_to_all_places(spark, both, k):
     assert rows(lexical.bm25(blocked, asked, k, allowed)) == rows(lexical.bm25(whole, asked, k, allowed))
 
 
+def test_blocks_of_texts(spark, both):
+    """Made where the texts are, they equal blocks of all places; each span also lists all its rows, wordless and null ones too."""
+    chunks, whole, blocked = both
+    made = postings.blocks_of(chunks, list(lexical.FIELDS))
+    assert made.dtypes == blocked.blocks.dtypes
+    named = lambda df: sorted(map(tuple, df.collect()))
+    assert named(made.where(F.col("term") != postings.EVERY)) == named(blocked.blocks)
+    every = made.where(F.col("term") == postings.EVERY)
+    listed = every.select(F.explode(F.arrays_zip("rids", "dls")).alias("r")).select("r.rids", "r.dls")
+    assert named(listed) == named(whole.lengths)
+    assert every.count() == every.select("span").distinct().count()
+
+
+def test_blocks_of_no_text(spark):
+    schema = "rid long, text string"
+    assert postings.blocks_of(spark.createDataFrame([], schema), list(lexical.FIELDS)).count() == 0
+    r = postings.blocks_of(spark.createDataFrame([(5, None), (7, " .,; ")], schema), list(lexical.FIELDS)).collect()
+    assert [tuple(x) for x in r] == [(postings.EVERY, 0, 2, 0, 0, [5, 7], [0, 0], [0, 0], [[], []])]
+
+
 def test_rows_that_are_gone(spark, both):
     """Blocks that still hold removed rows, with the statistics of what is left, search as an index of what is left."""
     chunks, whole, blocked = both
