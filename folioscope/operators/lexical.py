@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ from folioscope.operators.products import multiplied
 K1, B = 1.2, 0.75
 #: What idf is raised to where it isn't positive.
 FLOOR = 1e-6
+#: Terms that are named to the scan of blocks; of more, the scan reads all heads.
+NAMED = 64
 FIELDS = ("heading", "structure", "text")
 
 
@@ -159,10 +161,18 @@ def streamed(lexicon: Lexicon, queries: DataFrame, k: int, allowed: DataFrame |
     return best_beside(lists(adds, "rid", "w"), asked, 12 * F.size("dims") + 16, lambda q, batches: multiplied(q, batches, k), "qid long, rid long, score double")
 
 
+def named(lexicon: Lexicon, asked: DataFrame) -> Lexicon:
+    """The lexicon with blocks of the asked terms alone, where they are few: the scan then skips row groups without them."""
+    terms = [r.term for r in asked.select(F.explode("terms").alias("term")).distinct().limit(NAMED + 1).collect()]
+    return replace(lexicon, blocks=lexicon.blocks.where(F.col("term").isin(terms))) if len(terms) <= NAMED else lexicon
+
+
 def bm25(lexicon: Lexicon, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """(qid, rid, score, rank). Queries with a phrase are scored in full; others over stored blocks by the spans that can reach their k-th score, else by rows that stream past the queries."""
     plainly = streamed if lexicon.blocks is None else lambda *a: bounded(*a)[0]
     asked = asked_for(queries)
+    if lexicon.blocks is not None:
+        lexicon = named(lexicon, asked)
     with_phrase = asked.where(F.size("terms") > 1).select("qid").distinct()
     if with_phrase.isEmpty():  # the rule: half the plan
         return top(plainly(lexicon, asked, k, allowed), k)

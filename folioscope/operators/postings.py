@@ -92,9 +92,9 @@ def of_span(rows: pa.Table, fields: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(columns)
 
 
-def store(made: DataFrame, path: str) -> DataFrame:
-    """The blocks as a table sorted by term, so that a query's terms read few row groups."""
-    made.repartitionByRange("term", "span").sortWithinPartitions("term", "span").write.options(**STORED).parquet(path)
+def store(made: DataFrame, path: str, move: bool = True) -> DataFrame:
+    """The blocks as a table sorted by term, over all its files or, without moving them, within each: named terms read few row groups of a file."""
+    (made.repartitionByRange("term", "span") if move else made).sortWithinPartitions("term", "span").write.options(**STORED).parquet(path)
     return made.sparkSession.read.schema(made.schema).parquet(path)
 
 

@@ -92,12 +92,10 @@ def _segment(spark: SparkSession, path: str, chunks: DataFrame, encoder, embedde
     at = f"{path}/{name}"
     chunks.write.partitionBy("slug").parquet(f"{at}/chunks")
     chunks = spark.read.schema(chunks.schema).parquet(f"{at}/chunks")
-    unsorted = shared.kept(postings.blocks_of(chunks, list(lexical.FIELDS)), f"{at}/unsorted")
-    made = postings.store(unsorted.where(F.col("term") != postings.EVERY), f"{at}/blocks")
-    made.groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{at}/frequencies")
-    every = unsorted.where(F.col("term") == postings.EVERY).select(F.explode(F.arrays_zip("rids", "dls")).alias("r"))
+    made = postings.store(postings.blocks_of(chunks, list(lexical.FIELDS)), f"{at}/blocks", move=False)
+    made.where(F.col("term") != postings.EVERY).groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{at}/frequencies")
+    every = made.where(F.col("term") == postings.EVERY).select(F.explode(F.arrays_zip("rids", "dls")).alias("r"))
     every.select(F.col("r.rids").alias("rid"), F.col("r.dls").alias("dl")).write.parquet(f"{at}/lengths")
-    shared.remove(spark, f"{at}/unsorted")
     if embedder != WORDS:
         graph.edges(chunks).sortWithinPartitions("slug", "src").write.parquet(f"{at}/refs")
     if embedder == SPARSE:
@@ -219,7 +217,7 @@ def load(spark: SparkSession, path: str) -> Index:
         raise ValueError(f"no index under {path}")
     gone = _gone(spark, path, now)
     live = lambda name, schema: lexical.without(_union(spark, path, now.segments, name, schema), gone)
-    blocks = _union(spark, path, now.segments, "blocks", postings.BLOCKS)
+    blocks = _union(spark, path, now.segments, "blocks", postings.BLOCKS).where(F.col("term") != postings.EVERY)
     rows = lexical.without(postings.rows_of(blocks, with_places=True), gone)
     fields = F.array(*map(F.lit, lexical.FIELDS))
     place = F.explode("at").alias("p")

@@ -59,12 +59,6 @@ def kept(df: DataFrame, path: str, sort: list[str] | None = None, ranges: list[s
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table that nothing reads any more."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     """The store that a URI or path names, and the path there."""
     if not urlparse(path).scheme:
