@@ -92,8 +92,7 @@ def lexical_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sparse_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All features with their dimension and how often they occur."""
     rows = chunks(spark, sf_dir)
-    counts = sparse.counted(rows, "rid", sparse.document_text(rows))
-    return counts.groupBy("feature", "dim").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+    return sparse.feature_totals(rows, sparse.document_text(rows))
 
 
 @query
