@@ -3,7 +3,7 @@
 import re
 from collections import Counter
 
-from folioscope.operators import sparse
+from folioscope.operators import audit, sparse
 from folioscope.plans import catalog
 
 TEXTS = ["Él subió él", "zorro zorros ZORRO", "", None, "a1b2c 12345 ﬁnca", "la parte puede pedir la parte", "ß café caféteria"]
@@ -29,3 +29,15 @@ def test_feature_totals(spark, tables, monkeypatch):
     dealt = sparse.feature_totals(rows, sparse.document_text(rows))
     assert "Repartition" not in dealt._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" not in catalog.QUERIES["sparse_features"](spark, tables)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_audits_look_at_texts_once(spark):
+    rows = [(1, "a, b. c", "a, b. c"), (2, None, None), (3, None, "x;"), (4, "uno (dos) 1,5", "dos uno 1.5"), (5, "w;w", "w:w"), (6, "ﬁn ª ¿qué?", "fin  ¿qué?"), (7, "", "()"), (8, "a a b", "a b b"), (None, "z", "y"), (9, "s t", "s"), (9, "s", "s t")]
+    pairs = spark.createDataFrame(rows, "doc long, source string, made string")
+    found = sorted((str(r.doc), r.words_ok, r.commas_ok, r.signs_ok) for r in audit.verdict(pairs).collect())
+    assert found == sorted([("1", True, True, True), ("2", True, None, True), ("3", False, None, False), ("4", True, False, False), ("5", True, True, False), ("6", True, True, True), ("7", True, True, False), ("8", False, True, True), ("None", False, True, True), ("9", False, True, True), ("9", False, True, True)])
+    assert {tuple(r) for r in audit.word_differences(pairs).collect()} == {(3, "x", 0, 1), (8, "a", 1, 0), (8, "b", 0, 1), (None, "z", 1, 0), (None, "y", 0, 1)}
+    signs = {(r.doc, r.sign): (r.in_source, r.in_made) for r in audit.sign_census(pairs).collect()}
+    assert signs == {(1, ","): (1, 1), (3, ";"): (0, 1), (4, "("): (1, 0), (4, ")"): (1, 0), (4, ","): (1, 0), (5, ";"): (1, 0), (5, ":"): (0, 1), (6, "¿"): (1, 1), (6, "?"): (1, 1), (7, "("): (0, 1), (7, ")"): (0, 1)}
+    assert "Exchange" not in plan(audit.verdict(pairs))  # no pair is shuffled
+    assert plan(audit.verdict(pairs)).count("ficha") <= 2  # each side is cleaned once
