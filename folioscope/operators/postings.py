@@ -18,6 +18,8 @@ SPAN = 128
 #: Places of a field; a row's places are numbered field by field.
 FIELD = 1 << 32
 BLOCKS = "term string, span long, n long, max_tf long, min_dl long, rids array<long>, tfs array<long>, dls array<long>, ats array<array<long>>"
+#: Bytes of texts that a task makes blocks of and sorts. A bound on its memory: blocks are some twenty times as large there.
+PART_BYTES = 16 << 20
 #: In what blocks_of() makes: the term that lists all rows of a span with their lengths. No text has it.
 EVERY = ""
 #: Row groups are small, so that a term's blocks are few of them; whole numbers are stored as differences.
@@ -40,10 +42,11 @@ def blocks_of(rows: DataFrame, fields: list[str]) -> DataFrame:
     """blocks() of the texts of rows (rid, fields), and a block EVERY for each span: all its rows and their lengths, also of rows without a word.
 
     Rows are dealt by span before their words are split, and a span has no more than SPAN rows, as rids are unique. So a task
-    holds one span's words at a time, and neither a word nor a place is shuffled. Null and missing fields have no words.
+    holds one span's words at a time, and neither a word nor a place is shuffled. How many tasks there are follows from the
+    texts' bytes, so that a task's blocks, which are sorted, are no more at any size. Null and missing fields have no words.
     """
     text = lambda f: F.coalesce(F.col(f), F.lit("")) if f in rows.columns else F.lit("")
-    dealt = rows.select(F.floor(F.col("rid") / SPAN).alias("span"), F.col("rid").cast("long").alias("rid"), *[f for f in fields if f in rows.columns]).repartition("span").sortWithinPartitions("span", "rid")
+    dealt = rows.select(F.floor(F.col("rid") / SPAN).alias("span"), F.col("rid").cast("long").alias("rid"), *[f for f in fields if f in rows.columns]).repartition(parts(rows, fields), "span").sortWithinPartitions("span", "rid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -63,6 +66,13 @@ def blocks_of(rows: DataFrame, fields: list[str]) -> DataFrame:
     return dealt.select("span", "rid", tokens_each(*map(text, fields)).alias("found")).mapInArrow(run, BLOCKS)
 
 
+def parts(rows: DataFrame, fields: list[str]) -> int:
+    """Tasks for the rows' texts: one for each PART_BYTES, but for as many as run at once."""
+    size = sum((F.coalesce(F.octet_length(F.col(f).cast("string")).cast("long"), F.lit(0)) for f in fields if f in rows.columns), F.lit(0))
+    total = rows.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
+    return max(-(-int(total) // PART_BYTES), rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def of_span(rows: pa.Table, fields: int) -> pa.RecordBatch:
     """The blocks of one span's rows (span, rid, found: the words of each field), which are in order."""
     rids = np.asarray(rows.column("rid"), dtype=np.int64)

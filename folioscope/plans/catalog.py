@@ -367,7 +367,7 @@ def topic_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def consult_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bundles of the sample questions as JSON, cut down to how many entries they hold."""
     rows, asked = chunks(spark, sf_dir), questions(spark, sf_dir)
-    words = lexical.index(rows)
+    words = lexical.narrowed(lexical.index(rows), lexical.asked_for(asked))  # for both searches below
     law = rows.withColumn("doc_type", F.when(F.col("doc_type") == "fr", "ley").otherwise(F.col("doc_type")))
     core = fusion.hybrid(law, lexical.bm25(words, asked, fusion.POOL), sparse.cosine(sparse.index(rows), asked, fusion.POOL), with_repealed=True)
     core = shared.kept(core, shared.fresh(spark, "core"))  # a few rows for each question, read several times below

@@ -147,7 +147,9 @@ def add(spark: SparkSession, source: str | DataFrame, path: str, removed: DataFr
     slugs.withColumn("upto", F.lit(old.top).cast("long")).write.parquet(f"{at}/slugs")
     index.chunks.select("rid", "slug").join(slugs, "slug", "left_semi").join(index.lexicon.lengths, "rid").select("rid", "dl").write.parquet(f"{at}/rows")
     gone = spark.read.schema("rid long, dl long").parquet(f"{at}/rows")
-    index.lexicon.terms.join(gone, "rid", "left_semi").groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{at}/frequencies")
+    in_span = gone.groupBy(F.floor(F.col("rid") / postings.SPAN).alias("span")).agg(F.collect_list("rid").alias("g"))  # no more than SPAN rows each
+    taken = index.lexicon.blocks.join(in_span, "span").select("term", F.size(F.array_intersect("rids", "g")).cast("long").alias("df"))
+    taken.where("df > 0").groupBy("term").agg(F.sum("df").alias("df")).write.parquet(f"{at}/frequencies")
     if old.embedder == SPARSE:
         features = _union(spark, path, old.segments, "features", sparse.VECTORS.format("rid", "long"))
         features.join(gone, "rid", "left_semi").select(F.explode("dims").alias("dim")).groupBy("dim").agg(F.count("*").alias("df")).write.parquet(f"{at}/dims")

@@ -4,7 +4,7 @@ import re
 from collections import Counter
 from functools import partial
 
-from folioscope.operators import audit, beside, lexical, sparse
+from folioscope.operators import audit, beside, lexical, postings, sparse
 from folioscope.plans import catalog
 
 TEXTS = ["Él subió él", "zorro zorros ZORRO", "", None, "a1b2c 12345 ﬁnca", "la parte puede pedir la parte", "ß café caféteria"]
@@ -61,3 +61,12 @@ def test_texts_are_read_once_for_phrases(spark, monkeypatch):
     monkeypatch.setattr(lexical, "beside", partial(beside.beside, most_bytes=40))  # the phrases dealt into blocks
     dealt = got()
     assert dealt.keys() == expected.keys() and all(abs(dealt[x] - y) < 1e-12 for x, y in expected.items())
+
+
+def test_a_task_s_blocks_are_bounded(spark, monkeypatch):
+    rows = spark.range(4000).selectExpr("id AS rid", "concat('uno dos ', id) AS text")
+    made = lambda: postings.blocks_of(rows, ["text"])
+    whole = {tuple(map(str, r)) for r in made().collect()}
+    monkeypatch.setattr(postings, "PART_BYTES", 4096)
+    assert made().rdd.getNumPartitions() == -(-sum(len(f"uno dos {i}") for i in range(4000)) // 4096) > 4
+    assert {tuple(map(str, r)) for r in made().collect()} == whole
