@@ -81,7 +81,7 @@ def multiplied(queries: pa.Table, batches: Iterator[pa.RecordBatch], k: int) ->
                 best[i] = ids[first], found[first]
                 if len(first) == k:
                     least[i] = found[first].min()
-    shared.let_go()
+        shared.let_go()
     n = [len(ids) for ids, _ in best]
     if sum(n):
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(np.concatenate([ids for ids, _ in best])), pa.array(np.concatenate([s for _, s in best]))], ["qid", "rid", "score"])

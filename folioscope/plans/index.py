@@ -235,7 +235,8 @@ def load(spark: SparkSession, path: str) -> Index:
             return None
         df = _less(spark, path, now, "dims", "dim", "dim int, df long")
         idf = df.where(F.col("df") < now.n).select("dim", F.log(F.lit(now.n) / F.col("df")).alias("v"))
-        return sparse.Sparse(idf.select("dim", F.round("v", sparse.DIGITS).alias("v")), sparse.weighed(_features(spark, path, now), "rid", idf, sparse.DIGITS))
+        counts, sent = _features(spark, path, now), sparse.spread(idf)
+        return sparse.Sparse(idf.select("dim", F.round("v", sparse.DIGITS).alias("v")), sparse.weighed(counts, "rid", sent, sparse.DIGITS), counts=counts, sent=sent)
 
     meta = {"N": str(now.n), "embedder": now.embedder}
     chunks = live("chunks", T.StructType.fromJson(json.loads(now.columns)))

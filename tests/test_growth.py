@@ -70,3 +70,15 @@ def test_a_task_s_blocks_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(postings, "PART_BYTES", 4096)
     assert made().rdd.getNumPartitions() == -(-sum(len(f"uno dos {i}") for i in range(4000)) // 4096) > 4
     assert {tuple(map(str, r)) for r in made().collect()} == whole
+
+
+def test_vectors_are_made_where_they_are_multiplied(spark, monkeypatch):
+    """A core runs one Python worker for its rows, not one for the weights and one for the products."""
+    rows = spark.createDataFrame([(i + 1, t) for i, t in enumerate(TEXTS)], "rid long, text string")
+    asked = spark.createDataFrame([(0, "zorro"), (1, "la parte")], "qid long, query string")
+    monkeypatch.setattr(sparse, "best_beside", beside.beside)
+    made = sparse.index(rows)
+    found = sparse.cosine(made, asked, 3)
+    assert plan(found).count("MapInArrow") == 1
+    as_made = sparse.cosine(sparse.Sparse(made.idf, made.vectors), asked, 3)  # from vectors, as before
+    assert found.count() == 2 and sorted(map(tuple, found.collect())) == sorted(map(tuple, as_made.collect()))
