@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope import shared
 from folioscope.functions.text import LINE_END, strip
 from folioscope.sources import sink
 
@@ -49,9 +50,10 @@ def write(files: DataFrame, path: str) -> None:
 
     text already holds frontmatter and body. Rows of one slug are one document: of several texts the greatest counts. A null
     text is empty; a slug must be a file name. Nothing is to be seen before the commit: tasks write into folders of their own
-    attempts, and a lost task's or a failed job's folder is left out and removed.
+    attempts, and a lost task's or a failed job's folder is left out and removed. Tasks get few texts at a time.
     """
     spark = files.sparkSession
     spark.dataSource.register(sink.MarkdownSink)
     rows = files.groupBy(F.col("slug").cast("string").alias("slug")).agg(F.coalesce(F.max(F.col("text").cast("string")), F.lit("")).alias("text"))
-    rows.write.format(sink.MarkdownSink.name()).mode("overwrite").option("path", path).save()
+    with shared.writing(spark):
+        rows.write.format(sink.MarkdownSink.name()).mode("overwrite").option("path", path).save()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioscope import shared
 from folioscope.operators import chunking, scan
 from folioscope.plans import catalog
-from folioscope.sources import markdown
+from folioscope.sources import markdown, sink
 
 
 def plain(path):
@@ -45,6 +45,36 @@ def test_failed_job_leaves_nothing(spark):
     assert {r.slug for r in markdown.read(spark, path).collect()} == {"old"}
 
 
+def test_sink_gets_few_texts_at_a_time(spark, monkeypatch):
+    """A task holds a batch of a few MB, however large its part of the files is."""
+
+    class Watched(sink.MarkdownWriter):
+        def write(self, iterator):
+            def small():
+                for batch in iterator:
+                    if batch.nbytes > 8 << 20:
+                        raise ValueError(f"{batch.nbytes} bytes at once")
+                    yield batch
+
+            return super().write(small())
+
+    class WatchedSink(sink.MarkdownSink):
+        def writer(self, schema, overwrite):
+            return Watched(self.options["path"], overwrite)
+
+    monkeypatch.setattr(sink, "MarkdownSink", WatchedSink)
+    path = shared.fresh(spark, "markdown")
+    rows = spark.range(30).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("slug"), F.when(F.col("id") != 7, F.repeat(F.lit("é"), 1 << 19)).alias("text"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        markdown.write(rows, path)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    assert {os.path.basename(f): os.path.getsize(f) for f in files_in(path)} == {f"f{i}.md": 0 if i == 7 else 1 << 20 for i in range(30)}
+
+
 def test_round_trip_query(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet").collect()
     expected = {}
